@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact
+from . import bits, exact, packing
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
+    "op5_token_output": bits.op5_token_output,
+    "op8_packing": packing.op8_packing,
 }
 
 SQL = {
