@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bits, exact, packing
+from . import bits, exact, near, packing
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
+    "op2_near_duplicates": near.op2_near_duplicates,
     "op5_token_output": bits.op5_token_output,
     "op8_packing": packing.op8_packing,
 }
 
 SQL = {
     "op1_exact_dedup": exact.OP1_SQL,
+    "op2_near_duplicates": near.OP2_SQL,
 }
