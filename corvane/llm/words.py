@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 
 import numpy as np
 
 #: The id that ends each document.
 END_ID = 1
 
+#: What word-end BPE files with these parts do to a run of letters is lower it and
+#: hand its bytes to the merges; such runs skip the rest of the library's pipeline.
+_LOWERING = ["NFC", "Replace", "Lowercase"]
+_SPLITTING = ["Split", "ByteLevel"]
+
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -17,82 +24,98 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level BPE's letters: printable Latin-1 bytes stand for themselves, the
+    others for the code points from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+class _Memory(dict):
+    """Chunk to number; asks ``learn`` for what it doesn't hold."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, chunk: bytes) -> int:
+        return self.learn(chunk)
+
+
 class WordEncoder:
     """Encodes texts as the tokenizer file does, remembering chunks between white space.
 
     Right for tokenizers whose pre-tokenizer drops white space and whose merges
-    never cross it.  The memory is emptied at ``limit`` chunks, so it is bounded
-    whatever the corpus; chunks over ``longest`` bytes are never remembered.
+    never cross it.  Chunks are forgotten at ``limit`` of them, so memory is
+    bounded whatever the corpus; so are the ``limit`` words behind them.
     """
 
-    def __init__(self, path: str, limit: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.longest = limit, longest
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.starts = np.empty(1 << 16, np.int64)
-        self.sizes = np.empty(1 << 16, np.int64)
-        self.used = 0
-
-    def _ids(self, chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        for chunk, ids in zip(chunks, self._ids([c.decode() for c in chunks]), strict=True):
-            n, k = len(ids), len(self.known)
-            if self.used + n > len(self.flat):
-                self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + n))
-            if k >= len(self.starts):
-                self.starts, self.sizes = np.resize(self.starts, 2 * k), np.resize(self.sizes, 2 * k)
-            self.flat[self.used : self.used + n] = ids
-            self.starts[k], self.sizes[k] = self.used, n
-            self.known[chunk] = k
-            self.used += n
+        self.model = self.tokenizer.model
+        self.limit = limit
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        kinds = lambda part, key: [x["type"] for x in (part or {}).get(key, [])]
+        self.direct = parts["model"]["type"] == "BPE" and kinds(parts["normalizer"], "normalizers") == _LOWERING and kinds(parts["pre_tokenizer"], "pretokenizers") == _SPLITTING
+        self.letters = _byte_letters()
+        self.words: dict[bytes, list[int]] = {}
+        self.known = _Memory(self._learn)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known.clear()
+        self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
+
+    def _merged(self, piece: bytes) -> list[int]:
+        """The ids of one pre-token, through the merges alone."""
+        found = self.words.get(piece)
+        if found is None:
+            if len(self.words) >= self.limit:
+                self.words.clear()
+            shown = piece.decode() if piece.isascii() else piece.decode("latin-1").translate(self.letters)
+            found = self.words[piece] = [t.id for t in self.model.tokenize(shown)]
+        return found
+
+    def _ids(self, chunk: bytes) -> list[int]:
+        if self.direct and len(chunk) < 64:
+            core = chunk.rstrip(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+            if not core.isalpha():  # letters of Latin-1 are in NFC, and lower to one letter
+                word = core.decode()
+                core = word.lower().encode() if word.isalpha() and max(word) < "Ā" else b""
+            if core:
+                end = chunk[len(core) :]
+                return self._merged(core) + self._merged(end) if end else self._merged(core)
+        return self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
+
+    def _learn(self, chunk: bytes) -> int:
+        ids, k = self._ids(chunk), len(self.known)
+        self.starts.append(len(self.flat))
+        self.sizes.append(len(ids))
+        self.flat.extend(ids)
+        self.known[chunk] = k
+        return k
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text and END_ID, uint32.  A null text counts as empty."""
-        chunks = (text or "").encode().split()  # bytes split at the six ASCII blanks
-        parts, at = [], 0
-        while at < len(chunks):  # long texts go in steps, so that memory holds a step's chunks
+        data = (text or "").encode()
+        chunks = (data.lower() if self.direct else data).split()  # bytes split at the six ASCII blanks
+        parts = []
+        for at in range(0, len(chunks), 50_000):  # long texts go in steps, so that memory holds a step's ids
+            if len(self.known) > self.limit or len(self.flat) > 8 * self.limit:
+                self._forget()
             step = chunks[at : at + 50_000]
-            at += len(step)
-            if long := [c for c in step if len(c) > self.longest]:
-                parts.append(self._mixed(step, set(long)))
-                continue
-            parts.append(self._gather(step))
+            index = np.fromiter(map(self.known.__getitem__, step), np.int64, len(step))
+            sizes = np.frombuffer(self.sizes, np.int64)[index]
+            ends = np.cumsum(sizes)
+            places = np.repeat(np.frombuffer(self.starts, np.int64)[index] - (ends - sizes), sizes) + np.arange(ends[-1])
+            parts.append(np.frombuffer(self.flat, np.uint32)[places])
         parts.append(np.array([END_ID], np.uint32))
         return np.concatenate(parts)
 
-    def _gather(self, chunks: list[bytes]) -> np.ndarray:
-        if new := list({c for c in chunks if c not in self.known}):
-            if len(self.known) + len(new) > self.limit:
-                self._reset()
-                new = list(set(chunks))
-            self._learn(new)
-        index = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-        sizes = self.sizes[index]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.starts[index] - (ends - sizes), sizes) + np.arange(total)]
-
-    def _mixed(self, chunks: list[bytes], long: set[bytes]) -> np.ndarray:
-        parts, plain = [], []
-        for c in chunks:
-            if c not in long:
-                plain.append(c)
-                continue
-            parts.append(self._gather(plain))
-            plain = []
-            parts.append(np.array(self._ids([c.decode()])[0], np.uint32))
-        parts.append(self._gather(plain))
-        return np.concatenate(parts)
-
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
