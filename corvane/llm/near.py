@@ -188,8 +188,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     sketched = materialise(_dealt(docs).mapInPandas(sketch, "doc_id long, n_shingles long, set_id binary, registers binary"), "sketches")
     linked = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = linked.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    heads = materialise(linked.join(classes, ["set_id", "doc_id"], "left_semi").dropDuplicates(["set_id"]).select("doc_id", "n_shingles", "registers"), "classes")
+    # Combined before the shuffle, so the copies of one set don't pile up.
+    first = F.min(F.struct("doc_id", "n_shingles", "registers"))
+    heads = materialise(linked.groupBy("set_id").agg(first.alias("first")).select("set_id", "first.*"), "classes")
+    classes = heads.select("set_id", "doc_id")
 
     keys = F.expr(f"transform(sequence(0, {n_bands - 1}), b -> xxhash64(b, substring(registers, b * {2 * ROWS} + 1, {2 * ROWS})))")
     bands = heads.select("doc_id", F.explode(keys).alias("bucket"))

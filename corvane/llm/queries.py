@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bits, exact, near, packing, toxicity
+from . import bits, exact, near, packing, secrets, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
     "op2_near_duplicates": near.op2_near_duplicates,
+    "op3_secrets": secrets.op3_secrets,
     "op5_token_output": bits.op5_token_output,
     "op8_packing": packing.op8_packing,
     "op9_toxicity": toxicity.op9_toxicity,
