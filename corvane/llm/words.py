@@ -6,6 +6,7 @@ import json
 import os
 import zlib
 from array import array
+from itertools import islice
 
 import numpy as np
 
@@ -46,11 +47,12 @@ class WordEncoder:
     """Encodes texts as the tokenizer file does, remembering chunks between white space.
 
     Right for tokenizers whose pre-tokenizer drops white space and whose merges
-    never cross it.  Chunks are forgotten at ``limit`` of them, so memory is
-    bounded whatever the corpus; so are the ``limit`` words behind them.
+    never cross it.  Of ``limit`` chunks the later third is forgotten, and so with
+    the words behind them: memory is bounded whatever the corpus, and the chunks
+    met first, which the commonest are among, stay.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -62,25 +64,30 @@ class WordEncoder:
         kinds = lambda part, key: [x["type"] for x in (part or {}).get(key, [])]
         self.direct = parts["model"]["type"] == "BPE" and kinds(parts["normalizer"], "normalizers") == _LOWERING and kinds(parts["pre_tokenizer"], "pretokenizers") == _SPLITTING
         self.letters = _byte_letters()
-        self.words: dict[bytes, list[int]] = {}
+        self.words: dict[bytes, bytes] = {}
         self.known = _Memory(self._learn)
-        self._forget()
+        self.flat, self.starts, self.sizes, self.held = array("I"), array("q"), array("q"), 0
 
     def _forget(self) -> None:
+        keep = 2 * self.limit // 3 if len(self.known) > self.limit else 0  # long chunks: let all go
+        first = list(islice(self.known.items(), keep))
         self.known.clear()
-        self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
+        self.known.update(first)
+        self.held = sum(len(c) for c, _ in first)
+        if len(self.starts) > keep:
+            del self.flat[self.starts[keep] :], self.starts[keep:], self.sizes[keep:]
 
-    def _merged(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token, through the merges alone."""
+    def _merged(self, piece: bytes) -> bytes:
+        """The ids of one pre-token, through the merges alone, as uint32 bytes."""
         found = self.words.get(piece)
         if found is None:
             if len(self.words) >= self.limit:
-                self.words.clear()
+                self.words = dict(islice(self.words.items(), 2 * self.limit // 3))
             shown = piece.decode() if piece.isascii() else piece.decode("latin-1").translate(self.letters)
-            found = self.words[piece] = [t.id for t in self.model.tokenize(shown)]
+            found = self.words[piece] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return found
 
-    def _ids(self, chunk: bytes) -> list[int]:
+    def _ids(self, chunk: bytes) -> bytes:
         if self.direct and len(chunk) < 64:
             core = chunk.rstrip(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
             if not core.isalpha():  # letters of Latin-1 are in NFC, and lower to one letter
@@ -89,13 +96,14 @@ class WordEncoder:
             if core:
                 end = chunk[len(core) :]
                 return self._merged(core) + self._merged(end) if end else self._merged(core)
-        return self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
+        return array("I", self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
 
     def _learn(self, chunk: bytes) -> int:
         ids, k = self._ids(chunk), len(self.known)
         self.starts.append(len(self.flat))
-        self.sizes.append(len(ids))
-        self.flat.extend(ids)
+        self.sizes.append(len(ids) >> 2)
+        self.held += len(chunk)
+        self.flat.frombytes(ids)
         self.known[chunk] = k
         return k
 
@@ -105,7 +113,7 @@ class WordEncoder:
         chunks = (data.lower() if self.direct else data).split()  # bytes split at the six ASCII blanks
         parts = []
         for at in range(0, len(chunks), 50_000):  # long texts go in steps, so that memory holds a step's ids
-            if len(self.known) > self.limit or len(self.flat) > 8 * self.limit:
+            if len(self.known) > self.limit or self.held > 48 * self.limit:
                 self._forget()
             step = chunks[at : at + 50_000]
             index = np.fromiter(map(self.known.__getitem__, step), np.int64, len(step))
