@@ -44,15 +44,22 @@ def _minima(data: Column, first: Column, n: Column) -> Column:
     gram = lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.substr(data, i + 1, F.lit(GRAM))), 33), 31).bitwiseOR((F.lit(_LAST) - i).cast("long"))
     least = F.transform(F.sequence(first, last), gram)
     step = 1
-    while step < WINDOW:  # each round doubles how many grams an element is the least of
-        least = _let(least, lambda a, step=step: F.zip_with(a, F.slice(a, step + 1, F.greatest(F.size(a) - step, F.lit(0))), lambda x, y: F.least(x, y)))
+    while step < WINDOW:
+        least = _doubled(least, step)
         step *= 2
     return F.array_distinct(F.slice(least, 1, n))
 
 
+def _doubled(least: Column, step: int) -> Column:
+    """Elements that are the least of ``step`` grams to the least of twice as many."""
+    ahead = lambda a: F.slice(a, step + 1, F.greatest(F.size(a) - step, F.lit(0)))
+    return _let(least, lambda a: F.zip_with(a, ahead(a), lambda x, y: F.least(x, y)))
+
+
 def selected(data: Column, first: Column, end: Column) -> Column:
     """The kept grams of the windows from ``first`` to before ``end``, a block at a time."""
-    blocks = F.transform(F.sequence(first, end - 1, F.lit(BLOCK)), lambda at: _minima(data, at, F.least(F.lit(BLOCK), end - at)))
+    # The bytes are bound once: reading a binary column copies it each time.
+    blocks = _let(data, lambda d: F.transform(F.sequence(first, end - 1, F.lit(BLOCK)), lambda at: _minima(d, at, F.least(F.lit(BLOCK), end - at))))
     return F.when(end > first, F.flatten(blocks)).otherwise(F.array().cast("array<long>"))
 
 
