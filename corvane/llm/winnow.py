@@ -4,8 +4,8 @@ The k-grams of a text's UTF-8 bytes are hashed; of every ``WINDOW`` hashes in a
 row the least is kept, the rightmost of equals, with its position.  Two texts
 that share ``GRAM + WINDOW - 1`` bytes in a row share a kept hash.
 
-A gram's hash (31 bits) and position sit in one long, hash above, position
-counted down below, so that the smaller long is the smaller hash, further right.
+A gram's hash (32 bits) and position sit in one long, hash * 2**31 - position - 1,
+so that the smaller long is the smaller hash, further right.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ BLOCK = 1 << 15
 #: Rows that lie next to each other in doc_id order in one bucket, and the most buckets.
 RUN, BUCKETS = 512, 20_000
 
-_LAST = (1 << 31) - 1
+_LOW = (1 << 31) - 1
+_HIGH = ((1 << 63) - 1) ^ _LOW
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -41,8 +42,8 @@ def _minima(data: Column, first: Column, n: Column) -> Column:
     """The kept grams of ``n`` > 0 windows from the window ``first`` on."""
     total, _ = _count(F.length(data))
     last = F.least(first + n + (WINDOW - 2), total - 1)
-    gram = lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.substr(data, i + 1, F.lit(GRAM))), 33), 31).bitwiseOR((F.lit(_LAST) - i).cast("long"))
-    least = F.transform(F.sequence(first, last), gram)
+    gram = lambda i: F.xxhash64(F.substr(data, i, F.lit(GRAM))).bitwiseAND(_HIGH) - i
+    least = F.transform(F.sequence(first + 1, last + 1), gram)
     step = 1
     while step < WINDOW:
         least = _doubled(least, step)
@@ -53,7 +54,7 @@ def _minima(data: Column, first: Column, n: Column) -> Column:
 def _doubled(least: Column, step: int) -> Column:
     """Elements that are the least of ``step`` grams to the least of twice as many."""
     ahead = lambda a: F.slice(a, step + 1, F.greatest(F.size(a) - step, F.lit(0)))
-    return _let(least, lambda a: F.zip_with(a, ahead(a), lambda x, y: F.least(x, y)))
+    return _let(least, lambda a: F.zip_with(a, ahead(a), lambda x, y: F.when(x > y, y).otherwise(x)))
 
 
 def selected(data: Column, first: Column, end: Column) -> Column:
@@ -69,13 +70,17 @@ def fingerprint(text: Column) -> Column:
     return F.array_distinct(selected(data, F.lit(0), _count(F.length(data))[1]))
 
 
+def _hash(gram: Column) -> Column:
+    return F.shiftright(gram + _LOW, 31)
+
+
 def hashes(grams: Column) -> Column:
-    return F.array_distinct(F.transform(grams, lambda g: F.shiftrightunsigned(g, 31)))
+    return F.array_distinct(F.transform(grams, _hash))
 
 
 def shown(grams: Column) -> Column:
     """hash@position (hexadecimal hash, position in bytes), comma-joined, in order of position."""
-    one = lambda g: F.concat(F.lower(F.hex(F.shiftrightunsigned(g, 31))), F.lit("@"), (F.lit(_LAST) - g.bitwiseAND(_LAST)).cast("string"))
+    one = lambda g: F.concat(F.lower(F.hex(_hash(g))), F.lit("@"), (F.shiftleft(_hash(g), 31) - g - 1).cast("string"))
     return F.array_join(F.transform(grams, one), ",")
 
 
