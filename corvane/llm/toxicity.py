@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from .shared import documents, materialise
 
 #: Bounds of the labelled sample (expected rows of each label) and of the lexicon.
-SAMPLE, ENTRIES = 8_000, 4_000
+SAMPLE, ENTRIES = 4_000, 4_000
 #: An entry needs so many different words before it in toxic rows, and this log ratio of its rate there to elsewhere.
 CONTEXTS, RATIO = 6, 3.0
 #: Entries are words' first letters, this many, or whole words up to the larger number.
@@ -73,14 +72,6 @@ def _word(word: str) -> str:
     return inner.replace("!", " ").replace("@", " ").replace("$", " ") or " "
 
 
-def entries_of(word: str) -> Iterator[str]:
-    """What a word is evidence for: its beginnings, and itself (marked by the blank after it)."""
-    for n in range(SHORTEST, min(len(word), LONGEST) + 1):
-        yield word[:n]
-    if len(word) <= LONGEST:
-        yield word + " "
-
-
 @dataclass
 class Lexicon:
     weights: dict[str, float]
@@ -148,25 +139,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) ->
 def learn(sample: DataFrame) -> Lexicon:
     """The lexicon and its model, from rows of text and toxic."""
 
-    def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found: dict[tuple[str, int], set[int]] = defaultdict(set)
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                before = ""
-                for word in fold(text).split():
-                    if len(word) >= SHORTEST:
-                        for entry in entries_of(word):
-                            found[entry, toxic].add(hash_of(before))
-                    before = word
-            keys = list(found)
-            yield pd.DataFrame({"entry": [k[0] for k in keys], "toxic": [k[1] for k in keys], "contexts": [np.fromiter(found[k], np.int64) for k in keys]})
+            for at in range(0, len(batch), 200):
+                found = set()
+                for text, toxic in zip(batch["text"][at : at + 200], batch["toxic"][at : at + 200], strict=True):
+                    before = ""
+                    for word in fold(text).split():
+                        if len(word) >= SHORTEST:
+                            found.add((word, hash_of(before), toxic))
+                        before = word
+                yield pd.DataFrame(list(found), columns=["word", "before", "toxic"])
 
     # Counted by different words before it: copies of one text count once.
-    seen = sample.mapInPandas(evidence, "entry string, toxic int, contexts array<long>")
-    counted = seen.select("entry", "toxic", F.explode("contexts").alias("c")).groupBy("entry").agg(
-        F.approx_count_distinct(F.when(F.col("toxic") == 1, F.col("c")), 0.02).alias("bad"),
-        F.approx_count_distinct(F.when(F.col("toxic") == 0, F.col("c")), 0.02).alias("good"),
-    )
+    seen = sample.mapInPandas(words, "word string, before long, toxic int").distinct()
+    by_word = seen.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    # A word is evidence for its beginnings, and for itself (marked by the blank after it).
+    lengths = F.sequence(F.lit(SHORTEST), F.least(F.length("word"), F.lit(LONGEST)))
+    entries = F.concat(F.transform(lengths, lambda n: F.substr("word", F.lit(1), n)), F.when(F.length("word") <= LONGEST, F.array(F.concat("word", F.lit(" ")))).otherwise(F.array()))
+    counted = by_word.select(F.explode(entries).alias("entry"), "bad", "good").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     sizes = sample.agg(F.sum(F.when(F.col("toxic") == 1, F.length("text"))), F.sum(F.when(F.col("toxic") == 0, F.length("text")))).first()
     bad_size, good_size = (float(x or 0) + 1.0 for x in sizes)
     ratio = F.log((F.col("bad") + 0.5) / bad_size) - F.log((F.col("good") + 0.5) / good_size)
