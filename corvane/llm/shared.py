@@ -92,15 +92,32 @@ def flagged(rows: DataFrame, keys: DataFrame, column: str, bits: int = 1 << 24)
     number of keys.  It only saves the rows from a shuffle; callers join or
     group exactly afterwards.
     """
+    return _with_flag(rows, keys, column, bits).where("_flag").drop("_flag")
+
+
+def without(rows: DataFrame, keys: DataFrame, column: str, bits: int = 1 << 24) -> DataFrame:
+    """The rows whose ``column`` isn't among ``keys``; null values stay.
+
+    Rows that the bitmap clears, most of them, pass without a shuffle; only the
+    others are joined.
+    """
+    marked = _with_flag(rows, keys, column, bits)
+    clear = marked.where("NOT _flag").drop("_flag")
+    return clear.unionByName(marked.where("_flag").drop("_flag").join(keys.select(column), column, "left_anti").select(*rows.columns))
+
+
+def _with_flag(rows: DataFrame, keys: DataFrame, column: str, bits: int) -> DataFrame:
     slot = lambda: F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
     bitmap = (
-        keys.select(slot().alias("_slot"))
+        keys.where(F.col(column).isNotNull()).select(slot().alias("_slot"))
         .groupBy(F.bitmap_bucket_number("_slot").alias("_bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bitmap"))
-    )
+    )
     placed = rows.withColumn("_slot", slot())
     hit = F.expr(
         "shiftright(cast(conv(hex(substring(_bitmap, cast(bitmap_bit_position(_slot) div 8 as int) + 1, 1)), 16, 10) as int),"
         " cast(bitmap_bit_position(_slot) % 8 as int)) & 1 = 1"
     )
-    return placed.join(F.broadcast(bitmap), F.bitmap_bucket_number(F.col("_slot")) == F.col("_bucket")).where(hit).drop("_slot", "_bucket", "_bitmap")
+    joined = placed.join(F.broadcast(bitmap), F.bitmap_bucket_number(F.col("_slot")) == F.col("_bucket"), "left")
+    flag = F.col(column).isNotNull() & F.coalesce(hit, F.lit(False))
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], flag.alias("_flag"))

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -199,8 +200,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return tuple(float(b) for b in beta)
 
 
-def score(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score, predicted (and the columns ``keep`` names) for each row of ``docs``.
+def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """doc_id, score, predicted for each row of ``docs``.
 
     Null and empty texts have no words and get the model's least score.  Rows
     that repeat a doc_id, and null doc_ids, are scored as they are.
@@ -209,11 +210,19 @@ def score(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ()) -> Data
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [lexicon.score(t) for t in batch["text"]]
-            yield batch[["doc_id", *keep]].assign(doc_id=batch["doc_id"].astype("Int64"), score=found, predicted=[int(s >= THRESHOLD) for s in found])
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": found, "predicted": [int(s >= THRESHOLD) for s in found]})
 
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *{"text", *keep})
-    kinds = ", ".join(f"{c} {given.schema[c].dataType.simpleString()}" for c in keep)
-    return given.mapInPandas(rows, f"doc_id long, {kinds + ', ' if kinds else ''}score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(rows, "doc_id long, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The rows of ``docs`` that score below THRESHOLD, all columns as they are."""
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([lexicon.score(t) < THRESHOLD for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
