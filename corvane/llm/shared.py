@@ -108,6 +108,7 @@ def without(rows: DataFrame, keys: DataFrame, column: str, bits: int = 1 << 24)
 
 def _with_flag(rows: DataFrame, keys: DataFrame, column: str, bits: int) -> DataFrame:
     slot = lambda: F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
+    keys = keys.select(F.col(column).cast(rows.schema[column].dataType).alias(column))  # equal hashes need equal types
     bitmap = (
         keys.where(F.col(column).isNotNull()).select(slot().alias("_slot"))
         .groupBy(F.bitmap_bucket_number("_slot").alias("_bucket"))
