@@ -1,6 +1,397 @@
-"""Every query over the library's own operators, with its SQL for DuckDB."""
+"""Every query over the library's own operators, with its SQL for DuckDB.
+
+Searches take every vector whose vec_id is divisible by 50 as a query, against
+all vectors.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .functions import vector as V
+from .operators import hnsw, ivf, kmeans, search
+from .plans.search import SearchPlan
+
+K, LISTS, PROBES, PARTS, CODES, LINKS, DIM = 10, 8, 3, 8, 16, 8, 64
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+
+
+def queries_of(v: DataFrame) -> DataFrame:
+    return v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+
+
+def shown(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("distance", F.round("distance", 6))
+
+
+def exploded(df: DataFrame, column: str, *keys: str) -> DataFrame:
+    return df.select(*keys, F.posexplode(column).alias("pos", "value")).withColumn("value", F.round("value", 6))
+
+
+# -- pieces of SQL --------------------------------------------------------------------------------
+
+_V = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT vec_id AS qid, e AS q FROM v WHERE vec_id % 50 = 0)"
+
+
+def _each(expression: str, a: str, b: str, n: int = DIM) -> str:
+    return f"list_sum(list_transform(range(1, {n + 1}), lambda i: {expression.format(a=a, b=b)}))"
+
+
+def _l2(a: str, b: str, n: int = DIM) -> str:
+    return _each("({a}[i] - {b}[i]) * ({a}[i] - {b}[i])", a, b, n)
+
+
+def _ip(a: str, b: str, n: int = DIM) -> str:
+    return _each("{a}[i] * {b}[i]", a, b, n)
+
+
+def _norm(a: str, n: int = DIM) -> str:
+    return f"sqrt({_ip(a, a, n)})"
+
+
+def _top(source: str, k: int = K, order: str = "d ASC", tie: str = "vec_id") -> str:
+    return f"SELECT qid, CAST(rank AS INT) AS rank, vec_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {order}, {tie}) AS rank FROM ({source})) WHERE rank <= {k}"
+
+
+def _kmeans(k: int, metric: str = "l2", source: str = "v", n: int = DIM, rounds: int = kmeans.ROUNDS, name: str = "c", part: str = "0") -> str:
+    """CTEs name0 .. name{rounds}: part, list_id, c (centroids); ``source`` has vec_id, part, e."""
+    cost = _l2("s.e", "k.c", n) if metric == "l2" else f"-{_ip('s.e', 'k.c', n)}"
+    out = [f"{name}0 AS MATERIALIZED (SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS INT) AS list_id, e AS c FROM {source} QUALIFY list_id < {k})"]
+    for i in range(rounds):
+        out += [
+            f"{name}a{i} AS MATERIALIZED (SELECT s.part, s.vec_id, arg_min(k.list_id, {{'d': {cost}, 'l': k.list_id}}) AS list_id FROM {source} s JOIN {name}{i} k ON s.part = k.part GROUP BY s.part, s.vec_id)",
+            f"{name}m{i} AS MATERIALIZED (SELECT part, list_id, list(x ORDER BY p) AS c FROM (SELECT a.part, a.list_id, p, avg(e[p]) AS x FROM {name}a{i} a JOIN {source} s ON a.vec_id = s.vec_id AND a.part = s.part, range(1, {n + 1}) r(p) GROUP BY ALL) GROUP BY part, list_id)",
+            f"{name}{i + 1} AS MATERIALIZED (SELECT k.part, k.list_id, coalesce(m.c, k.c) AS c FROM {name}{i} k LEFT JOIN {name}m{i} m ON k.part = m.part AND k.list_id = m.list_id)",
+        ]
+    return ", ".join(out)
+
+
+def _assigned(name: str, centroids: str, metric: str = "l2", source: str = "v0", n: int = DIM) -> str:
+    cost = _l2("s.e", "k.c", n) if metric == "l2" else f"-{_ip('s.e', 'k.c', n)}"
+    return f"{name} AS MATERIALIZED (SELECT s.part, s.vec_id, arg_min(k.list_id, {{'d': {cost}, 'l': k.list_id}}) AS list_id FROM {source} s JOIN {centroids} k ON s.part = k.part GROUP BY s.part, s.vec_id)"
+
+
+_V0 = _V + ", v0 AS (SELECT 0 AS part, vec_id, e FROM v)"
+_LAST = f"c{kmeans.ROUNDS}"
+_PROBED = "p AS MATERIALIZED (SELECT qid, q, list_id, r FROM (SELECT qid, q, list_id, row_number() OVER (PARTITION BY qid ORDER BY {cost}, list_id) AS r FROM q, {last} k) WHERE r <= {n})"
+
+
+def _ivf(metric: str, nprobe: int) -> str:
+    cost = _l2("q", "k.c") if metric == "l2" else f"-{_ip('q', 'k.c')}"
+    d = _l2("p.q", "v.e") if metric == "l2" else _ip("p.q", "v.e")
+    return (
+        f"WITH {_V0}, {_kmeans(LISTS, metric, 'v0')}, {_assigned('a', _LAST, metric)}, {_PROBED.format(cost=cost, last=_LAST, n=nprobe)} "
+        + _top(f"SELECT p.qid, v.vec_id, {d} AS d FROM p JOIN a USING (list_id) JOIN v ON v.vec_id = a.vec_id", order="d ASC" if metric == "l2" else "d DESC")
+    )
+
+
+# -- distances and exact search ---------------------------------------------------------------------
+
+
+def _flat(metric: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        v = vectors(spark, sf_dir)
+        return shown(search.flat_search(v, queries_of(v), K, metric))
+
+    return run
+
+
+QUERIES["flat_l2_topk"] = _flat("l2")
+SQL["flat_l2_topk"] = f"WITH {_V} " + _top(f"SELECT qid, vec_id, {_l2('q', 'e')} AS d FROM q, v")
+QUERIES["flat_ip_topk"] = _flat("ip")
+SQL["flat_ip_topk"] = f"WITH {_V} " + _top(f"SELECT qid, vec_id, {_ip('q', 'e')} AS d FROM q, v", order="d DESC")
+QUERIES["flat_cosine_topk"] = _flat("cosine")
+SQL["flat_cosine_topk"] = f"WITH {_V} " + _top(f"SELECT qid, vec_id, {_ip('q', 'e')} / ({_norm('q')} * {_norm('e')}) AS d FROM q, v", order="d DESC")
+
+
+@query("flat_native_topk", SQL["flat_l2_topk"])
+def flat_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search in built-in functions alone."""
+    v = vectors(spark, sf_dir)
+    return shown(search.flat_search(v, queries_of(v), K, "l2", "native"))
+
+
+@query("distance_l2_batch", f"WITH {_V} SELECT qid, vec_id, round(greatest(0.0, {_l2('q', 'e')}), 6) AS distance FROM q, v")
+def distance_l2_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    pairs = F.broadcast(queries_of(v)).crossJoin(v)
+    return pairs.select("qid", "vec_id", F.round(V.l2_by_norms(F.col("q"), F.col("embedding")), 6).alias("distance"))
+
+
+@query("distance_ip_batch", f"WITH {_V} SELECT qid, vec_id, round({_ip('q', 'e')}, 6) AS distance FROM q, v")
+def distance_ip_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    return shown(search.native_hits(v, queries_of(v), "ip"))
+
+
+@query("flat_filtered_topk", f"WITH {_V} " + _top(f"SELECT qid, v.vec_id, {_l2('q', 'v.e')} AS d FROM q, v JOIN embeddings USING (vec_id) WHERE label IN (1, 3, 5)"))
+def flat_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter before the search reaches the scan."""
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return shown(search.flat_search(table.where("label IN (1, 3, 5)").select("vec_id", "embedding"), queries_of(vectors(spark, sf_dir)), K))
+
+
+@query("radius_search", f"WITH {_V} SELECT * FROM (SELECT qid, vec_id, round({_l2('q', 'e')}, 6) AS distance FROM q, v WHERE {_l2('q', 'e')} < 1.5)")
+def radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    return shown(search.radius_search(v, queries_of(v), 1.5))
+
+
+@query("vector_norms", f"WITH {_V} SELECT vec_id, round({_norm('e')}, 6) AS norm FROM v")
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query("l2_normalize", f"WITH {_V} SELECT vec_id, CAST(p - 1 AS INT) AS pos, round(e[p] / n, 6) AS value FROM (SELECT vec_id, e, {_norm('e')} AS n FROM v), range(1, {DIM + 1}) r(p)")
+def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exploded(vectors(spark, sf_dir).withColumn("n", V.normalised(F.col("embedding"))), "n", "vec_id")
+
+
+@query("subvector_slice", f"WITH {_V} SELECT vec_id, CAST(p - 1 AS INT) AS pos, round(e[16 + p], 6) AS value FROM v, range(1, 9) r(p)")
+def subvector_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exploded(vectors(spark, sf_dir).withColumn("s", V.double(V.subvector(F.col("embedding"), 2, 8))), "s", "vec_id")
+
+
+# -- k-means and inverted files -----------------------------------------------------------------------
+
+
+def _trained(metric: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        centroids = kmeans.kmeans_train(vectors(spark, sf_dir), LISTS, metric)
+        return exploded(kmeans.centroid_frame(spark, centroids), "centroid", "list_id")
+
+    return run
+
+
+for _metric in ("l2", "ip"):
+    QUERIES[f"kmeans_{_metric}"] = _trained(_metric)
+    SQL[f"kmeans_{_metric}"] = f"WITH {_V0}, {_kmeans(LISTS, _metric, 'v0')} SELECT list_id, CAST(p - 1 AS INT) AS pos, round(c[p], 6) AS value FROM {_LAST}, range(1, {DIM + 1}) r(p)"
+
+
+def _index(spark: SparkSession, sf_dir: str, metric: str = "l2"):
+    v = vectors(spark, sf_dir)
+    return ivf.ivf_add(ivf.ivf_train(ivf.ivf_create(DIM, LISTS, metric), v), v)
+
+
+_WITH_LISTS = f"WITH {_V0}, {_kmeans(LISTS, 'l2', 'v0')}, {_assigned('a', _LAST)} "
+
+
+@query("ivf_assign", _WITH_LISTS + "SELECT vec_id, list_id FROM a")
+def ivf_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).tables["lists"].select("vec_id", "list_id")
+
+
+@query("ivf_list_sizes", _WITH_LISTS + "SELECT list_id, count(*) AS n FROM a GROUP BY list_id")
+def ivf_list_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).tables["lists"].groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("residuals", _WITH_LISTS + f"SELECT a.vec_id, CAST(p - 1 AS INT) AS pos, round(e[p] - c[p], 6) AS value FROM a JOIN v ON v.vec_id = a.vec_id JOIN {_LAST} k ON k.list_id = a.list_id, range(1, {DIM + 1}) r(p)")
+def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    centroids = kmeans.centroid_frame(spark, index.params["centroids"])
+    joined = index.tables["lists"].join(F.broadcast(centroids), "list_id")
+    return exploded(joined.withColumn("r", V.residual(F.col("embedding"), F.col("centroid"))), "r", "vec_id")
+
+
+@query("ivf_probe_lists", f"WITH {_V0}, {_kmeans(LISTS, 'l2', 'v0')}, {_PROBED.format(cost=_l2('q', 'k.c'), last=_LAST, n=PROBES)} SELECT qid, CAST(r AS INT) AS rank, list_id FROM p")
+def ivf_probe_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    centroids = kmeans.centroid_frame(spark, kmeans.kmeans_train(v, LISTS)).select(F.col("list_id").cast("long").alias("vec_id"), F.col("centroid").alias("embedding"))
+    return search.flat_search(centroids, queries_of(v), PROBES).select("qid", "rank", F.col("vec_id").cast("int").alias("list_id"))
+
+
+def _ivf_query(metric: str, nprobe: int) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return shown(ivf.ivf_search(_index(spark, sf_dir, metric), queries_of(vectors(spark, sf_dir)), SearchPlan(K, nprobe)))
+
+    return run
+
+
+QUERIES["ivf_topk"], SQL["ivf_topk"] = _ivf_query("l2", PROBES), _ivf("l2", PROBES)
+QUERIES["ivf_ip_topk"], SQL["ivf_ip_topk"] = _ivf_query("ip", PROBES), _ivf("ip", PROBES)
+QUERIES["ivf_full_probe_topk"], SQL["ivf_full_probe_topk"] = _ivf_query("l2", LISTS), SQL["flat_l2_topk"]
+
+
+@query("recall_at_k", f"WITH f AS ({SQL['flat_l2_topk']}), i AS ({SQL['ivf_topk']}) SELECT f.qid, count(i.vec_id) / {K}.0::DOUBLE AS recall FROM f LEFT JOIN i ON f.qid = i.qid AND f.vec_id = i.vec_id GROUP BY f.qid")
+def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the exact neighbours the probed lists give."""
+    exact, probed = QUERIES["flat_l2_topk"](spark, sf_dir), QUERIES["ivf_topk"](spark, sf_dir)
+    found = probed.select("qid", "vec_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["qid", "vec_id"], "left").groupBy("qid").agg((F.count("hit") / F.lit(float(K))).alias("recall"))
+
+
+@query("label_majority_vote", f"WITH f AS ({SQL['flat_l2_topk']}), n AS (SELECT qid, label, count(*) AS votes FROM f JOIN embeddings USING (vec_id) GROUP BY ALL) SELECT qid, arg_min(label, {{'a': -votes, 'b': label}}) AS label FROM n GROUP BY qid")
+def label_majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commonest label of each query's neighbours, the smaller of equals."""
+    labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
+    votes = labels.join(F.broadcast(QUERIES["flat_l2_topk"](spark, sf_dir)), "vec_id").groupBy("qid", "label").agg(F.count(F.lit(1)).alias("votes"))
+    return votes.groupBy("qid").agg(F.min(F.struct((-F.col("votes")).alias("a"), "label")).alias("best")).select("qid", "best.label")
+
+
+# -- product quantization ---------------------------------------------------------------------------
+
+_WIDTH = DIM // PARTS
+_SUBS = f"vs AS MATERIALIZED (SELECT vec_id, CAST(part AS INT) AS part, e[part * {_WIDTH} + 1 : part * {_WIDTH} + {_WIDTH}] AS e FROM {{source}}, range({PARTS}) r(part))"
+_BOOKS = f"b{kmeans.ROUNDS}"
+_WITH_CODES = f"WITH {_V0}, {_SUBS.format(source='v')}, {_kmeans(CODES, 'l2', 'vs', _WIDTH, name='b')}, {_assigned('codes', _BOOKS, 'l2', 'vs', _WIDTH)} "
+
+
+def _pq(spark: SparkSession, sf_dir: str):
+    v = vectors(spark, sf_dir)
+    return ivf.pq_add(ivf.pq_train(ivf.pq_create(DIM, PARTS, CODES), v), v)
+
+
+def _books(spark: SparkSession, books) -> DataFrame:
+    rows = [(s, c, books[s, c].tolist()) for s in range(books.shape[0]) for c in range(books.shape[1])]
+    return exploded(spark.createDataFrame(rows, "part int, code int, centroid array<double>"), "centroid", "part", "code")
+
+
+@query("pq_train", _WITH_CODES + f"SELECT part, list_id AS code, CAST(p - 1 AS INT) AS pos, round(c[p], 6) AS value FROM {_BOOKS}, range(1, {_WIDTH + 1}) r(p)")
+def pq_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _books(spark, ivf.pq_train(ivf.pq_create(DIM, PARTS, CODES), vectors(spark, sf_dir)).params["codebooks"])
+
+
+@query("pq_encode", _WITH_CODES + "SELECT vec_id, part AS pos, list_id AS code FROM codes")
+def pq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pq(spark, sf_dir).tables["codes"].select("vec_id", F.posexplode("codes").alias("pos", "code")).withColumn("code", F.col("code").cast("int"))
+
+
+@query("pq_decode", _WITH_CODES + f"SELECT vec_id, CAST(k.part * {_WIDTH} + p - 1 AS INT) AS pos, round(c[p]::FLOAT::DOUBLE, 5) AS value FROM codes d JOIN {_BOOKS} k ON d.part = k.part AND d.list_id = k.list_id, range(1, {_WIDTH + 1}) r(p)")
+def pq_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _pq(spark, sf_dir)
+    back = ivf.pq_decode(index.tables["codes"], index.params["codebooks"])
+    return back.select("vec_id", F.posexplode(V.double(F.col("embedding"))).alias("pos", "value")).withColumn("value", F.round("value", 5))
+
+
+@query("pq_topk", _WITH_CODES + _top(f"SELECT qid, vec_id, sum({_each('(q[d.part * ' + str(_WIDTH) + ' + i] - c[i]) * (q[d.part * ' + str(_WIDTH) + ' + i] - c[i])', 'q', 'c', _WIDTH)}) AS d FROM q, codes d JOIN {_BOOKS} k ON d.part = k.part AND d.list_id = k.list_id GROUP BY qid, vec_id", order="round(d, 9) ASC"))
+def pq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(ivf.pq_search(_pq(spark, sf_dir), queries_of(vectors(spark, sf_dir)), SearchPlan(K)))
+
+
+_WITH_RESIDUALS = (
+    f"WITH {_V0}, {_kmeans(LISTS, 'l2', 'v0')}, {_assigned('a', _LAST)}, "
+    f"vr AS MATERIALIZED (SELECT a.vec_id, list_transform(range(1, {DIM + 1}), lambda i: e[i] - c[i]) AS e FROM a JOIN v ON v.vec_id = a.vec_id JOIN {_LAST} k ON k.list_id = a.list_id), "
+    f"{_SUBS.format(source='vr')}, {_kmeans(CODES, 'l2', 'vs', _WIDTH, name='b')}, {_assigned('codes', _BOOKS, 'l2', 'vs', _WIDTH)} "
+)
+
+
+def _ivfpq(spark: SparkSession, sf_dir: str):
+    v = vectors(spark, sf_dir)
+    return ivf.ivfpq_add(ivf.ivfpq_train(ivf.ivfpq_create(DIM, LISTS, PARTS, CODES), v), v)
+
+
+@query("ivfpq_encode", _WITH_RESIDUALS + "SELECT a.list_id, d.vec_id, d.part AS pos, d.list_id AS code FROM codes d JOIN a ON a.vec_id = d.vec_id")
+def ivfpq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = _ivfpq(spark, sf_dir).tables["lists"]
+    return coded.select("list_id", "vec_id", F.posexplode("codes").alias("pos", "code")).withColumn("code", F.col("code").cast("int"))
+
+
+_PQ_L2 = _each(f"(p.q[d.part * {_WIDTH} + i] - k.c[d.part * {_WIDTH} + i] - b.c[i]) * (p.q[d.part * {_WIDTH} + i] - k.c[d.part * {_WIDTH} + i] - b.c[i])", "", "", _WIDTH)
+
+
+@query(
+    "ivfpq_topk",
+    _WITH_RESIDUALS.rstrip() + f", {_PROBED.format(cost=_l2('q', 'k.c'), last=_LAST, n=PROBES)} "
+    + _top(f"SELECT p.qid, d.vec_id, p.r, sum({_PQ_L2}) AS d FROM p JOIN {_LAST} k ON k.list_id = p.list_id JOIN a ON a.list_id = p.list_id JOIN codes d ON d.vec_id = a.vec_id JOIN {_BOOKS} b ON b.part = d.part AND b.list_id = d.list_id GROUP BY p.qid, d.vec_id, p.r", order="round(d, 9) ASC", tie="r, vec_id"),
+)
+def ivfpq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(ivf.ivfpq_search(_ivfpq(spark, sf_dir), queries_of(vectors(spark, sf_dir)), SearchPlan(K, PROBES)))
+
+
+# -- neighbour graphs ---------------------------------------------------------------------------------
+
+
+@query("hnsw_forward_edges", f"WITH {_V} SELECT qid AS node, rank AS slot, vec_id AS neighbor, distance FROM ({_top('SELECT a.vec_id AS qid, b.vec_id, ' + _l2('a.e', 'b.e') + ' AS d FROM v a JOIN v b ON b.vec_id < a.vec_id', k=LINKS)})")
+def hnsw_forward_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(hnsw.forward_edges(vectors(spark, sf_dir), LINKS))
+
+
+@query("knn_graph", f"WITH {_V} " + _top(f"SELECT qid, vec_id, {_l2('q', 'e')} AS d FROM q JOIN v ON qid != vec_id", k=LINKS))
+def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's nearest others."""
+    v = vectors(spark, sf_dir)
+    hits = search.exact_hits(v, queries_of(v), LINKS + 1, "l2").where("qid != vec_id")
+    return shown(search.ranked(hits, LINKS, "l2"))
+
+
+def _graph(spark: SparkSession, sf_dir: str):
+    v = vectors(spark, sf_dir)
+    return hnsw.hnsw_add(hnsw.hnsw_create(DIM, LINKS, 64), v)
+
+
+@query("hnsw_graph")
+def hnsw_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).tables["graph"].select("node", F.posexplode("neighbors").alias("slot", "neighbor"))
+
+
+@query("hnsw_degree")
+def hnsw_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).tables["graph"].select("node", F.size("neighbors").alias("degree"))
+
+
+@query("hnsw_topk")
+def hnsw_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(hnsw.hnsw_search(_graph(spark, sf_dir), queries_of(vectors(spark, sf_dir)), SearchPlan(K, 64)))
+
+
+# -- texts ---------------------------------------------------------------------------------------------
+
+_FNV = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(t, ''), lambda c: ascii(c)::UHUGEINT)), lambda h, c: (xor(h, c) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+_SIGNED = "CAST(CASE WHEN h >= 9223372036854775808::UHUGEINT THEN h::HUGEINT - 18446744073709551616::HUGEINT ELSE h::HUGEINT END AS BIGINT)"
+_TOKENS = f"t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{X._UPPER}', '{X._LOWER}'), '[a-z0-9_]+')) AS t FROM documents), w AS MATERIALIZED (SELECT t, {_SIGNED} AS token_hash FROM (SELECT t, {_FNV} AS h FROM (SELECT DISTINCT t FROM t)))"
+
+
+@query("token_hash", f"WITH {_TOKENS} SELECT t AS token, token_hash FROM w")
+def token_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FNV-1a of all different tokens, in built-in functions."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = docs.select(F.explode(X.tokens(F.coalesce("text", F.lit("")))).alias("token")).distinct()
+    return found.select("token", X.fnv1a_column(F.col("token")).alias("token_hash"))
+
+
+_BOW = f"{_TOKENS}, s AS (SELECT doc_id, ((token_hash % {DIM}) + {DIM}) % {DIM} AS slot, count(*) AS n FROM t JOIN w USING (t) GROUP BY ALL), b AS (SELECT doc_id, slot, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS x FROM s)"
+
+
+@query("bow_embed", f"WITH {_BOW} SELECT doc_id, CAST(slot AS INT) AS pos, round(x::FLOAT::DOUBLE, 5) AS value FROM b")
+def bow_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    vector = docs.select("doc_id", X.embed_column(F.col("text"), DIM).alias("e"))
+    return vector.select("doc_id", F.posexplode(V.double(F.col("e"))).alias("pos", "value")).where("value != 0").withColumn("value", F.round("value", 5))
+
+
+@query("doc_topk")
+def doc_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents nearest to every fiftieth one, by their embeddings."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    v = docs.select(F.col("doc_id").alias("vec_id"), X.embed_column(F.col("text"), DIM).alias("embedding"))
+    return shown(search.flat_search(v, queries_of(v), K, "ip"))
+
+
+@query("sha256_contract", "SELECT doc_id, 'sha256:' || sha256(coalesce(text, '')) AS contract_hash FROM documents")
+def sha256_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", X.sha256_column(F.coalesce("text", F.lit(""))).alias("contract_hash"))
+
+
