@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import vector as V
-from .operators import hnsw, ivf, kmeans, search
+from .operators import governance, hnsw, ivf, kmeans, search
 from .plans.search import SearchPlan
 
 K, LISTS, PROBES, PARTS, CODES, LINKS, DIM = 10, 8, 3, 8, 16, 8, 64
@@ -395,3 +395,124 @@ def sha256_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", X.sha256_column(F.coalesce("text", F.lit(""))).alias("contract_hash"))
 
 
+
+
+# -- specifications, contracts, versions ----------------------------------------------------------------
+
+_SPACES = [("sp.one", 0, 64, "l2", "l2"), ("sp.two", 1, 32, "ip", "none"), ("sp.three", 2, 16, "l2", "none")]
+_NEWER = [("sp.one", 0, 64, "ip", "l2"), ("sp.two", 1, 32, "ip", "none"), ("sp.three", 2, 24, "l2", "l2")]
+_MINTS = [("m.a", 0, "sp.one"), ("m.b", 1, "sp.two"), ("m.c", 2, "sp.one"), ("m.d", 3, "sp.three"), ("m.e", 4, "sp.none"), ("m.f", 5, "sp.two")]
+_TRACES = [("t.1", ["m.a", "m.b", "m.c"]), ("t.2", ["m.d"]), ("t.3", ["m.f", "m.x", "m.a", "m.f"])]
+_EMBEDDERS = [(1, "big", "gpu", 4096, 8192), (2, "any", "any", 256, 0), (3, "plain", " CPU ", 512, 0), (4, "npu", "npu", 512, 0), (5, "none", "", 64, 0)]
+
+
+def _values(name: str, columns: str, rows: list[tuple]) -> str:
+    shown = lambda v: "[" + ", ".join(map(shown, v)) + "]" if isinstance(v, list) else f"'{v}'" if isinstance(v, str) else str(v)
+    return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(shown, r)) + ')' for r in rows)})"
+
+
+_S = _values("s", "space_id, ord, dim, metric, normalization", _SPACES)
+_M = _values("m", "mint_id, ord, space_id", _MINTS)
+_T = _values("t", "trace_id, steps", _TRACES)
+_STEPS = "st AS (SELECT trace_id, CAST(i - 1 AS INT) AS ord, steps[i] AS source, steps[i + 1] AS target FROM t, range(1, 9) r(i) WHERE i <= len(steps))"
+
+
+def _spec_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (
+        spark.createDataFrame(_SPACES, "space_id string, ord int, dim int, metric string, normalization string"),
+        spark.createDataFrame(_MINTS, "mint_id string, ord int, space_id string"),
+        spark.createDataFrame(_TRACES, "trace_id string, steps array<string>"),
+    )
+
+
+@query("fk_violations", f"WITH {_S}, {_M}, {_T}, {_STEPS} SELECT 'mint' AS kind, mint_id AS id, space_id AS missing FROM m WHERE space_id NOT IN (SELECT space_id FROM s) UNION ALL SELECT 'trace', trace_id, source FROM st WHERE source NOT IN (SELECT mint_id FROM m)")
+def fk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spaces, mints, traces = _spec_tables(spark)
+    lost = governance.dangling(mints, spaces, "space_id").select(F.lit("mint").alias("kind"), F.col("mint_id").alias("id"), F.col("space_id").alias("missing"))
+    steps = traces.select("trace_id", F.explode("steps").alias("mint_id"))
+    return lost.unionByName(governance.dangling(steps, mints, "mint_id").select(F.lit("trace").alias("kind"), F.col("trace_id").alias("id"), F.col("mint_id").alias("missing")))
+
+
+@query("trace_edges", f"WITH {_T}, {_STEPS} SELECT * FROM st WHERE target IS NOT NULL")
+def trace_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.trace_edges(_spec_tables(spark)[2])
+
+
+@query(
+    "spec_layout_offsets",
+    f"WITH {_S}, {_M}, n AS (SELECT s.*, (SELECT count(*) FROM m WHERE m.space_id = s.space_id) AS n FROM s), p AS (SELECT *, coalesce(sum(dim * 4 * n) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM n), "
+    "k AS (SELECT *, CAST(row_number() OVER (PARTITION BY space_id ORDER BY ord) - 1 AS INT) AS index FROM m) SELECT space_id, mint_id, index, CAST(start + index * dim * 4 AS BIGINT) AS offset_bytes FROM k JOIN p USING (space_id)",
+)
+def spec_layout_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spaces, mints, _ = _spec_tables(spark)
+    return governance.layout_offsets(spaces, mints)
+
+
+_E = _values("e", "ord, id, hardware_class, min_ram_mb, min_vram_mb", _EMBEDDERS)
+_CLASS = "CASE WHEN trim(hardware_class) = '' THEN 'cpu' ELSE lower(trim(hardware_class)) END"
+_ABLE = f"min_ram_mb <= 2048 AND min_vram_mb <= 0 AND {_CLASS} IN ('any', 'cpu', 'npu')"
+
+
+def _embedders(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_EMBEDDERS, "ord int, id string, hardware_class string, min_ram_mb int, min_vram_mb int")
+
+
+@query("embedder_supported", f"WITH {_E} SELECT id, {_ABLE} AS supported FROM e")
+def embedder_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _embedders(spark).select("id", governance.supported(2048, 0, False, True).alias("supported"))
+
+
+@query("embedder_select", f"WITH {_E} SELECT id FROM e WHERE {_ABLE} ORDER BY CASE WHEN {_CLASS} IN ('npu', 'any') THEN 0 ELSE 1 END, ord LIMIT 1")
+def embedder_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.select_embedder(_embedders(spark), "npu", ram_mb=2048, vram_mb=0, gpu=False, npu=True).select("id")
+
+
+@query("embedder_compatible", f"WITH {_E} SELECT a.id AS a, b.id AS b, a.min_ram_mb IS NOT DISTINCT FROM b.min_ram_mb AND a.min_vram_mb IS NOT DISTINCT FROM b.min_vram_mb AS compatible FROM e a JOIN e b ON a.ord < b.ord")
+def embedder_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _embedders(spark).alias("a"), _embedders(spark).alias("b")
+    pairs = a.join(b, F.col("a.ord") < F.col("b.ord"))
+    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), governance.compatible("a", "b", ("min_ram_mb", "min_vram_mb")).alias("compatible"))
+
+
+@query("space_compat_diff", f"WITH {_S}, {_values('z', 'space_id, ord, dim, metric, normalization', _NEWER)} SELECT space_id, field, true AS breaking FROM (SELECT s.space_id, unnest(['dim', 'metric', 'normalization']) AS field, unnest([s.dim != z.dim, s.metric != z.metric, s.normalization != z.normalization]) AS d FROM s JOIN z USING (space_id)) WHERE d")
+def space_compat_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = _spec_tables(spark)[0]
+    return governance.space_changes(old, spark.createDataFrame(_NEWER, old.schema))
+
+
+def _version(v: DataFrame) -> DataFrame:
+    """A later version of the vectors: each moved along two dimensions."""
+    moved = F.transform(V.double(F.col("embedding")), lambda x, i: x + F.when(i == 0, 0.05 * (F.col("vec_id") % 7)).when(i == 5, -0.1).otherwise(0.0))
+    return v.select("vec_id", moved.alias("embedding"))
+
+
+_MOVED = f"z AS MATERIALIZED (SELECT vec_id, list_transform(range(1, {DIM + 1}), lambda i: e[i] + CASE i WHEN 1 THEN 0.05::DOUBLE * (vec_id % 7) WHEN 6 THEN -0.1::DOUBLE ELSE 0 END) AS e FROM v)"
+_STATS = "d AS (SELECT CAST(p - 1 AS INT) AS pos, avg(z.e[p]) - avg(v.e[p]) AS m, var_pop(z.e[p]) - var_pop(v.e[p]) AS s FROM v JOIN z USING (vec_id), range(1, 65) r(p) GROUP BY p)"
+
+
+@query("variance_shift", f"WITH {_V}, {_MOVED}, {_STATS} SELECT pos, round(m, 6) + 0.0 AS mean_shift, round(s, 6) + 0.0 AS variance_shift FROM d")
+def variance_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    shift = governance.dimension_shift(v, _version(v))
+    return shift.select("pos", (F.round("mean_shift", 6) + 0.0).alias("mean_shift"), (F.round("variance_shift", 6) + 0.0).alias("variance_shift"))
+
+
+@query("centroid_drift", f"WITH {_V}, {_MOVED}, {_STATS} SELECT round(sqrt(sum(m * m)), 6) AS drift FROM d")
+def centroid_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    return governance.centroid_drift(v, _version(v)).select(F.round("drift", 6).alias("drift"))
+
+
+def _near(table: str) -> str:
+    return f"(SELECT qid, vec_id FROM ({_top('SELECT q.vec_id AS qid, o.vec_id, ' + _l2('q.e', 'o.e') + f' AS d FROM {table} q JOIN {table} o ON q.vec_id != o.vec_id WHERE q.vec_id % 50 = 0')}))"
+
+
+@query("neighborhood_churn", f"WITH {_V}, {_MOVED} SELECT a.qid, (count(*) - count(b.vec_id)) / count(*)::DOUBLE AS churn FROM {_near('v')} a LEFT JOIN {_near('z')} b ON a.qid = b.qid AND a.vec_id = b.vec_id GROUP BY a.qid")
+def neighborhood_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    return governance.neighborhood_churn(v, _version(v), queries_of(v), K)
+
+
+@query("invariant_violations", f"WITH {_V}, {_MOVED} SELECT vec_id, 'norm_bound' AS rule FROM z WHERE {_norm('e')} < 0.99 OR {_norm('e')} > 1.01")
+def invariant_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.invariant_violations(_version(vectors(spark, sf_dir)), DIM, 0.99, 1.01)

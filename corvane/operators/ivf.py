@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.search import Index, InvalidArgument, SearchPlan
 from .kmeans import batches_of, kmeans_train, nearest, train_parts
-from .search import HITS, TopK, checked, over_blocks, query_blocks, ranked
+from .search import HITS, TopK, checked, matrix, over_blocks, ranked
 
 _PROBED = "qid long, vec_id long, distance double, visit long"
 
@@ -65,7 +65,7 @@ def ivf_search(index: Index, queries: DataFrame, plan: SearchPlan) -> DataFrame:
     """Search in each query's nearest lists.
 
     Lists are filtered to those that any query probes, which prunes files when
-    lists are stored by list_id.  Ties go by vec_id, whatever list they are in.
+    lists are stored by list_id.  Ties go by (list_id, vec_id).
     """
     centroids = trained(index.expect("ivf"))
     nprobe = min(max(1, plan.nprobe or index.params["nprobe"]), len(centroids))
@@ -77,18 +77,20 @@ def ivf_search(index: Index, queries: DataFrame, plan: SearchPlan) -> DataFrame:
 
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, rows, wanted = shared.value
-            found = TopK(ids, rows, k, metric)
+            found: dict[int, TopK] = {}
             for batch in batches:
                 for list_id, piece in batch.groupby("list_id"):
                     which = np.flatnonzero((wanted == list_id).any(1))
-                    key = piece["vec_id"].to_numpy(np.int64)
-                    found.offer(key, np.stack(piece["embedding"].to_numpy()).astype(np.float64), which)
-            yield found.frame()
+                    if len(which):
+                        top = found.setdefault(list_id, TopK(ids[which], rows[which], k, metric))
+                        top.offer(piece["vec_id"].to_numpy(np.int64), matrix(piece["embedding"]))
+            for list_id, top in found.items():
+                yield top.frame().assign(visit=list_id)
 
         used = lists.where(F.col("list_id").isin(np.unique(wanted).tolist())) if wanted.size <= 10_000 else lists
-        return used.select("list_id", "vec_id", "embedding").mapInPandas(part, HITS)
+        return used.select("list_id", "vec_id", "embedding").mapInPandas(part, _PROBED)
 
-    return ranked(over_blocks(queries, search), k, metric)
+    return ranked(over_blocks(queries, search, _PROBED), k, metric, ("visit", "vec_id"))
 
 
 # -- product quantization ---------------------------------------------------------------------
@@ -259,12 +261,7 @@ def ivfpq_search(index: Index, queries: DataFrame, plan: SearchPlan, compat: boo
         used = index.tables["lists"].where(F.col("list_id").isin(np.unique(wanted).tolist())) if wanted.size <= 10_000 else index.tables["lists"]
         return used.select("list_id", "vec_id", "codes").mapInPandas(part, _PROBED)
 
-    out = None
-    for ids, rows in query_blocks(queries):
-        found = search(ids, rows)
-        out = found if out is None else out.unionByName(found)
-    hits = out if out is not None else spark.createDataFrame([], _PROBED)
-    return ranked(hits, k, metric, ("visit", "vec_id"))
+    return ranked(over_blocks(queries, search, _PROBED), k, metric, ("visit", "vec_id"))
 
 
 def best_of(d: np.ndarray, keys: np.ndarray, k: int, metric: str) -> np.ndarray:

@@ -77,7 +77,8 @@ def train_parts(vectors: DataFrame, k: int, parts: int = 1, metric: str = "l2",
                     np.add.at(total[s], at, part)
                     count[s] += np.bincount(at, minlength=k)
             s, c = np.nonzero(count)
-            yield pd.DataFrame({"part": s, "code": c, "n": count[s, c], "total": list(total[s, c])})
+            if len(s):
+                yield pd.DataFrame({"part": s, "code": c, "n": count[s, c], "total": list(total[s, c])})
 
         each = vectors.select("embedding").mapInPandas(sums, "part int, code int, n long, total array<double>")
         added = each.groupBy("part", "code").agg(F.sum("n").alias("n"), *[F.sum(F.col("total")[i]).alias(f"t{i}") for i in range(width)])

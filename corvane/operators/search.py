@@ -101,13 +101,13 @@ def query_blocks(queries: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator
         yield np.array(ids, np.int64), np.array(rows)
 
 
-def over_blocks(queries: DataFrame, search) -> DataFrame:
+def over_blocks(queries: DataFrame, search, schema: str = HITS) -> DataFrame:
     """The union of ``search(ids, rows)`` over the queries' blocks."""
     out = None
     for ids, rows in query_blocks(queries):
         found = search(ids, rows)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else queries.sparkSession.createDataFrame([], HITS)
+    return out if out is not None else queries.sparkSession.createDataFrame([], schema)
 
 
 def exact_hits(vectors: DataFrame, queries: DataFrame, k: int, metric: str, earlier: bool = False) -> DataFrame:
