@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, materialise, scratch
+from .shared import documents, materialise, scratch, small_batches
 from .words import crc32, encoder, tokenizer_path
 
 MAGIC = b"CVPK0001"
@@ -144,6 +144,7 @@ def write_packed(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int,
     in all shards before).  Null doc_ids come first.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     filesystem, root = _filesystem(folder)
     filesystem.create_dir(root, recursive=True)
 

@@ -40,7 +40,7 @@ def update_registry(spark: SparkSession, arrivals: str, schema, checkpoint: str,
             "spark__sql__streaming__stateStore__providerClass": ROCKSDB,
             "spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled": "true",
             "spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage": "true",
-            "spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB": "256",
+            "spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB": "96",
             # Stores close when a task ends: an open one holds about 4 MB of disk and its caches.
             "spark__sql__streaming__stateStore__unloadOnCommit": "true",
             "spark__sql__streaming__noDataMicroBatches__enabled": "false",

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, small_batches
 
 #: N-gram lengths; slots of the filters (a power of two); slots that an n-gram has.
 LENGTHS, SLOTS, HASHES = (3, 4), 1 << 20, 3
@@ -140,6 +140,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Filters:
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     """doc_id, lang_pred, score for each row of ``docs``; only texts are looked at."""
 
+    small_batches(docs.sparkSession)
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [filters.predict(t) for t in batch["text"]]

@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import documents, flagged, materialise
+from .shared import documents, flagged, materialise, small_batches
 
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 ROWS = 5
 #: How often a pair just at the threshold may share no band.
 MISS = 1e-6
 #: Shingles that one comparing task holds; larger groups of candidates go in blocks.
-HELD = 4_000_000
+HELD = 2_000_000
 #: A pair is dropped on its registers only when the threshold is e**-CERTAIN times as likely as the best fit.
 CERTAIN = 25.0
 
@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     A pair at the threshold is missed with a chance of about 1e-6; every link
     reported is confirmed on full sets.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     threshold = num / den
     n_bands = bands_for(threshold)
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, materialise
+from .shared import documents, materialise, small_batches
 from .words import crc32, encoder, tokenizer_path
 
 CAPACITY = 4096
@@ -152,6 +152,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFram
     Written once and read back, so that ranks hold whatever is computed again.
     """
 
+    small_batches(docs.sparkSession)
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, task, seen = encoder(tokenizer).encode, TaskContext.get().partitionId(), {}
         for batch in batches:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, small_batches
 from .words import ChunkMemory, crc32, tokenizer_path
 
 BLANK = "▁"
@@ -204,6 +204,8 @@ def encode_pieces(docs: DataFrame, model: str | None = None) -> DataFrame:
     made = segmented(lattice(common_words(docs), pieces.frame(spark), pieces.longest)).collect()  # TABLE rows at most
     table = spark.sparkContext.broadcast({r["word"]: r["ids"] for r in made})
 
+    small_batches(spark)
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = loaded(model)
         encoder = PieceEncoder(own, table.value)

@@ -73,6 +73,15 @@ def settings(spark: SparkSession, **conf: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Hand texts to Python ``rows`` at a time unless the session says otherwise:
+    Spark's own 10,000 long texts and their copies are what fills a worker.
+    Stays set, since results are computed after the call that made them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, materialise
+from .shared import documents, materialise, small_batches
 
 #: Bounds of the labelled sample (expected rows of each label) and of the lexicon.
 SAMPLE, ENTRIES = 4_000, 4_000
@@ -140,6 +140,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) ->
 def learn(sample: DataFrame) -> Lexicon:
     """The lexicon and its model, from rows of text and toxic."""
 
+    small_batches(sample.sparkSession)
+
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 200):
@@ -207,6 +209,8 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     that repeat a doc_id, and null doc_ids, are scored as they are.
     """
 
+    small_batches(docs.sparkSession)
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [lexicon.score(t) for t in batch["text"]]
@@ -218,6 +222,8 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The rows of ``docs`` that score below THRESHOLD, all columns as they are."""
 
+    small_batches(docs.sparkSession)
+
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([lexicon.score(t) < THRESHOLD for t in batch.column("text").to_pylist()], pa.bool_()))
