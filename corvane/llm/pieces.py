@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -46,6 +47,7 @@ class Pieces:
         self.table = {model.id_to_piece(i): (i, model.get_score(i)) for i in usable}
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in ids if model.is_byte(i)}
         self.unknown = model.unk_id()
+        self.cost = {p: -score for p, (_, score) in self.table.items()}
         self.text = {i: p for p, (i, _) in self.table.items()}
         self.value = {i: b for b, i in self.bytes.items()}
         if any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.table):
@@ -61,6 +63,29 @@ class Pieces:
 
     def merge(self, word: str) -> list[int]:
         """The pieces of a word by best adjacent merge, leftmost of equals."""
+        return self.merge_short(word) if len(word) <= 64 else self.merge_long(word)
+
+    def merge_short(self, word: str) -> list[int]:
+        """Looks at all neighbours for each merge: best for few characters."""
+        cost, never = self.cost.get, math.inf
+        parts = list(word)
+        pairs = [cost(word[i : i + 2], never) for i in range(len(word) - 1)]
+        while pairs and (least := min(pairs)) < never:
+            i = pairs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = cost(parts[i] + parts[i + 1], never)
+            if i:
+                pairs[i - 1] = cost(parts[i - 1] + parts[i], never)
+        out: list[int] = []
+        for part in parts:
+            found = self.table.get(part)
+            out += (found[0],) if found else self.of_character(part)
+        return out
+
+    def merge_long(self, word: str) -> list[int]:
+        """The same with a heap: time in proportion to length, up to a logarithm."""
         n = len(word)
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         alive, heap = [True] * n, []
@@ -177,7 +202,7 @@ def common_words(docs: DataFrame, table: int = TABLE, sample: int = SAMPLE) -> D
 
 
 class PieceEncoder(ChunkMemory):
-    def __init__(self, pieces: Pieces, table: dict[str, list[int | None]], limit: int = 300_000):
+    def __init__(self, pieces: Pieces, table: dict[str, list[int | None]], limit: int = 200_000):
         super().__init__(limit)
         self.pieces, self.table = pieces, table
         self.pattern = re.compile(WORDS)
