@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, materialise
+from .shared import documents, materialise, packed
 
 #: Kinds in the order that ties of a start are listed in.
 KINDS = ("email", "ip", "card", "phone")
@@ -261,10 +261,10 @@ def masked(text: Column, spans: Column) -> Column:
 
 def mask_pii(docs: DataFrame) -> DataFrame:
     """``docs``, same columns, with personal data in ``text`` masked; null texts stay null."""
-    spans = spotted(docs)
+    spans = spotted(packed(docs).withColumn("text", F.col("_row")["text"]))
     classifier = train(spans.select("base", "more"))
-    clean = spans.withColumn("spans", all_spans(classifier))
-    return clean.withColumn("text", masked(F.col("text"), F.col("spans"))).select(*docs.columns)
+    clean = masked(F.col("text"), all_spans(classifier))
+    return spans.select(*[(clean if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,7 +101,7 @@ def flagged(rows: DataFrame, keys: DataFrame, column: str, bits: int = 1 << 24)
     number of keys.  It only saves the rows from a shuffle; callers join or
     group exactly afterwards.
     """
-    return _with_flag(rows, keys, column, bits).where("_flag").drop("_flag")
+    return _unpacked(_with_flag(rows, keys, column, bits).where("_flag"), rows)
 
 
 def without(rows: DataFrame, keys: DataFrame, column: str, bits: int = 1 << 24) -> DataFrame:
@@ -111,23 +111,32 @@ def without(rows: DataFrame, keys: DataFrame, column: str, bits: int = 1 << 24)
     others are joined.
     """
     marked = _with_flag(rows, keys, column, bits)
-    clear = marked.where("NOT _flag").drop("_flag")
-    return clear.unionByName(marked.where("_flag").drop("_flag").join(keys.select(column), column, "left_anti").select(*rows.columns))
+    dropped = keys.select(F.col(column).alias("_key"))
+    unclear = marked.where("_flag").withColumn("_key", F.col("_row")[column]).join(dropped, "_key", "left_anti")
+    return _unpacked(marked.where("NOT _flag"), rows).unionByName(_unpacked(unclear, rows))
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """All columns in one, _row, so that names of ours can't clash with them."""
+    return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"))
+
+
+def _unpacked(frame: DataFrame, rows: DataFrame) -> DataFrame:
+    return frame.select(*[F.col("_row")[c].alias(c) for c in rows.columns])
 
 
 def _with_flag(rows: DataFrame, keys: DataFrame, column: str, bits: int) -> DataFrame:
-    slot = lambda: F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
-    keys = keys.select(F.col(column).cast(rows.schema[column].dataType).alias(column))  # equal hashes need equal types
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    keys = keys.select(F.col(column).cast(rows.schema[column].dataType).alias("_key")).where("_key IS NOT NULL")  # equal hashes need equal types
     bitmap = (
-        keys.where(F.col(column).isNotNull()).select(slot().alias("_slot"))
+        keys.select(slot(F.col("_key")).alias("_slot"))
         .groupBy(F.bitmap_bucket_number("_slot").alias("_bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bitmap"))
-    )
-    placed = rows.withColumn("_slot", slot())
+    )
+    placed = packed(rows).withColumn("_slot", slot(F.col("_row")[column]))
     hit = F.expr(
         "shiftright(cast(conv(hex(substring(_bitmap, cast(bitmap_bit_position(_slot) div 8 as int) + 1, 1)), 16, 10) as int),"
         " cast(bitmap_bit_position(_slot) % 8 as int)) & 1 = 1"
     )
     joined = placed.join(F.broadcast(bitmap), F.bitmap_bucket_number(F.col("_slot")) == F.col("_bucket"), "left")
-    flag = F.col(column).isNotNull() & F.coalesce(hit, F.lit(False))
-    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], flag.alias("_flag"))
+    return joined.select("_row", (F.col("_row")[column].isNotNull() & F.coalesce(hit, F.lit(False))).alias("_flag"))
