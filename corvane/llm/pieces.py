@@ -18,6 +18,7 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -53,6 +54,11 @@ class Pieces:
         if any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.table):
             raise ValueError("pieces that go on after a word's end need another split into words")
         self.longest = max(map(len, self.table))
+        #: Characters that stand next to each other in some piece; merges cross no others.
+        self.adjacent = {p[i : i + 2] for p in self.table for i in range(len(p) - 1)}
+        #: What an id adds to a text by itself; single bytes over 0x7F don't stand alone.
+        self.shown = [chr(self.value[i]) if self.value.get(i, 128) < 128 else self.text.get(i, "⁇") for i in ids]
+        self.partial = np.array([self.value.get(i, 0) > 127 for i in ids])
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(p, i, float(s)) for p, (i, s) in self.table.items()], "piece string, id int, score double")
@@ -118,6 +124,8 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that aren't UTF-8 become replacement characters."""
+        if not self.partial[ids].any():
+            return "".join(map(self.shown.__getitem__, ids.tolist())).replace(BLANK, " ")[1:]
         out, raw = [], bytearray()
         for i in ids.tolist():
             if i in self.value:
@@ -205,21 +213,35 @@ class PieceEncoder(ChunkMemory):
     def __init__(self, pieces: Pieces, table: dict[str, list[int | None]], limit: int = 200_000):
         super().__init__(limit)
         self.pieces, self.table = pieces, table
+        self.words: dict[str, bytes] = {}
         self.pattern = re.compile(WORDS)
 
     def _ids(self, chunk: str) -> bytes:
-        ids = self.table.get(chunk)
-        if ids is None or None in ids:
-            ids = self.pieces.merge(chunk)
-        return array("I", ids).tobytes()
+        end = len(chunk)
+        while end > 1 and not chunk[end - 1].isalpha() and chunk[end - 2 : end] not in self.pieces.adjacent:
+            end -= 1  # marks at a word's end that no merge joins to it
+        return b"".join(map(self._word, (chunk[:end], *chunk[end:])))
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) >= self.limit:
+                self.words = dict(islice(self.words.items(), 2 * self.limit // 3))
+            ids = self.table.get(word)
+            if ids is None or None in ids:
+                ids = self.pieces.merge(word)
+            found = array("I", ids).tobytes()
+            if len(word) <= 64:
+                self.words[word] = found
+        return found
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text.  A null text counts as empty and has none."""
         return self.gather(self.pattern.findall(BLANK + text.replace(" ", BLANK))) if text else np.empty(0, np.uint32)
 
 
-def encode_pieces(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, ids, n_ids, ids_crc32, round_trip (whether decoding gives the text) for each row of ``docs``.
+def encode_pieces(docs: DataFrame, model: str | None = None, with_ids: bool = True) -> DataFrame:
+    """doc_id, ids (unless left out), n_ids, ids_crc32, round_trip (whether decoding gives the text) for each row of ``docs``.
 
     Null texts count as empty.  Repeated rows and null doc_ids get a row each.
     """
@@ -236,13 +258,13 @@ def encode_pieces(docs: DataFrame, model: str | None = None) -> DataFrame:
         encoder = PieceEncoder(own, table.value)
         for batch in batches:
             ids = [encoder.encode(t) for t in batch["text"]]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"), "ids": [x.astype(np.int32) for x in ids], "n_ids": [len(x) for x in ids],
-                "ids_crc32": [crc32(x) for x in ids], "round_trip": [own.decode(x) == (t or "") for x, t in zip(ids, batch["text"], strict=True)],
-            })
+            out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_ids": [len(x) for x in ids], "ids_crc32": [crc32(x) for x in ids]})
+            out["round_trip"] = [own.decode(x) == (t or "") for x, t in zip(ids, batch["text"], strict=True)]
+            yield out.assign(ids=[x.astype(np.int32) for x in ids]) if with_ids else out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(rows, "doc_id long, ids array<int>, n_ids long, ids_crc32 long, round_trip boolean")
+    kinds = "doc_id long, n_ids long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(rows, kinds)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_pieces(documents(spark, sf_dir)).drop("ids")
+    return encode_pieces(documents(spark, sf_dir), with_ids=False)
