@@ -36,3 +36,17 @@ def append_lists(stream: DataFrame, index: Index, path: str, checkpoint: str, **
     """Arriving vectors go to the list files of a trained inverted-file index, partitioned by list_id."""
     assigned = assign(stream, trained(index.expect("ivf")), index.metric)
     return assigned.writeStream.format("parquet").partitionBy("list_id").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def search_stream(stream: DataFrame, generations: Generations, k: int, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Arriving queries (qid, q) against the generation that is active when the stream starts.
+
+    The generation is pinned for the stream's life.  Each micro-batch's hits
+    replace its own folder, so one that runs again leaves them once.
+    """
+    pin = generations.pin_active()
+
+    def answer(batch: DataFrame, number: int) -> None:
+        generations.search(pin, batch, k).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.select("qid", "q").writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -6,13 +6,13 @@ import pytest
 
 from corvane import cli
 from corvane.generations import Generations
-from corvane.operators import hnsw, ivf, search
+from corvane.operators import bridges, hnsw, ivf, search
 from corvane.plans.search import InvalidArgument, NotReady, SearchPlan
 from corvane.runtime import CANCELLED, COMPLETED, FAILED, Engine
 from corvane.sources import files, index_files
 from corvane.sources.spec import Spec, digest, parse, real
 from corvane.sources.vectors import load_artifact, read_vectors, space_contract, write_artifact
-from corvane.streaming.publish import append_lists, publish_generations
+from corvane.streaming.publish import append_lists, publish_generations, search_stream
 
 from .test_search import answer, queries, table
 
@@ -245,6 +245,25 @@ def test_streams(spark, tmp_path):
     append_lists(stream, index, str(tmp_path / "lists"), str(tmp_path / "ckpt2")).awaitTermination()
     got = {r["vec_id"]: r["list_id"] for r in spark.read.parquet(str(tmp_path / "lists")).collect()}
     assert got == {0: 0, 1: 1, 2: 1} or got == {0: 0, 1: 0, 2: 1}
+    queries(spark, [(8, 8), (0, 1)]).coalesce(1).write.parquet(str(tmp_path / "q"))
+    asked = spark.readStream.schema("qid long, q array<float>").parquet(str(tmp_path / "q"))
+    search_stream(asked, g, 1, str(tmp_path / "hits"), str(tmp_path / "ckpt3")).awaitTermination()
+    assert {r["qid"]: r["vec_id"] for r in spark.read.parquet(str(tmp_path / "hits")).collect()} == {0: 2, 1: 0}
+
+
+def test_bridges(spark):
+    links = bridges.Bridges()
+    links.register("half", bridges.scale(0.5))
+    links.register("moved", bridges.shift([1, 0]))
+    links.register("swap", bridges.project(np.array([[0, 1], [1, 0], [1, 1]])))
+    links.connect("a", "b", ["half", "moved", "swap"])
+    got = links.cross(table(spark, [(2, 4)]), "a", "b").first()["embedding"]
+    assert got == [2, 2, 4]
+    steps = bridges.nearest_steps(queries(spark, [(0, 0.9), (3, 3)]), table(spark, [(0, 1), (4, 4)]))
+    assert {r["qid"]: r["vec_id"] for r in steps.collect()} == {0: 0, 1: 1}
+    for bad in (lambda: links.register("half", bridges.scale(2)), lambda: links.connect("a", "c", ["no"]), lambda: links.cross(table(spark, [(1, 1)]), "b", "a")):
+        with pytest.raises(InvalidArgument):
+            bad()
 
 
 def test_cli(tmp_path, capsysbinary):
