@@ -214,8 +214,9 @@ def _blocks(groups: DataFrame, members: DataFrame) -> DataFrame:
 
     A group of candidates (what buckets connect) of at most HELD shingles is one
     block.  A larger one is compared bucket by bucket; a bucket over HELD is cut
-    by hash into chunks of about half of that, and each pair of chunks is a
-    block with two sides.  So no task holds more, and no pair is left out.
+    by hash into chunks of about half of that; each chunk is a block, and each
+    pair of chunks one with two sides.  So no task holds more, and no pair is
+    left out.
     """
     weight = groups.groupBy("component").agg(F.sum("n_shingles").alias("weight"))
     placed = groups.join(weight, "component")
@@ -226,10 +227,10 @@ def _blocks(groups: DataFrame, members: DataFrame) -> DataFrame:
     cut = inside.join(by_bucket.select("bucket", F.ceil(F.col("weight") / (HELD // 2)).cast("int").alias("chunks")), "bucket")
     cut = cut.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "bucket"), F.col("chunks")).cast("int"))
     pairs = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    chunked = pairs.where("chunks = 1 OR chunk != other OR chunk = 0").select(
+    chunked = pairs.select(
         "doc_id",
         F.xxhash64(F.lit("bucket"), "bucket", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("block"),
-        F.lit(0).alias("side"),
+        F.when(F.col("chunk") > F.col("other"), 1).otherwise(0).alias("side"),
     )
     return small.unionByName(chunked)
 
