@@ -23,9 +23,7 @@ QUERIES = ("flat_l2_topk", "flat_ip_topk", "flat_native_topk", "kmeans_l2", "ivf
 
 
 def frame(spark, rows, key, value):
-    import pandas as pd
-
-    return spark.createDataFrame(pd.DataFrame({key: np.arange(len(rows)), value: list(rows)}), f"{key} long, {value} array<float>").repartition(8).cache()
+    return spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], f"{key} long, {value} array<float>").repartition(8).cache()
 
 
 def setups(spark):
