@@ -34,18 +34,17 @@ def update_registry(spark: SparkSession, arrivals: str, schema, checkpoint: str,
     are combined before they are dealt out by digest, so a digest that a third
     of all rows share reaches its state once per input task.
     """
-    with settings(
-        spark,
-        **{
-            "spark__sql__streaming__stateStore__providerClass": ROCKSDB,
-            "spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled": "true",
-            "spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage": "true",
-            "spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB": "96",
-            # Stores close when a task ends: an open one holds about 4 MB of disk and its caches.
-            "spark__sql__streaming__stateStore__unloadOnCommit": "true",
-            "spark__sql__streaming__noDataMicroBatches__enabled": "false",
-        },
-    ):
+    state = "spark.sql.streaming.stateStore"
+    conf = {
+        f"{state}.providerClass": ROCKSDB,
+        f"{state}.rocksdb.changelogCheckpointing.enabled": "true",
+        f"{state}.rocksdb.boundedMemoryUsage": "true",
+        f"{state}.rocksdb.maxMemoryUsageMB": "96",
+        # Stores close when a task ends: an open one holds about 4 MB of disk and its caches.
+        f"{state}.unloadOnCommit": "true",
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    }
+    with settings(spark, conf):
         best = F.max(F.struct("n_code", F.bitwise_not("doc_id").alias("order"), "locator"))
         seen = (
             spark.readStream.schema(schema).option("maxBytesPerTrigger", str(max_bytes)).parquet(arrivals)

@@ -60,11 +60,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def settings(spark: SparkSession, **conf: str):
-    """Session settings (dots as double underscores) for the span of a block."""
-    names = {k.replace("__", "."): v for k, v in conf.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    for k, v in names.items():
+def settings(spark: SparkSession, conf: dict[str, str]):
+    """Session settings for the span of a block."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
         spark.conf.set(k, v)
     try:
         yield
