@@ -1,0 +1,19 @@
+"""Operators do the whole of their jobs: bounds, columns and candidates."""
+
+import zlib
+
+from corvane.llm import toxicity
+
+
+def test_rare_toxic_words_are_learned(spark):
+    """Words in six contexts among more than 4,000 toxic rows."""
+    may = [i for i in range(9_000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    toxic, rare = set(may[::2]) | set(range(9_000, 13_500)), [f"{c}zork{c}" for c in "bdfgk"]
+    text = {i: "plain words of a line" if i in toxic else "plain words of a line " * 4 for i in range(13_500)}
+    for k, word in enumerate(rare):
+        for n, i in enumerate([i for i in may if i in toxic][100 + k :: 400][:6]):
+            text[i] = f"before{n} {word}"
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in text], "doc_id long, toxic int")
+    lexicon = toxicity.learn(toxicity.labelled_sample(docs, labels))
+    assert all(lexicon.total(f" {word} ") > 0 for word in rare)
