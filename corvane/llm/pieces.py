@@ -267,4 +267,4 @@ def encode_pieces(docs: DataFrame, model: str | None = None, with_ids: bool = Tr
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_pieces(documents(spark, sf_dir), with_ids=False)
+    return encode_pieces(documents(spark, sf_dir))

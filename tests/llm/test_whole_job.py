@@ -2,7 +2,10 @@
 
 import zlib
 
+import numpy as np
+
 from corvane.llm import toxicity
+from corvane.llm.queries import QUERIES
 
 
 def test_rare_toxic_words_are_learned(spark):
@@ -17,3 +20,8 @@ def test_rare_toxic_words_are_learned(spark):
     labels = spark.createDataFrame([(i, int(i in toxic)) for i in text], "doc_id long, toxic int")
     lexicon = toxicity.learn(toxicity.labelled_sample(docs, labels))
     assert all(lexicon.total(f" {word} ") > 0 for word in rare)
+
+
+def test_piece_ids_are_returned(spark):
+    rows = QUERIES["op6_sentencepiece"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(len(r["ids"]) == r["n_ids"] and zlib.crc32(np.array(r["ids"], "<u4")) == r["ids_crc32"] for r in rows)
