@@ -8,27 +8,47 @@ from pyspark.sql import functions as F
 from .shared import materialise
 
 
+#: Nodes with more edges than this are hubs; rounds with more edges than HUB * HUBS raise it,
+#: so that at most 2 * HUBS of them are broadcast, whatever the graph.
+HUB, HUBS = 1_000, 50_000
+
+
+def with_least(edges: DataFrame, n_edges: int) -> DataFrame:
+    """``edges`` (a, b) with m, the least b of each a.
+
+    Minima are combined before their shuffle.  Few nodes can have many edges:
+    their minima are broadcast, so that a hub's edges stay where they are, and
+    only the other nodes' edges are dealt by node.
+    """
+    hub = max(HUB, n_edges // HUBS)
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    marked = edges.join(F.broadcast(least.where(F.col("n") > hub).select("a", F.col("m").alias("hub_m"))), "a", "left")
+    rest = marked.where("hub_m IS NULL").select("a", "b").join(least.where(F.col("n") <= hub).select("a", "m"), "a")
+    return marked.where("hub_m IS NOT NULL").select("a", "b", F.col("hub_m").alias("m")).unionByName(rest)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """For each node of ``edges`` (a, b): node, component, the smallest node it reaches.
 
     Alternating large-star and small-star steps: each keeps the components and
     hangs nodes under smaller ones, so rounds grow with the logarithm of the
     longest path.  Each round's edges are written to the shared folder.  A hub's
-    edges are dealt by node through grouped minima (combined before the
-    shuffle) and joins, never gathered into a list.
+    edges are never dealt by the hub (see ``with_least``), nor gathered into a list.
     """
     current = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    state = _state(current)
     for _ in range(rounds):
-        before = _state(current)
+        n = state[0]
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        # Large star: a node's larger neighbours hang under its least neighbour.
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        # Large star: a node's larger neighbours hang under its least neighbour, or itself.
+        star = with_least(both, 2 * n).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        large = materialise(star.distinct(), "edges")
         # Small star: a node and its smaller neighbours hang under the least of them.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        current = materialise(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        if _state(current) == before:
+        low = large.groupBy("a").agg(F.min("b").alias("b"))
+        small = with_least(large, n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        current = materialise(small.unionByName(low).distinct(), "edges")
+        before, state = state, _state(current)
+        if state == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import documents, flagged, materialise, small_batches
+from .shared import documents, flagged, keyed, materialise, small_batches, without_keys
 
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 ROWS = 5
@@ -136,12 +136,11 @@ def links(ids: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], side: n
         js = js[(group[js] != group[i]) & ((side[js] != side[i]) if both else True)]
         if not len(js):
             continue
-        if len(js) > 8:
-            a, b = sketches[i], sketches[js]
-            larger, smaller = (a > b).sum(1), (a < b).sum(1)
-            js = js[~hopeless(larger, smaller, len(a) - larger - smaller, float(sizes[i]), sizes[js].astype(float), threshold)]
-            if not len(js):
-                continue
+        a, b = sketches[i], sketches[js]
+        larger, smaller = (a > b).sum(1), (a < b).sum(1)
+        js = js[~hopeless(larger, smaller, len(a) - larger - smaller, float(sizes[i]), sizes[js].astype(float), threshold)]
+        if not len(js):
+            continue
         mark[flat[starts[i] : starts[i + 1]]] = 1
         for at in range(0, len(js), 512):
             part = js[at : at + 512]
@@ -155,8 +154,51 @@ def links(ids: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], side: n
     return found
 
 
-def _dealt(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def _dealt(rows: DataFrame) -> DataFrame:
+    row, key = F.col("_row"), F.col("_key")
+    return rows.select(row["doc_id"].cast("long").alias("doc_id"), F.coalesce(row["text"], F.lit("")).alias("text"), key["file"].alias("file"), key["at"].alias("at"))
+
+
+def classified(rows: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``near_duplicates`` for rows from ``keyed``, with their _key too."""
+    small_batches(rows.sparkSession)
+    n_bands = bands_for(num / den)
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        shingle, factors = Shingler(words), multipliers(n_bands * ROWS)
+        for batch in batches:
+            sets = [shingle(t) for t in batch["text"]]
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            found = {"n_shingles": [len(s) for s in sets], "set_id": digests, "registers": [registers(s, factors).tobytes() if len(s) else b"" for s in sets]}
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), **found, "file": batch["file"], "at": batch["at"]})
+
+    sketched = materialise(_dealt(rows).mapInPandas(sketch, "doc_id long, n_shingles long, set_id binary, registers binary, file long, at long"), "sketches")
+    linked = sketched.where("n_shingles > 0")
+    # A class for each set, named by its first row.  Combined before the shuffle,
+    # so the copies of one set don't pile up.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "at", "n_shingles", "registers"))
+    heads = linked.groupBy("set_id").agg(first.alias("first")).select("set_id", "first.*")
+    heads = materialise(heads.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    keys = F.expr(f"transform(sequence(0, {n_bands - 1}), b -> xxhash64(b, substring(registers, b * {2 * ROWS} + 1, {2 * ROWS})))")
+    bands = heads.select("node", F.explode(keys).alias("bucket"))
+    shared = bands.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    members = materialise(bands.join(shared, "bucket").select("bucket", "node", "least"), "buckets")
+    groups = components(members.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    groups = materialise(groups.join(heads.select("node", "n_shingles"), "node"), "groups")
+
+    found = _compare(rows, heads, _blocks(groups, members), words, num, den)
+    reached = components(found)
+    placed = heads.join(reached, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"), "no_id", "doc_id", "file", "at")
+    keep = placed.groupBy("component").agg(F.min(F.struct("no_id", "doc_id", "file", "at")).alias("keep"))
+    classes = placed.join(keep, "component").select("set_id", F.col("keep.doc_id").alias("component_id"), F.col("keep.file").alias("keep_file"), F.col("keep.at").alias("keep_at"))
+    kept = (F.col("file") == F.col("keep_file")) & (F.col("at") == F.col("keep_at"))
+    columns = ["doc_id", "n_shingles", "component_id", "kept", F.struct("file", "at").alias("_key")]
+    named = linked.join(classes, "set_id").withColumn("kept", kept).select(*columns)
+    alone = sketched.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("kept", F.lit(True)).select(*columns)
+    return named.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -166,51 +208,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     a text with fewer is one shingle, one without words has none and links with
     nothing.  Documents link when inter * den >= union * num over their sets;
     component_id is the smallest doc_id reachable over links, the document
-    itself included.  Rows that repeat a doc_id count as one document if their
-    texts agree.  A null doc_id gets no component (null) and is kept.
+    itself included.  Every row is a document of its own, whether its doc_id is
+    null or repeated: null ids come last (a component_id is null where all of
+    its ids are), and of each component exactly one row is kept, a row with the
+    smallest doc_id.
 
     Equal sets are one class from the start, so copies never meet in a bucket.
     A pair at the threshold is missed with a chance of about 1e-6; every link
     reported is confirmed on full sets.
     """
-    small_batches(docs.sparkSession)
-    threshold = num / den
-    n_bands = bands_for(threshold)
+    return classified(keyed(docs), words, num, den).drop("_key")
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
 
-        shingle, factors = Shingler(words), multipliers(n_bands * ROWS)
-        for batch in batches:
-            sets = [shingle(t) for t in batch["text"]]
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "set_id": digests, "registers": [registers(s, factors).tobytes() if len(s) else b"" for s in sets]})
-
-    sketched = materialise(_dealt(docs).mapInPandas(sketch, "doc_id long, n_shingles long, set_id binary, registers binary"), "sketches")
-    linked = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    # Combined before the shuffle, so the copies of one set don't pile up.
-    first = F.min(F.struct("doc_id", "n_shingles", "registers"))
-    heads = materialise(linked.groupBy("set_id").agg(first.alias("first")).select("set_id", "first.*"), "classes")
-    classes = heads.select("set_id", "doc_id")
-
-    keys = F.expr(f"transform(sequence(0, {n_bands - 1}), b -> xxhash64(b, substring(registers, b * {2 * ROWS} + 1, {2 * ROWS})))")
-    bands = heads.select("doc_id", F.explode(keys).alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
-    members = materialise(bands.join(shared, "bucket").select("bucket", "doc_id", "least"), "buckets")
-    groups = components(members.select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
-    groups = materialise(groups.join(heads.select(F.col("doc_id").alias("node"), "n_shingles"), "node").select(F.col("node").alias("doc_id"), "component", "n_shingles"), "groups")
-
-    blocks = _blocks(groups, members)
-    found = _compare(docs, heads, blocks, words, num, den)
-    reached = components(found)
-    owner = linked.join(classes.withColumnRenamed("doc_id", "head"), "set_id").select("doc_id", "n_shingles", "head")
-    named = owner.join(reached.withColumnRenamed("node", "head"), "head", "left").select("doc_id", "n_shingles", F.coalesce("component", "head").alias("component_id"))
-    alone = sketched.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return named.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs``, same columns, one row of each component: the one that ``near_duplicates`` keeps."""
+    rows = keyed(docs)
+    return without_keys(rows, materialise(classified(rows, words, num, den).where("NOT kept").select("_key"), "near-copies"))
 
 
 def _blocks(groups: DataFrame, members: DataFrame) -> DataFrame:
-    """Who is compared with whom: doc_id, block, side.
+    """Who is compared with whom: node, block, side.
 
     A group of candidates (what buckets connect) of at most HELD shingles is one
     block.  A larger one is compared bucket by bucket; a bucket over HELD is cut
@@ -220,39 +237,40 @@ def _blocks(groups: DataFrame, members: DataFrame) -> DataFrame:
     """
     weight = groups.groupBy("component").agg(F.sum("n_shingles").alias("weight"))
     placed = groups.join(weight, "component")
-    small = placed.where(F.col("weight") <= HELD).select("doc_id", F.xxhash64(F.lit("group"), "component").alias("block"), F.lit(0).alias("side"))
-    large = placed.where(F.col("weight") > HELD).select("doc_id", "n_shingles")
-    inside = members.join(large, "doc_id")
+    small = placed.where(F.col("weight") <= HELD).select("node", F.xxhash64(F.lit("group"), "component").alias("block"), F.lit(0).alias("side"))
+    large = placed.where(F.col("weight") > HELD).select("node", "n_shingles")
+    inside = members.join(large, "node")
     by_bucket = inside.groupBy("bucket").agg(F.sum("n_shingles").alias("weight"))
     cut = inside.join(by_bucket.select("bucket", F.ceil(F.col("weight") / (HELD // 2)).cast("int").alias("chunks")), "bucket")
-    cut = cut.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "bucket"), F.col("chunks")).cast("int"))
+    cut = cut.withColumn("chunk", F.pmod(F.xxhash64("node", "bucket"), F.col("chunks")).cast("int"))
     pairs = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     chunked = pairs.select(
-        "doc_id",
+        "node",
         F.xxhash64(F.lit("bucket"), "bucket", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("block"),
         F.when(F.col("chunk") > F.col("other"), 1).otherwise(0).alias("side"),
     )
     return small.unionByName(chunked)
 
 
-def _compare(docs: DataFrame, heads: DataFrame, blocks: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _compare(rows: DataFrame, heads: DataFrame, blocks: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The blocks' links (a, b), confirmed on full sets made anew from the texts."""
     m = bands_for(num / den) * ROWS
 
     def full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(words)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": [shingle(t).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"file": batch["file"], "at": batch["at"], "shingles": [shingle(t).tobytes() for t in batch["text"]]})
 
     def confirm(block: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(s, np.uint64) for s in block["shingles"]]
         sketches = np.stack([np.frombuffer(r, np.uint16) for r in block["registers"]])[:, :m]
-        return pd.DataFrame(links(block["doc_id"].to_numpy(), sketches, sets, block["side"].to_numpy(), num, den), columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(links(block["node"].to_numpy(), sketches, sets, block["side"].to_numpy(), num, den), columns=["a", "b"], dtype="int64")
 
-    wanted = blocks.select("doc_id").distinct()
-    texts = flagged(_dealt(docs).where("doc_id IS NOT NULL"), wanted, "doc_id")
-    sets = texts.mapInPandas(full_sets, "doc_id long, shingles binary")
-    dealt = blocks.join(heads.select("doc_id", "registers"), "doc_id").join(sets, "doc_id")
+    wanted = heads.join(blocks.select("node").distinct(), "node").select("node", "registers", "file", "at")
+    keys = materialise(wanted.select(F.struct("file", "at").alias("_key")), "wanted")
+    texts = _dealt(flagged(rows, keys, "_key"))
+    sets = texts.mapInPandas(full_sets, "file long, at long, shingles binary").join(wanted, ["file", "at"])
+    dealt = blocks.join(sets.select("node", "registers", "shingles"), "node")
     return dealt.groupBy("block").applyInPandas(confirm, "a long, b long")
 
 

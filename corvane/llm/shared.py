@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The characters the contracts call white space: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
@@ -19,11 +22,15 @@ _CREATED: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all nodes share.
 
-    ``spark.checkpoint.dir`` names it.  Where a session has none (tests, a
-    notebook), a fresh local folder is used and recorded in the session.
+    ``spark.checkpoint.dir`` names it.  Where a session has none and one machine
+    is all there is (tests, a notebook), a fresh local folder is used and
+    recorded in the session; on a cluster that would be a different folder on
+    each node, so it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
         found = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -89,35 +96,72 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-# -- fixed-size membership filter ------------------------------------------------------------
+# -- rows' identities ------------------------------------------------------------------------
 
 
-def flagged(rows: DataFrame, keys: DataFrame, column: str, bits: int = 1 << 24) -> DataFrame:
+def keyed(docs: DataFrame) -> DataFrame:
+    """_row (all columns of ``docs`` in one) and _key, which tells rows apart whatever their ids.
+
+    Rows read from files have the hash of their file's path and their number in
+    it, the same whenever they are read; rows of any other origin are numbered
+    and written to the shared folder first.
+    """
+    try:
+        meta = docs.metadataColumn("_metadata")
+        key = F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].cast("long").alias("at"))
+        found = docs.select(*packed(docs, as_columns=True), key.alias("_key"))
+        found.schema  # resolves names  # noqa: B018
+        return found
+    except AnalysisException:
+        return materialise(packed(docs).withColumn("_key", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "rows")
+
+
+def without_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Of rows from ``keyed``, those whose _key isn't among ``keys`` (_key), with their own columns again."""
+    kept = without(rows, keys, "_key")
+    return kept.select(*[F.col("_row")[c].alias(c) for c in rows.schema["_row"].dataType.names])
+
+
+# -- membership filter -----------------------------------------------------------------------
+
+#: Bits of the filter for each key, and the bits that are still broadcast (256 MB).
+BITS_A_KEY, MOST_BITS = 16, 1 << 31
+
+
+def filter_bits(n: int) -> int:
+    """Bits of a filter for ``n`` keys, a power of two; 0 where it would be too large to broadcast."""
+    bits = 1 << max(16, (BITS_A_KEY * max(1, n) - 1).bit_length())
+    return bits if bits <= MOST_BITS else 0
+
+
+def flagged(rows: DataFrame, keys: DataFrame, column: str, bits: int | None = None) -> DataFrame:
     """The rows whose ``column`` may be among ``keys``: all true members, few others.
 
-    A bitmap of ``bits`` bits (2 MB by default) is built with the native bitmap
-    aggregate and broadcast; its size is set by ``bits`` alone, whatever the
-    number of keys.  It only saves the rows from a shuffle; callers join or
-    group exactly afterwards.
+    A bitmap, sized by the number of keys, is built with the native bitmap
+    aggregate and broadcast.  It only saves the rows from a shuffle; callers join
+    or group exactly afterwards.  Where it would be over 256 MB all rows pass.
     """
-    return _unpacked(_with_flag(rows, keys, column, bits).where("_flag"), rows)
+    bits = filter_bits(keys.count()) if bits is None else bits
+    return _unpacked(_with_flag(rows, keys, column, bits).where("_flag"), rows) if bits else rows.where(F.col(column).isNotNull())
 
 
-def without(rows: DataFrame, keys: DataFrame, column: str, bits: int = 1 << 24) -> DataFrame:
+def without(rows: DataFrame, keys: DataFrame, column: str, bits: int | None = None) -> DataFrame:
     """The rows whose ``column`` isn't among ``keys``; null values stay.
 
     Rows that the bitmap clears, most of them, pass without a shuffle; only the
-    others are joined.
+    others are joined (all of them where the bitmap would be over 256 MB).
     """
-    marked = _with_flag(rows, keys, column, bits)
+    bits = filter_bits(keys.count()) if bits is None else bits
     dropped = keys.select(F.col(column).alias("_key"))
+    marked = _with_flag(rows, keys, column, bits) if bits else packed(rows).withColumn("_flag", F.lit(True))
     unclear = marked.where("_flag").withColumn("_key", F.col("_row")[column]).join(dropped, "_key", "left_anti")
     return _unpacked(marked.where("NOT _flag"), rows).unionByName(_unpacked(unclear, rows))
 
 
-def packed(rows: DataFrame) -> DataFrame:
+def packed(rows: DataFrame, as_columns: bool = False):
     """All columns in one, _row, so that names of ours can't clash with them."""
-    return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"))
+    column = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row")
+    return [column] if as_columns else rows.select(column)
 
 
 def _unpacked(frame: DataFrame, rows: DataFrame) -> DataFrame:
@@ -126,7 +170,9 @@ def _unpacked(frame: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _with_flag(rows: DataFrame, keys: DataFrame, column: str, bits: int) -> DataFrame:
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    keys = keys.select(F.col(column).cast(rows.schema[column].dataType).alias("_key")).where("_key IS NOT NULL")  # equal hashes need equal types
+    kind = rows.schema[column].dataType
+    same = F.col(column) if isinstance(kind, StructType) else F.col(column).cast(kind)  # equal hashes need equal types
+    keys = keys.select(same.alias("_key")).where("_key IS NOT NULL")
     bitmap = (
         keys.select(slot(F.col("_key")).alias("_slot"))
         .groupBy(F.bitmap_bucket_number("_slot").alias("_bucket"))

@@ -59,7 +59,7 @@ def test_exact_with_colliding_digests(spark):
 
 def test_registry_goes_on(spark, tmp_path):
     folder, state = str(tmp_path / "in"), str(tmp_path / "state")
-    docs = lambda ids: spark.createDataFrame([(i, bytes([i % 2]), 1, "f") for i in ids], "doc_id long, digest binary, n_code int, locator string").coalesce(1)
+    docs = lambda ids: spark.createDataFrame([(i, bytes([i % 2]), 1, (1, i), "f") for i in ids], "doc_id long, digest binary, n_code int, key struct<file: bigint, at: bigint>, locator string").coalesce(1)
     docs([4, 5]).write.parquet(folder)
     schema = spark.read.parquet(folder).schema
     exact.update_registry(spark, folder, schema, state, max_bytes=1)
@@ -69,6 +69,29 @@ def test_registry_goes_on(spark, tmp_path):
     assert got == {b"\0": (3, 2), b"\1": (1, 5)}
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Pairs just at and just under 0.85 of three-word shingles: none is missed, none made up."""
+    rng = np.random.default_rng(9)
+    rows, at = [], 0
+    for pair in range(400):
+        words = [f"p{pair}w{i}" for i in range(102)]  # 100 shingles
+        # Changing the last c words changes c + 2 of 100 shingles at most: shared 100 - c, union 100 + c.
+        c = 8 if pair % 2 else 9  # 92 / 108 = 0.852; 91 / 109 = 0.835
+        rows += [(at, " ".join(words)), (at + 1, " ".join(words[: 102 - c] + [f"p{pair}y{i}" for i in range(c)]))]
+        at += 2
+    got = frame(near.near_duplicates(spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id long, text string"), words=3, num=85))
+    for pair in range(400):
+        a, b = 2 * pair, 2 * pair + 1
+        assert got.loc[b, "component_id"] == (a if pair % 2 else b) and got.loc[a, "component_id"] == a
+
+
+def test_hubs_are_split(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB", 5)
+    edges = [(0, i) for i in range(1, 60)] + [(i, 100) for i in range(70, 99)] + [(59, 98)]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys([*range(60), *range(70, 99), 100], 0)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (102, 101), (7, 7)] + [(200, i) for i in range(201, 230)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

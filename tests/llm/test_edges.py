@@ -3,11 +3,12 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corvane.llm import bits, exact, language, near, packing, pieces, pii, secrets, toxicity, winnow
 from corvane.llm.queries import QUERIES, SQL
-from corvane.llm.shared import flagged, without
+from corvane.llm.shared import filter_bits, flagged, shared_dir, without
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, base string, digest string, _row string, bucket int"
 
@@ -81,7 +82,8 @@ def test_pipeline_edges(spark, odd, none, labels, tmp_path):
 def test_defined_results(odd):
     near_rows = {r["doc_id"]: r for r in near.near_duplicates(odd).collect()}
     assert [near_rows[i]["n_shingles"] for i in (0, 1, 2)] == [0, 0, 0] and near_rows[1]["component_id"] == 1
-    assert near_rows[4]["component_id"] == 3 and near_rows[8]["component_id"] == 7 and near_rows[None]["kept"]
+    assert near_rows[4]["component_id"] == 3 and near_rows[8]["component_id"] == 7
+    assert near_rows[None]["component_id"] == 5 and not near_rows[None]["kept"]
     exact_rows = {r["doc_id"]: r for r in exact.exact_dedup(odd).collect()}
     assert exact_rows[12]["keep_id"] == 2 and exact_rows[0]["group_size"] == 4  # the longest original of empty ones
     assert exact_rows[4]["group_size"] == 3 and exact_rows[None]["keep_id"] == 5
@@ -90,6 +92,45 @@ def test_defined_results(odd):
     assert lang[0] == lang[1] == lang[11] == "und" and lang[5] == "en"
 
 
+REPEATED = [(0, "a"), (1, "a"), (1, "b c d"), (2, "z"), (2, "z"), (None, "q"), (None, "q")]
+
+
+@pytest.mark.parametrize("from_files", [True, False])
+def test_stages_drop_rows_not_ids(spark, tmp_path, from_files):
+    """Repeated and null ids: one row of each text stays, no text is lost."""
+    docs = spark.createDataFrame(REPEATED, "doc_id long, text string").withColumn("source", F.lit("s"))
+    if from_files:
+        docs.write.parquet(str(tmp_path / "docs"))
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+    want = [(0, "a"), (1, "b c d"), (2, "z"), (None, "q")]
+    for stage in (corpus_pipeline.exact_stage, corpus_pipeline.near_stage):
+        kept = stage(spark, docs, "")
+        assert kept.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+    for operator in (exact.exact_dedup, near.near_duplicates):
+        assert operator(docs).where("kept").count() == 4 and operator(docs).count() == len(REPEATED)
+
+
+def test_content_is_found_by_its_locator(spark, tmp_path):
+    spark.createDataFrame(REPEATED[:5], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    found = exact.exact_dedup(spark.read.parquet(str(tmp_path / "docs")))
+    got = exact.content_at(spark, found.where("doc_id = 0").select("keep_id", "keep_locator")).collect()
+    assert [(r["keep_id"], r["text"]) for r in got] == [(0, "a")]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session)
+    assert filter_bits(1) == 1 << 16 and filter_bits(1 << 26) == 1 << 30 and filter_bits(1 << 31) == 0
+
+
 def test_membership(spark):
     rows = spark.range(5_000).selectExpr("cast(id AS int) AS k", "'t' AS _flag")
     keys = spark.range(0, 5_000, 7).selectExpr("id AS k")
