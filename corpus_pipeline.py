@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import exact, near, packing, pii, toxicity
-from corvane.llm.shared import documents, materialise, without
+from corvane.llm.shared import documents, materialise
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,13 +20,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, white space aside, the one that the registry keeps."""
-    return without(docs, materialise(exact.exact_dedup(docs).where("NOT kept").select("doc_id"), "copies"), "doc_id")
+    """Of rows with equal texts, white space aside, the one that the registry keeps, whatever their ids."""
+    return exact.drop_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8), the smallest doc_id."""
-    return without(docs, materialise(near.near_duplicates(docs).where("NOT kept").select("doc_id"), "near-copies"), "doc_id")
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8), one row with the smallest doc_id."""
+    return near.drop_near_copies(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
