@@ -1,43 +1,46 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Words' substrings of bounded length are joined to the piece table; a word's
-matches, grouped, are its lattice, and a higher-order aggregate folds it into
-pieces: by Viterbi where scores are log probabilities (unigram models), by the
-best adjacent merge, leftmost of equals, where they are ranks (BPE models).
-
-A table of the commonest words is made so and broadcast, its size bounded by
-``TABLE``; texts are then encoded where they are, with no shuffle, and words
-that the table lacks are folded by the same rules in the worker.
+Texts are cut into units that no piece goes across: letters with the blanks
+before them, marks, single digits, line ends.  All distinct units of the corpus
+go through the lattice: their substrings of bounded length are exploded and
+joined to the piece table, the matches are grouped by unit, and a higher-order
+aggregate folds them into pieces: by Viterbi where scores are log probabilities
+(unigram models), by best merges where they are ranks (BPE models).
+
+Texts move as numbers.  A task replaces the units of its texts by numbers in a
+dictionary of its own (a chunk), as columnar files do; the dictionaries' units,
+not the texts, are what is deduplicated, folded and joined back; then each
+chunk's texts meet their chunk's dictionary and are spelled in ids.
 """
 
 from __future__ import annotations
 
 import functools
-import heapq
-import math
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, small_batches
-from .words import ChunkMemory, crc32, tokenizer_path
+from .shared import documents, materialise, small_batches
+from .words import crc32, tokenizer_path
 
 BLANK = "▁"
-#: Words of the broadcast table, their greatest length, and the texts (expected) they are counted in.
-TABLE, LONGEST, SAMPLE = 1 << 14, 32, 10_000
-
-#: A run of blanks and what follows to the next blank; a line's end is alone, as no piece has one.
-WORDS = f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+"
+#: Bounds of a chunk: characters of its texts, units of its dictionary.
+CHARACTERS, UNITS = 1 << 25, 1 << 19
+#: Units longer than this go by their digest while their substrings are matched.
+SHORT = 63
+#: An edge in one number, so that edges sort by rank, then start: rank, start, length, id, in 17, 22, 5 and 17 bits.
+RANK, START, LENGTH, ID = 44, 22, 17, (1 << 17) - 1
 
 
 class Pieces:
-    """A model's pieces: text to (id, score), ids of single bytes, and how it scores."""
+    """A model's pieces: text to (id, score), ids of single bytes, and how texts are cut for it."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -48,86 +51,93 @@ class Pieces:
         self.table = {model.id_to_piece(i): (i, model.get_score(i)) for i in usable}
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in ids if model.is_byte(i)}
         self.unknown = model.unk_id()
-        self.cost = {p: -score for p, (_, score) in self.table.items()}
         self.text = {i: p for p, (i, _) in self.table.items()}
         self.value = {i: b for b, i in self.bytes.items()}
+        self.longest = max(map(len, self.table))
+        self.scores = sorted({s for _, s in self.table.values()}, reverse=True)
+        rank = {s: i for i, s in enumerate(self.scores)}
+        self.edges = {p: rank[s] << RANK | len(p) << LENGTH | i for p, (i, s) in self.table.items()}
+        if model.vocab_size() > ID or self.longest > 31:
+            raise ValueError("a model of over 131,071 pieces, or of pieces over 31 characters")
         if any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.table):
             raise ValueError("pieces that go on after a word's end need another split into words")
-        self.longest = max(map(len, self.table))
-        #: Characters that stand next to each other in some piece; merges cross no others.
-        self.adjacent = {p[i : i + 2] for p in self.table for i in range(len(p) - 1)}
-        #: What an id adds to a text by itself; single bytes over 0x7F don't stand alone.
-        self.shown = [chr(self.value[i]) if self.value.get(i, 128) < 128 else self.text.get(i, "⁇") for i in ids]
-        self.partial = np.array([self.value.get(i, 0) > 127 for i in ids])
+        if any(c not in self.table for p in self.table for c in p):
+            raise ValueError("pieces of characters that are no pieces")
+        self.runs = self._runs()
+        fine, coarse = rf"\n|{BLANK}*[^\W\d_²]+|\d|{BLANK}*(?:[^\w{BLANK}\n]|[_²])+|{BLANK}+", rf"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+"
+        #: Cuts by the kinds of two neighbours, so a piece that it leaves whole is never cut anywhere.
+        self.units = re.compile(fine if all(re.fullmatch(fine, p) for p in self.table) else coarse)
+
+    def _runs(self) -> list[list[int]]:
+        """Parts of 0, 1 .. blanks up to the longest piece of blanks, where those pieces all have one score.
+
+        Of equals the leftmost pair is merged, whatever its length, so rank alone
+        doesn't order them; but a run's pieces then depend on its length only,
+        and repeat after the longest piece.  Empty if pieces of blanks have ranks.
+        """
+        sizes = {len(p) for p in self.table if not p.strip(BLANK) and len(p) > 1}
+        if len({self.table[BLANK * n][1] for n in sizes}) != 1:
+            return []
+        if any(p.startswith(BLANK * 2) and p.strip(BLANK) for p in self.table):
+            raise ValueError("pieces of several blanks and other characters")
+
+        def merged(n: int) -> list[int]:
+            done: list[int] = []
+            for _ in range(n):
+                done.append(1)
+                while len(done) > 1 and done[-2] + done[-1] in sizes:
+                    done[-2:] = [done[-2] + done[-1]]
+            return done
+
+        most = max(sizes)
+        if any(merged(n) != [most] * (n // most) + merged(n % most) for n in range(6 * most)):
+            raise ValueError("runs of blanks that don't repeat")
+        for n in sizes:
+            del self.edges[BLANK * n]
+        return [[n << LENGTH | self.table[BLANK * n][0] for n in merged(k)] for k in range(most + 1)]
+
+    def check_merges(self) -> None:
+        """Folding by ascending rank in one pass is right where every piece is made by merges of lesser ranks of its own."""
+        longer = [e >> RANK for p, e in self.edges.items() if len(p) > 1]
+        if len(set(longer)) != len(longer):
+            raise ValueError("pieces of equal scores")
+        for piece in self.edges:
+            bounds = set(range(len(piece) + 1))
+            spans = [(self.edges[piece[a:b]] >> RANK, a, b) for a in range(len(piece)) for b in range(a + 2, len(piece) + 1) if piece[a:b] in self.edges]
+            for _, a, b in sorted(spans):
+                if a in bounds and b in bounds and len(inner := bounds.intersection(range(a + 1, b))) == 1:
+                    bounds -= inner
+            if len(bounds) > 2:
+                raise ValueError(f"merges don't make the piece {piece!r} in the order of their ranks")
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(p, i, float(s)) for p, (i, s) in self.table.items()], "piece string, id int, score double")
+        """piece, edge (at 0): a row for each of the vocabulary, so small enough to broadcast."""
+        return spark.createDataFrame(list(self.edges.items()), "piece string, edge long")
+
+    def covers(self, unit: str) -> bool:
+        return all(c in self.table for c in unit)
 
     def of_character(self, c: str) -> list[int]:
         """A character that no piece covers: its bytes, or the unknown id."""
         return [self.bytes[b] for b in c.encode()] if self.bytes else [self.unknown]
 
-    def merge(self, word: str) -> list[int]:
-        """The pieces of a word by best adjacent merge, leftmost of equals."""
-        return self.merge_short(word) if len(word) <= 64 else self.merge_long(word)
-
-    def merge_short(self, word: str) -> list[int]:
-        """Looks at all neighbours for each merge: best for few characters."""
-        cost, never = self.cost.get, math.inf
-        parts = list(word)
-        pairs = [cost(word[i : i + 2], never) for i in range(len(word) - 1)]
-        while pairs and (least := min(pairs)) < never:
-            i = pairs.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = cost(parts[i] + parts[i + 1], never)
-            if i:
-                pairs[i - 1] = cost(parts[i - 1] + parts[i], never)
-        out: list[int] = []
-        for part in parts:
-            found = self.table.get(part)
-            out += (found[0],) if found else self.of_character(part)
-        return out
-
-    def merge_long(self, word: str) -> list[int]:
-        """The same with a heap: time in proportion to length, up to a logarithm."""
-        n = len(word)
-        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        alive, heap = [True] * n, []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n and (found := self.table.get(word[i : end[j]])):
-                heapq.heappush(heap, (-found[1], i, end[i], end[j]))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, middle, last = heapq.heappop(heap)
-            j = after[i]
-            if not alive[i] or end[i] != middle or j >= n or end[j] != last:
-                continue
-            alive[j], end[i], after[i] = False, last, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        out: list[int] = []
-        i = 0
-        while i < n:
-            found = self.table.get(word[i : end[i]])
-            out += [found[0]] if found else self.of_character(word[i : end[i]])
-            i = after[i]
+    def spelled(self, unit: str, parts: list[int]) -> list[int]:
+        """The ids of a unit from its pieces (length and id), bytes for characters that have none."""
+        out, at, left = [], 0, iter(parts)
+        while at < len(unit):
+            if unit[at] in self.table:
+                part = next(left)
+                out.append(part & ID)
+                at += part >> LENGTH
+            else:
+                out += self.of_character(unit[at])
+                at += 1
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids; bytes that aren't UTF-8 become replacement characters."""
-        if not self.partial[ids].any():
-            return "".join(map(self.shown.__getitem__, ids.tolist())).replace(BLANK, " ")[1:]
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids, blanks still escaped; bytes that aren't UTF-8 become replacement characters."""
         out, raw = [], bytearray()
-        for i in ids.tolist():
+        for i in ids:
             if i in self.value:
                 raw.append(self.value[i])
                 continue
@@ -136,7 +146,7 @@ class Pieces:
                 raw = bytearray()
             out.append(self.text.get(i, "⁇"))
         out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).replace(BLANK, " ")[1:]
+        return "".join(out)
 
 
 @functools.cache
@@ -145,125 +155,252 @@ def loaded(path: str) -> Pieces:
     return Pieces(path)
 
 
+def unescaped(text: str) -> str:
+    return text.replace(BLANK, " ")[1:]
+
+
 # -- the lattice, relationally ---------------------------------------------------------------
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """word, edges (start, stop, id, score) of distinct ``words``.
+def unit_key(unit: Column) -> Column:
+    """What a unit is grouped and joined by: itself, or where it is long its digest (a line's end is never in a unit of more)."""
+    return F.when(F.length(unit) <= SHORT, unit).otherwise(F.concat(F.lit("\n"), F.sha2(unit, 256)))
+
 
-    Each word's substrings of at most ``longest`` characters are exploded and
-    joined to the pieces (a table of the vocabulary's size, broadcast).
+def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """key, n (characters), edges (sorted) of distinct units (key, unit), those that no piece is in left out.
+
+    Substrings of at most ``longest`` characters are exploded, long units window
+    by window, and joined to the pieces (a table of the vocabulary's size,
+    broadcast).  Nothing moves: units that are dealt by key stay so.
     """
-    starts = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
-    cut = starts.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start") + 1))).alias("n"))
-    parts = cut.select("word", F.col("start") - 1, "n", F.substr("word", F.col("start"), F.col("n")).alias("piece")).toDF("word", "start", "n", "piece")
-    edges = parts.join(F.broadcast(pieces), "piece").select("word", F.struct("start", (F.col("start") + F.col("n")).alias("stop"), "id", "score").alias("edge"))
-    grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-    none = F.array().cast("array<struct<start:int,stop:int,id:int,score:double>>")
-    return words.join(grouped, "word", "left").select("word", F.coalesce("edges", none).alias("edges"))
+    n = F.length("unit")
+    windows = units.select("key", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1, F.lit(SHORT + 1))).alias("w"), "unit")
+    windows = windows.select("key", "n", "w", F.substr("unit", F.col("w") + 1, F.lit(SHORT + longest)).alias("text"))
+    inside = F.least(F.lit(SHORT), F.length("text") - 1)
+    starts = windows.select("key", "n", "w", "text", F.explode(F.sequence(F.lit(0), inside)).alias("at"))
+    cut = starts.select("key", "n", "w", "text", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("text") - F.col("at")))).alias("size"))
+    parts = cut.select("key", "n", (F.col("w") + F.col("at")).alias("start"), F.substr("text", F.col("at") + 1, F.col("size")).alias("piece"))
+    edges = parts.join(F.broadcast(pieces), "piece").select("key", "n", (F.col("edge") + F.col("start").cast("long") * (1 << START)).alias("edge"))
+    return edges.groupBy("key", "n").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+
 
+# Edges, in SQL: ``e`` is one; a span's bits among a unit's bounds are its start's,
+# its end's and those between.
+_START, _SIZE = f"cast(shiftrightunsigned(e, {START}) & 4194303 as int)", f"cast(shiftrightunsigned(e, {LENGTH}) & 31 as int)"
+_PARTS = f"transform(sort_array(transform(filter(edges, e -> {{whole}}), e -> e & {(1 << RANK) - 1})), e -> cast(e & {(1 << START) - 1} as int))"
 
-def fold_merges(word: Column, edges: Column) -> Column:
-    """Where a word's pieces end, by best adjacent merge: array of positions from 0 to its length."""
 
-    def step(bounds: Column, _: Column) -> Column:
-        apart = lambda e: F.array_position(bounds, e["stop"]) - F.array_position(bounds, e["start"])
-        inside = lambda e: (F.array_position(bounds, e["start"]) > 0) & (apart(e) == 2)
-        best = F.array_min(F.transform(F.filter(edges, inside), lambda e: F.struct((-e["score"]).alias("cost"), e["start"].alias("start"), e["stop"].alias("stop"))))
-        return F.when(best.isNull(), bounds).otherwise(F.filter(bounds, lambda b: (b <= best["start"]) | (b >= best["stop"])))
+def _merging(span: str, cleared: str) -> str:
+    """A step of the fold: a span with one bound inside loses it, as two pieces become one."""
+    return f"CASE WHEN bit_count({span}) = 3 AND ({span}) & 1L = 1L AND shiftrightunsigned({span}, {_SIZE}) = 1L THEN {cleared} ELSE b END"
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), F.sequence(F.lit(0), F.length(word)), step)
 
+def fold_merges(edges: DataFrame, runs: list[list[int]] | None = None) -> DataFrame:
+    """key, parts (length and id of each piece, in order) by best merges, leftmost of equals.
 
-def fold_viterbi(word: Column, edges: Column, unknown: float = -1e6) -> Column:
-    """The same by greatest sum of scores; a character that no piece covers costs ``unknown``."""
-    kind = "struct<score:double,bounds:array<int>>"
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.array(F.lit(0)).alias("bounds"))).cast(f"array<{kind}>")
+    Edges come by rank, then start, and each is merged if its two halves are
+    pieces by then.  Bounds are bits: of one number where they fit, else of
+    windows of 64 that overlap by half.  ``runs`` are the pieces of runs of
+    blanks that no merge with what follows has taken (see ``Pieces``).
+    """
+    inner = f"(shiftleft(1L, {_SIZE} - 1) - 1L)"
+    spanning = lambda bits, at: f"(shiftrightunsigned({bits}, {at}) & (shiftleft(2L, {_SIZE}) - 1L))"
+    whole = lambda bits, at: f"{spanning(bits, at)} = (shiftleft(1L, {_SIZE}) | 1L)"
+    i, r = f"cast({_START} div 32 as int)", f"({_START} % 32)"
+    mask = f"shiftleft({inner}, {r} + 1)"
+    cleared = (
+        f"concat(slice(b, 1, {i}), array(element_at(b, {i} + 1) & ~shiftleft({mask}, 32), element_at(b, {i} + 2) & ~{mask}, "
+        f"element_at(b, {i} + 3) & ~shiftrightunsigned({mask}, 32)), slice(b, {i} + 4, size(b)))"
+    )
+    windows = "concat(array(0L), transform(sequence(0, cast(n div 32 as int)), i -> shiftrightunsigned(-1L, 64 - least(64, n - 32 * i + 1))), array(0L))"
+    at = f"element_at(b, {i} + 2)"
+    # The pieces are read off the bounds in the fold's last step, since a column of them would be folded again for each edge.
+    parts = lambda bits, at: _PARTS.format(whole=whole(bits, at))
+    short = f"aggregate(edges, shiftrightunsigned(-1L, {SHORT} - n), (b, e) -> {_merging(spanning('b', _START), f'b & ~shiftleft({inner}, {_START} + 1)')}, b -> {parts('b', _START)})"
+    long = f"aggregate(edges, {windows}, (b, e) -> {_merging(spanning(at, r), cleared)}, b -> {parts(at, r)})"
+    folded = edges.select("key", F.expr(f"CASE WHEN n <= {SHORT} THEN {short} ELSE {long} END").alias("parts"))
+    return folded.select("key", _with_runs(runs or []).alias("parts"))
+
+
+def _with_runs(runs: list[list[int]]) -> Column:
+    if not runs:
+        return F.col("parts")
+    blank, most = runs[1][0], len(runs) - 1
+    found = F.array_position(F.transform("parts", lambda p: p == blank), F.lit(False)).cast("int")
+    n = F.when(found == 0, F.size("parts")).otherwise(found - 1)
+    table = F.array(*[F.array(*map(F.lit, run)).cast("array<int>") for run in runs])
+    run = F.concat(F.array_repeat(F.lit(runs[-1][0]), (n / most).cast("int")), F.element_at(table, n % most + 1), F.slice("parts", n + 1, F.size("parts")))
+    return F.when((F.get("parts", F.lit(0)) == blank) & (F.get("parts", F.lit(1)) == blank), run).otherwise(F.col("parts"))
+
+
+def fold_viterbi(edges: DataFrame, scores: list[float], unknown: float = -1e6) -> DataFrame:
+    """The same by the greatest sum of scores (of each rank); a character that no piece covers costs ``unknown``."""
+    kind = "struct<score:double,parts:array<int>>"
+    table = F.array(*map(F.lit, scores))
+    start, size = (lambda e: F.shiftrightunsigned(e, START).bitwiseAND(4194303).cast("int")), (lambda e: F.shiftrightunsigned(e, LENGTH).bitwiseAND(31).cast("int"))
+    score = lambda e: F.element_at(table, F.shiftrightunsigned(e, RANK).cast("int") + 1)
+    first = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("parts"))).cast(f"array<{kind}>")
 
     def step(best: Column, stop: Column) -> Column:
-        reach = lambda start, score: F.struct((F.element_at(best, start + 1)["score"] + score).alias("score"), F.concat(F.element_at(best, start + 1)["bounds"], F.array(stop)).alias("bounds"))
-        ways = F.transform(F.filter(edges, lambda e: e["stop"] == stop), lambda e: reach(e["start"], e["score"]))
-        return F.concat(best, F.array(F.array_max(F.concat(ways, F.array(reach(stop - 1, F.lit(unknown)))))).cast(f"array<{kind}>"))
+        before = lambda e: F.element_at(best, start(e) + 1)
+        way = lambda e: F.struct((before(e)["score"] + score(e)).alias("score"), F.concat(before(e)["parts"], F.array(e.bitwiseAND((1 << START) - 1).cast("int"))).alias("parts"))
+        ways = F.transform(F.filter("edges", lambda e: start(e) + size(e) == stop), way)
+        none = F.struct((F.element_at(best, stop)["score"] + unknown).alias("score"), F.element_at(best, stop)["parts"].alias("parts"))
+        return F.concat(best, F.array(F.array_max(F.concat(ways, F.array(none)))).cast(f"array<{kind}>"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), first, step, lambda best: F.element_at(best, -1)["bounds"])
+    best = F.aggregate(F.sequence(F.lit(1), F.col("n")), first, step, lambda b: F.element_at(b, -1)["parts"])
+    return edges.select("key", best.alias("parts"))
 
 
-def segmented(lattices: DataFrame, fold=fold_merges) -> DataFrame:
-    """word, ids: null where a single character is no piece."""
-    bounds = lattices.select("word", "edges", fold(F.col("word"), F.col("edges")).alias("bounds"))
-    pairs = F.zip_with(F.slice("bounds", 1, F.size("bounds") - 1), F.slice("bounds", 2, F.size("bounds") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    of = lambda p: F.get(F.filter("edges", lambda e: (e["start"] == p["a"]) & (e["stop"] == p["b"])), F.lit(0))["id"]
-    return bounds.select("word", F.transform(pairs, of).alias("ids"))
+# -- texts as numbers ----------------------------------------------------------------------------
 
 
-def escaped(text: Column) -> Column:
-    return F.when(text == "", text).otherwise(F.concat(F.lit(BLANK), F.replace(text, F.lit(" "), F.lit(BLANK))))
+def shortened(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below 2**28 in as few bytes of seven bits as each needs, the last one's high bit clear; and where each begins."""
+    width = 1 + (numbers >= 1 << 7).astype(np.int64) + (numbers >= 1 << 14) + (numbers >= 1 << 21)
+    starts = np.cumsum(width) - width
+    out = np.empty(int(width.sum()), np.uint8)
+    for k in range(4):
+        have = np.flatnonzero(width > k) if k else slice(None)
+        out[starts[have] + k] = (numbers[have] >> 7 * k & 127) | np.where(width[have] > k + 1, 128, 0)
+    return out, starts
 
 
-def common_words(docs: DataFrame, table: int = TABLE, sample: int = SAMPLE) -> DataFrame:
-    """The ``table`` words that are commonest in about ``sample`` texts.  They are a
-    store of answers; which words it has changes no result."""
-    n = max(1, docs.count())
-    some = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / n)) + 1))
-    words = some.select(F.explode(F.regexp_extract_all(escaped(F.col("text")), F.lit(WORDS), F.lit(0))).alias("word"))
-    return words.where(F.length("word") <= LONGEST).groupBy("word").count().orderBy(F.desc("count"), "word").limit(table).select("word")
+def lengthened(data: np.ndarray) -> np.ndarray:
+    ends = np.flatnonzero(data < 128)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    out = (data[starts] & 127).astype(np.int64)
+    for k in range(1, 4):
+        have = np.flatnonzero(ends - starts >= k)
+        out[have] |= (data[starts[have] + k] & 127).astype(np.int64) << 7 * k
+    return out
 
 
-class PieceEncoder(ChunkMemory):
-    def __init__(self, pieces: Pieces, table: dict[str, list[int | None]], limit: int = 200_000):
-        super().__init__(limit)
-        self.pieces, self.table = pieces, table
-        self.words: dict[str, bytes] = {}
-        self.pattern = re.compile(WORDS)
+class _Numbers(dict):
+    """Unit to number, in the order they are met."""
 
-    def _ids(self, chunk: str) -> bytes:
-        end = len(chunk)
-        while end > 1 and not chunk[end - 1].isalpha() and chunk[end - 2 : end] not in self.pieces.adjacent:
-            end -= 1  # marks at a word's end that no merge joins to it
-        return b"".join(map(self._word, (chunk[:end], *chunk[end:])))
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self)
+        return n
 
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= self.limit:
-                self.words = dict(islice(self.words.items(), 2 * self.limit // 3))
-            ids = self.table.get(word)
-            if ids is None or None in ids:
-                ids = self.pieces.merge(word)
-            found = array("I", ids).tobytes()
-            if len(word) <= 64:
-                self.words[word] = found
-        return found
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """The ids of a text.  A null text counts as empty and has none."""
-        return self.gather(self.pattern.findall(BLANK + text.replace(" ", BLANK))) if text else np.empty(0, np.uint32)
+def numbered(docs: DataFrame, model: str) -> DataFrame:
+    """chunk, doc_id, codes, hash (of the text) for texts; chunk, code, unit for dictionaries; odd where bytes are needed.
 
+    Written once, so that a chunk's texts and dictionary come from one attempt of
+    one task.
+    """
+    small_batches(docs.sparkSession)
+    columns = ["chunk", "doc_id", "codes", "hash", "code", "unit", "odd"]
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        own, known, held, chunk = loaded(model), _Numbers(), 0, TaskContext.get().partitionId() << 32
 
-def encode_pieces(docs: DataFrame, model: str | None = None, with_ids: bool = True) -> DataFrame:
-    """doc_id, ids (unless left out), n_ids, ids_crc32, round_trip (whether decoding gives the text) for each row of ``docs``.
+        def dictionary() -> pd.DataFrame:
+            return pd.DataFrame({"chunk": chunk, "doc_id": pd.array([None] * len(known), "Int64"), "codes": None, "hash": pd.array([None] * len(known), "Int64"), "code": pd.array(list(known.values()), "Int32"), "unit": list(known), "odd": [not own.covers(u) for u in known]})[columns]
+
+        find = own.units.findall
+        for batch in batches:
+            at = 0
+            texts = [t or "" for t in batch["text"]]
+            while at < len(texts):
+                stop, parts = at, []
+                while stop < len(texts) and held < CHARACTERS and len(known) < UNITS:
+                    units = find(BLANK + texts[stop].replace(" ", BLANK)) if texts[stop] else []
+                    parts.append(np.fromiter(map(known.__getitem__, units), np.int64, len(units)))
+                    held += len(texts[stop])
+                    stop += 1
+                data, starts = shortened(np.concatenate(parts)) if parts else (np.empty(0, np.uint8), np.empty(0, np.int64))
+                first = np.cumsum([0, *map(len, parts)])
+                bounds = np.concatenate([starts, [len(data)]])[first]
+                codes = [data[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                hashes = [xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t in texts[at:stop]]
+                yield pd.DataFrame({"chunk": chunk, "doc_id": batch["doc_id"][at:stop].astype("Int64").array, "codes": codes, "hash": pd.array(hashes, "Int64"), "code": pd.array([None] * len(codes), "Int32"), "unit": None, "odd": False})[columns]
+                at = stop
+                if held >= CHARACTERS or len(known) >= UNITS:
+                    yield dictionary()
+                    known, held, chunk = _Numbers(), 0, chunk + 1
+        if known:
+            yield dictionary()
+
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return materialise(given.mapInPandas(rows, "chunk long, doc_id long, codes binary, hash long, code int, unit string, odd boolean"), "numbered")
+
+
+def spelling(dictionaries: DataFrame, model: str, unigram: bool) -> DataFrame:
+    """chunk, code, parts, and the unit where it needs bytes, of dictionaries' rows."""
+    pieces = loaded(model)
+    keyed = dictionaries.select("chunk", "code", unit_key(F.col("unit")).alias("key"), "unit", "odd")
+    distinct = keyed.groupBy("key").agg(F.first("unit").alias("unit"))
+    edges = lattice(distinct, pieces.frame(dictionaries.sparkSession), pieces.longest)
+    folded = fold_viterbi(edges, pieces.scores) if unigram else fold_merges(edges, pieces.runs)
+    uses = keyed.select("chunk", "code", "key", F.when(F.col("odd"), F.col("unit")).alias("unit"))
+    return uses.join(folded, "key", "left").select("chunk", "code", "unit", "parts")
 
-    Null texts count as empty.  Repeated rows and null doc_ids get a row each.
+
+def encode_pieces(docs: DataFrame, model: str | None = None, unigram: bool = False) -> DataFrame:
+    """doc_id, n_ids, ids_crc32, round_trip (whether decoding gives the text), ids for each row of ``docs``.
+
+    ``unigram`` says that the model's scores are log probabilities.  Null texts
+    count as empty and have no ids.  Repeated rows and null doc_ids get a row
+    each.  No rows in, no rows out.
     """
-    spark = docs.sparkSession
     model = model or tokenizer_path("piece_bpe_32k.model")
-    pieces = loaded(model)
-    made = segmented(lattice(common_words(docs), pieces.frame(spark), pieces.longest)).collect()  # TABLE rows at most
-    table = spark.sparkContext.broadcast({r["word"]: r["ids"] for r in made})
+    if not unigram:
+        loaded(model).check_merges()
+    rows = numbered(docs, model)
+    texts = rows.where("unit IS NULL").select("chunk", "doc_id", "codes", "hash")
+    spelled = spelling(rows.where("unit IS NOT NULL"), model, unigram).toDF("chunk", "code", "unit", "parts")  # names of its own for the cogroup
+    kinds = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_()), ("ids", pa.list_(pa.int32()))])
 
-    small_batches(spark)
+    def spell(texts: pa.Table, words: pa.Table) -> pa.Table:
+        import xxhash
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = loaded(model)
-        encoder = PieceEncoder(own, table.value)
+        order = np.argsort(words["code"].to_numpy())
+        parts = words["parts"].combine_chunks().take(pa.array(order))
+        sizes = parts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = (parts.flatten().to_numpy(zero_copy_only=False) & ID).astype(np.int32)
+        odd = words["unit"].combine_chunks().take(pa.array(order))
+        if odd.null_count < len(odd):  # units with characters of bytes: few
+            lists = [own.spelled(u, p or []) if u is not None else [x & ID for x in p] for u, p in zip(odd.to_pylist(), parts.to_pylist(), strict=True)]
+            sizes = np.array([len(x) for x in lists], np.int64)
+            flat = np.fromiter((i for x in lists for i in x), np.int32, int(sizes.sum()))
+        starts = np.cumsum(sizes) - sizes
+        shown = [own.decode(flat[a : a + n].tolist()) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        batches = []
+        for batch in texts.to_batches(max_chunksize=500):
+            codes = [lengthened(np.frombuffer(c.as_py(), np.uint8)) for c in batch["codes"]]
+            every = np.concatenate(codes) if codes else np.empty(0, np.int64)
+            n = sizes[every]
+            ends = np.cumsum(n)
+            ids = flat[np.repeat(starts[every] - (ends - n), n) + np.arange(int(n.sum()))]
+            bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, codes)])]
+            crcs = [crc32(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            back = [xxhash.xxh3_64_intdigest(unescaped("".join(map(shown.__getitem__, c.tolist()))).encode()) - (1 << 63) for c in codes]
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
+            same = np.array(back, np.int64) == batch["hash"].to_numpy(zero_copy_only=False)
+            batches.append(pa.record_batch([batch["doc_id"], pa.array(np.diff(bounds)), pa.array(crcs, pa.int64()), pa.array(same), lists], schema=kinds))
+        return pa.Table.from_batches(batches, schema=kinds)
+
+    met = texts.groupBy("chunk").cogroup(spelled.groupBy("chunk"))
+    return met.applyInArrow(spell, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean, ids array<int>")
+
+
+def decode_pieces(rows: DataFrame, model: str | None = None) -> DataFrame:
+    """doc_id, text of ids (doc_id, ids); null ids count as none, and give an empty text."""
+    model = model or tokenizer_path("piece_bpe_32k.model")
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids = [encoder.encode(t) for t in batch["text"]]
-            out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_ids": [len(x) for x in ids], "ids_crc32": [crc32(x) for x in ids]})
-            out["round_trip"] = [own.decode(x) == (t or "") for x, t in zip(ids, batch["text"], strict=True)]
-            yield out.assign(ids=[x.astype(np.int32) for x in ids]) if with_ids else out
+            ids = [array("i", i) if i is not None else () for i in batch["ids"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text": [unescaped(loaded(model).decode(i)) for i in ids]})
 
-    kinds = "doc_id long, n_ids long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(rows, kinds)
+    small_batches(rows.sparkSession)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInPandas(texts, "doc_id long, text string")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

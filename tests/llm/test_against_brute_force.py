@@ -217,29 +217,52 @@ def test_bit_packing(tmp_path, vocabulary):
         bits.ShardWriter(open(os.devnull, "wb"), vocabulary).add(0, np.array([vocabulary], np.uint32))
 
 
+HARD = ["Hello  wörld\nfoo\t中 ", " a", "a    b     c\n\n  d", "😀 ", "\r\n x", "aaab" * 60, " " * 40, "\x00a", "x" * 20_000, "m²³ 1½ ².a_b __init__", "=" * 700 + "-" * 130, "▁▁ a▁b", "日本語 한국어 ʼn１2 ٣Ⅷ ª", None, ""]
+
+
 def test_pieces(spark, texts):
+    """Every text of the table, and hard ones: ids as the library's, and back again."""
     import sentencepiece
 
-    path = tokenizer_path("piece_bpe_32k.model")
-    model, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Pieces(path)
-    got = {r["doc_id"]: r for r in pieces.encode_pieces(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
-    for doc_id, text in list(texts.items())[:120]:
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(3)
+    hard = [*HARD, *("".join(rng.choice(list("abcdeht  '.,1\n"), n)) for n in (50, 500, 5_000))]
+    every = {**texts, **dict(enumerate(hard, 1_000_000))}
+    docs = spark.createDataFrame(list(every.items()), "doc_id long, text string").repartition(3)
+    encoded = pieces.materialise(pieces.encode_pieces(docs), "encoded")
+    for r in encoded.collect():
+        text = every[r["doc_id"]] or ""
         want = model.encode(text)
-        assert got[doc_id]["ids"] == want and got[doc_id]["ids_crc32"] == zlib.crc32(np.array(want, "<u4"))
-        assert got[doc_id]["round_trip"]
-    encoder = pieces.PieceEncoder(own, {})
-    for text in ("Hello  wörld\nfoo\t中 ", " a", "a    b     c\n\n  d", "😀 ", "\r\n x", "aaab" * 60, " " * 40, "\x00a"):
-        assert encoder.encode(text).tolist() == model.encode(text) and own.decode(encoder.encode(text)) == text
-    for word in ("▁" * 70 + "abc" * 30, "aaab" * 9):
-        assert own.merge_short(word) == own.merge_long(word)
+        assert r["ids"] == want and r["n_ids"] == len(want) and r["ids_crc32"] == zlib.crc32(np.array(want, "<u4"))
+        assert r["round_trip"] == ("▁" not in text)
+    for r in pieces.decode_pieces(encoded).collect():
+        assert r["text"] == (every[r["doc_id"]] or "").replace("▁", " ")
+
+
+def test_chunks_are_bounded(spark, texts, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    shown = lambda df: sorted((r["doc_id"], r["ids_crc32"]) for r in df.collect())
+    want = shown(pieces.encode_pieces(docs))
+    monkeypatch.setattr(pieces, "CHARACTERS", 5_000)
+    monkeypatch.setattr(pieces, "UNITS", 300)
+    assert shown(pieces.encode_pieces(docs)) == want
+
+
+def test_numbers_in_few_bytes():
+    numbers = np.concatenate([np.arange(300), [16_383, 16_384, 2_097_151, 2_097_152, (1 << 28) - 1, 0]])
+    data, starts = pieces.shortened(numbers)
+    assert (pieces.lengthened(data) == numbers).all() and starts[128] == 128 and starts[129] == 130
+    assert len(pieces.lengthened(np.empty(0, np.uint8))) == 0
 
 
-def test_lattice_folds(spark):
-    words = spark.createDataFrame([("abcab",), ("zab",), ("c",)], "word string")
+def test_viterbi_fold(spark):
+    """Against all segmentations."""
+    words = ["abcab", "zab", "c", "abcabcab"]
     scores = {"a": -3.0, "b": -3.5, "c": -2.0, "ab": -2.5, "bc": -4.0, "abc": -4.2, "ca": -6.0}
-    table = spark.createDataFrame([(p, i, s) for i, (p, s) in enumerate(scores.items())], "piece string, id int, score double")
+    levels = sorted(set(scores.values()), reverse=True)
+    table = spark.createDataFrame([(p, levels.index(s) << pieces.RANK | len(p) << pieces.LENGTH | i) for i, (p, s) in enumerate(scores.items())], "piece string, edge long")
 
-    def best(word):  # all segmentations
+    def best(word):
         if not word:
             return 0.0, []
         ways = []
@@ -249,11 +272,10 @@ def test_lattice_folds(spark):
                 ways.append((scores.get(word[:n], -1e6) + s, [word[:n], *rest]))
         return max(ways)
 
+    units = spark.createDataFrame([(w, w) for w in words], "key string, unit string")
     ids = {p: i for i, p in enumerate(scores)}
-    got = {r["word"]: r["ids"] for r in pieces.segmented(pieces.lattice(words, table, 3), pieces.fold_viterbi).collect()}
-    assert got == {w: [ids.get(p) for p in best(w)[1]] for w in ("abcab", "zab", "c")}
-    merged = {r["word"]: r["ids"] for r in pieces.segmented(pieces.lattice(words, table, 3)).collect()}
-    assert merged["abcab"] == [ids["abc"], ids["ab"]] and merged["zab"] == [None, ids["ab"]]
+    got = {r["key"]: [x & pieces.ID for x in r["parts"]] for r in pieces.fold_viterbi(pieces.lattice(units, table, 3), levels).collect()}
+    assert got == {w: [ids[p] for p in best(w)[1] if p in ids] for w in words}
 
 
 def luhn(digits):
