@@ -7,18 +7,21 @@ joined to the piece table, the matches are grouped by unit, and a higher-order
 aggregate folds them into pieces: by Viterbi where scores are log probabilities
 (unigram models), by best merges where they are ranks (BPE models).
 
-Texts move as numbers.  A task replaces the units of its texts by numbers in a
-dictionary of its own (a chunk), as columnar files do; the dictionaries' units,
-not the texts, are what is deduplicated, folded and joined back; then each
-chunk's texts meet their chunk's dictionary and are spelled in ids.
+The spelling of all units is then a table.  Up to ``HELD`` units, tasks read it
+whole and spell texts where they are.  Beyond that it is joined back, and texts
+move as numbers: a task replaces the units of its texts by numbers in a
+dictionary of its own (a chunk), as columnar files do; the dictionaries' units
+are what is joined, and then each chunk's texts meet their chunk's dictionary.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,10 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, materialise, small_batches
+from .shared import documents, materialise, scratch, small_batches
 from .words import crc32, tokenizer_path
 
 BLANK = "▁"
+#: Units whose spelling tasks hold whole, some 32 bytes each.
+HELD = 1 << 23
+#: Words that a task remembers.
+WORDS = 400_000
 #: Bounds of a chunk: characters of its texts, units of its dictionary.
 CHARACTERS, UNITS = 1 << 25, 1 << 19
 #: Units longer than this go by their digest while their substrings are matched.
@@ -114,8 +121,10 @@ class Pieces:
         """piece, edge (at 0): a row for each of the vocabulary, so small enough to broadcast."""
         return spark.createDataFrame(list(self.edges.items()), "piece string, edge long")
 
-    def covers(self, unit: str) -> bool:
-        return all(c in self.table for c in unit)
+    @functools.cached_property
+    def uncovered(self) -> re.Pattern:
+        """A character that is no piece."""
+        return re.compile("[^" + re.escape("".join(p for p in self.table if len(p) == 1)) + "]")
 
     def of_character(self, c: str) -> list[int]:
         """A character that no piece covers: its bytes, or the unknown id."""
@@ -280,8 +289,12 @@ def lengthened(data: np.ndarray) -> np.ndarray:
 class _Numbers(dict):
     """Unit to number, in the order they are met."""
 
+    def __init__(self):
+        self.new: list[str] = []
+
     def __missing__(self, unit: str) -> int:
         self[unit] = n = len(self)
+        self.new.append(unit)
         return n
 
 
@@ -300,7 +313,7 @@ def numbered(docs: DataFrame, model: str) -> DataFrame:
         own, known, held, chunk = loaded(model), _Numbers(), 0, TaskContext.get().partitionId() << 32
 
         def dictionary() -> pd.DataFrame:
-            return pd.DataFrame({"chunk": chunk, "doc_id": pd.array([None] * len(known), "Int64"), "codes": None, "hash": pd.array([None] * len(known), "Int64"), "code": pd.array(list(known.values()), "Int32"), "unit": list(known), "odd": [not own.covers(u) for u in known]})[columns]
+            return pd.DataFrame({"chunk": chunk, "doc_id": pd.array([None] * len(known), "Int64"), "codes": None, "hash": pd.array([None] * len(known), "Int64"), "code": pd.array(list(known.values()), "Int32"), "unit": list(known), "odd": [own.uncovered.search(u) is not None for u in known]})[columns]
 
         find = own.units.findall
         for batch in batches:
@@ -330,15 +343,145 @@ def numbered(docs: DataFrame, model: str) -> DataFrame:
     return materialise(given.mapInPandas(rows, "chunk long, doc_id long, codes binary, hash long, code int, unit string, odd boolean"), "numbered")
 
 
-def spelling(dictionaries: DataFrame, model: str, unigram: bool) -> DataFrame:
-    """chunk, code, parts, and the unit where it needs bytes, of dictionaries' rows."""
+def spelling(units: DataFrame, model: str, unigram: bool) -> DataFrame:
+    """key, parts of all units (unit), each once; those that no piece is in have none."""
     pieces = loaded(model)
-    keyed = dictionaries.select("chunk", "code", unit_key(F.col("unit")).alias("key"), "unit", "odd")
-    distinct = keyed.groupBy("key").agg(F.first("unit").alias("unit"))
-    edges = lattice(distinct, pieces.frame(dictionaries.sparkSession), pieces.longest)
-    folded = fold_viterbi(edges, pieces.scores) if unigram else fold_merges(edges, pieces.runs)
-    uses = keyed.select("chunk", "code", "key", F.when(F.col("odd"), F.col("unit")).alias("unit"))
-    return uses.join(folded, "key", "left").select("chunk", "code", "unit", "parts")
+    distinct = units.select(unit_key(F.col("unit")).alias("key"), "unit").groupBy("key").agg(F.first("unit").alias("unit"))
+    edges = lattice(distinct, pieces.frame(units.sparkSession), pieces.longest)
+    return fold_viterbi(edges, pieces.scores) if unigram else fold_merges(edges, pieces.runs)
+
+
+def words_of(text: str) -> list[str]:
+    """The text in words at blanks, the blank that begins each (escaped: BLANK) left out; no unit goes across two words."""
+    if not text:
+        return []
+    if text[0] != " " and "  " not in text and BLANK + " " not in text:
+        return text.split(" ")
+    return [w[1:] for w in _RUNS.findall(BLANK + text.replace(" ", BLANK))]
+
+
+_RUNS = re.compile(rf"{BLANK}*[^{BLANK}]+|{BLANK}+")
+
+
+def units_of(docs: DataFrame, model: str) -> DataFrame:
+    """unit: the different units of each task's texts."""
+    small_batches(docs.sparkSession)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find, words = loaded(model).units.findall, set()
+        for batch in batches:
+            for text in batch["text"]:
+                words.update(words_of(text or ""))
+            if len(words) > WORDS:
+                yield pd.DataFrame({"unit": list(set(chain.from_iterable(find(BLANK + w) for w in words)))})
+                words = set()
+        if words:
+            yield pd.DataFrame({"unit": list(set(chain.from_iterable(find(BLANK + w) for w in words)))})
+
+    return docs.select("text").mapInPandas(rows, "unit string")
+
+
+class Spelling:
+    """The spelling of all units, from its files: hashes of keys, sorted, and their parts."""
+
+    def __init__(self, folder: str):
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        filesystem, root = fs.FileSystem.from_uri(folder)
+        table = ds.dataset(root, filesystem=filesystem, format="parquet").to_table(["hash", "parts"])
+        hashes, parts = table["hash"].combine_chunks(), table["parts"].combine_chunks()
+        order = np.argsort(hashes.to_numpy(), kind="stable")
+        self.hashes = hashes.to_numpy()[order]
+        starts = parts.offsets.to_numpy().astype(np.int64)
+        self.starts, self.sizes = starts[:-1][order], np.diff(starts)[order].astype(np.int32)
+        self.parts = parts.values.to_numpy()
+
+    def find(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where each unit's parts start and how many there are; none of units without pieces."""
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest  # with seed 42 it is Spark's
+        wanted = np.fromiter((digest((u if len(u) <= SHORT else "\n" + hashlib.sha256(u.encode()).hexdigest()).encode(), 42) for u in units), np.uint64, len(units)).view(np.int64)
+        if not len(self.hashes):
+            return np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        return self.starts[at], np.where(self.hashes[at] == wanted, self.sizes[at], 0).astype(np.int64)
+
+
+@functools.lru_cache(maxsize=1)
+def read_spelling(folder: str) -> Spelling:
+    """One per Python process."""
+    return Spelling(folder)
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class Speller:
+    """Spells texts, remembering words: ids and what they decode to."""
+
+    def __init__(self, pieces: Pieces, spelling: Spelling):
+        self.pieces, self.spelling = pieces, spelling
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = _Numbers()
+        self.flat, self.starts, self.shown = np.empty(0, np.int32), np.zeros(1, np.int64), []
+
+    def _learn(self, words: list[str]) -> None:
+        find, odd = self.pieces.units.findall, self.pieces.uncovered.search
+        units = [find(BLANK + w) for w in words]
+        starts, sizes = self.spelling.find(list(chain.from_iterable(units)))
+        parts = self.spelling.parts[ranges(starts, sizes)]
+        n_units = np.fromiter(map(len, units), np.int64, len(units))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(n_units)])]
+        ids, lengths = parts & ID, np.diff(ends)
+        plain = [odd(w) is None for w in words]
+        if not all(plain):  # characters of bytes
+            lists = np.split(ids, ends[1:-1])
+            spans = np.concatenate([[0], np.cumsum(sizes)])
+            first = np.concatenate([[0], np.cumsum(n_units)])
+            for k in np.flatnonzero(~np.array(plain)):
+                own = [self.pieces.spelled(u, parts[spans[first[k] + j] : spans[first[k] + j + 1]].tolist()) for j, u in enumerate(units[k])]
+                lists[k] = np.array(list(chain.from_iterable(own)), np.int32)
+            ids, lengths = np.concatenate(lists), np.fromiter(map(len, lists), np.int64, len(lists))
+        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        text, listed = self.pieces.text, ids.tolist()
+        shown = list(map(text.get, listed))
+        for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            self.shown.append("".join(shown[a:b]) if plain[k] else self.pieces.decode(listed[a:b]))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + bounds[1:]])
+        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """All texts' ids, where each text's begin and the last ends, and whether they decode to the texts."""
+        if len(self.known) > WORDS:
+            self._forget()
+        before, number = len(self.known), self.known.__getitem__
+        codes = [np.fromiter(map(number, words), np.int64, len(words)) for words in map(words_of, texts)]
+        if len(self.known) > before:
+            self._learn(list(self.known.new))
+            self.known.new.clear()
+        every = np.concatenate(codes) if codes else np.empty(0, np.int64)
+        sizes = self.starts[every + 1] - self.starts[every]
+        ids = self.flat[ranges(self.starts[every], sizes)]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, codes)])]
+        same = [unescaped("".join(map(self.shown.__getitem__, c.tolist()))) == t for c, t in zip(codes, texts, strict=True)]
+        return ids, bounds, same
+
+
+KINDS = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_()), ("ids", pa.list_(pa.int32()))])
+ROWS = "doc_id long, n_ids long, ids_crc32 long, round_trip boolean, ids array<int>"
+
+
+def listed(doc_ids: pa.Array, ids: np.ndarray, bounds: np.ndarray, same: list[bool]) -> pa.RecordBatch:
+    crcs = [crc32(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+    return pa.record_batch([doc_ids, pa.array(np.diff(bounds), pa.int64()), pa.array(crcs, pa.int64()), pa.array(same, pa.bool_()), lists], schema=KINDS)
 
 
 def encode_pieces(docs: DataFrame, model: str | None = None, unigram: bool = False) -> DataFrame:
@@ -351,43 +494,48 @@ def encode_pieces(docs: DataFrame, model: str | None = None, unigram: bool = Fal
     model = model or tokenizer_path("piece_bpe_32k.model")
     if not unigram:
         loaded(model).check_merges()
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    folder = scratch(docs.sparkSession, "spelling")
+    spelling(units_of(given, model), model, unigram).select(F.xxhash64("key").alias("hash"), "key", "parts").write.parquet(folder)
+    spelled = docs.sparkSession.read.parquet(folder)
+    if spelled.count() > HELD or spelled.groupBy("hash").count().where("count > 1").take(1):  # too many to hold, or not told apart by hash
+        return joined(given, spelled, model)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        speller = Speller(loaded(model), read_spelling(folder))
+        for batch in batches:
+            yield listed(batch["doc_id"], *speller([t or "" for t in batch["text"].to_pylist()]))
+
+    return given.mapInArrow(spell, ROWS)
+
+
+def joined(docs: DataFrame, spelled: DataFrame, model: str) -> DataFrame:
+    """The rows of ``encode_pieces``, from a spelling of any size."""
     rows = numbered(docs, model)
     texts = rows.where("unit IS NULL").select("chunk", "doc_id", "codes", "hash")
-    spelled = spelling(rows.where("unit IS NOT NULL"), model, unigram).toDF("chunk", "code", "unit", "parts")  # names of its own for the cogroup
-    kinds = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_()), ("ids", pa.list_(pa.int32()))])
+    uses = rows.where("unit IS NOT NULL").select("chunk", "code", unit_key(F.col("unit")).alias("key"), F.when(F.col("odd"), F.col("unit")).alias("unit"))
+    words = uses.join(spelled, "key", "left").select("chunk", "code", "unit", "parts").toDF("chunk", "code", "unit", "parts")  # names of its own for the cogroup
 
     def spell(texts: pa.Table, words: pa.Table) -> pa.Table:
         import xxhash
 
         own = loaded(model)
-        order = np.argsort(words["code"].to_numpy())
-        parts = words["parts"].combine_chunks().take(pa.array(order))
-        sizes = parts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = (parts.flatten().to_numpy(zero_copy_only=False) & ID).astype(np.int32)
-        odd = words["unit"].combine_chunks().take(pa.array(order))
-        if odd.null_count < len(odd):  # units with characters of bytes: few
-            lists = [own.spelled(u, p or []) if u is not None else [x & ID for x in p] for u, p in zip(odd.to_pylist(), parts.to_pylist(), strict=True)]
-            sizes = np.array([len(x) for x in lists], np.int64)
-            flat = np.fromiter((i for x in lists for i in x), np.int32, int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        shown = [own.decode(flat[a : a + n].tolist()) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        words = words.sort_by("code").to_pylist()
+        lists = [own.spelled(w["unit"], w["parts"] or []) if w["unit"] is not None else [x & ID for x in w["parts"]] for w in words]
+        shown = [own.decode(x) for x in lists]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat, starts = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), np.cumsum(sizes) - sizes
         batches = []
         for batch in texts.to_batches(max_chunksize=500):
             codes = [lengthened(np.frombuffer(c.as_py(), np.uint8)) for c in batch["codes"]]
             every = np.concatenate(codes) if codes else np.empty(0, np.int64)
-            n = sizes[every]
-            ends = np.cumsum(n)
-            ids = flat[np.repeat(starts[every] - (ends - n), n) + np.arange(int(n.sum()))]
-            bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, codes)])]
-            crcs = [crc32(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            bounds = np.concatenate([[0], np.cumsum(sizes[every])])[np.cumsum([0, *map(len, codes)])]
             back = [xxhash.xxh3_64_intdigest(unescaped("".join(map(shown.__getitem__, c.tolist()))).encode()) - (1 << 63) for c in codes]
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
-            same = np.array(back, np.int64) == batch["hash"].to_numpy(zero_copy_only=False)
-            batches.append(pa.record_batch([batch["doc_id"], pa.array(np.diff(bounds)), pa.array(crcs, pa.int64()), pa.array(same), lists], schema=kinds))
-        return pa.Table.from_batches(batches, schema=kinds)
+            same = [a == b for a, b in zip(back, batch["hash"].to_pylist(), strict=True)]
+            batches.append(listed(batch["doc_id"], flat[ranges(starts[every], sizes[every])], bounds, same))
+        return pa.Table.from_batches(batches, schema=KINDS)
 
-    met = texts.groupBy("chunk").cogroup(spelled.groupBy("chunk"))
-    return met.applyInArrow(spell, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean, ids array<int>")
+    return texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(spell, ROWS)
 
 
 def decode_pieces(rows: DataFrame, model: str | None = None) -> DataFrame:

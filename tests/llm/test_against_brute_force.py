@@ -220,10 +220,13 @@ def test_bit_packing(tmp_path, vocabulary):
 HARD = ["Hello  wörld\nfoo\t中 ", " a", "a    b     c\n\n  d", "😀 ", "\r\n x", "aaab" * 60, " " * 40, "\x00a", "x" * 20_000, "m²³ 1½ ².a_b __init__", "=" * 700 + "-" * 130, "▁▁ a▁b", "日本語 한국어 ʼn１2 ٣Ⅷ ª", None, ""]
 
 
-def test_pieces(spark, texts):
-    """Every text of the table, and hard ones: ids as the library's, and back again."""
+@pytest.mark.parametrize("held", [pieces.HELD, 0])
+def test_pieces(spark, texts, monkeypatch, held):
+    """Every text of the table, and hard ones: ids as the library's, and back again; the spelling held whole or joined back."""
     import sentencepiece
 
+    monkeypatch.setattr(pieces, "HELD", held)
+
     model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
     rng = np.random.default_rng(3)
     hard = [*HARD, *("".join(rng.choice(list("abcdeht  '.,1\n"), n)) for n in (50, 500, 5_000))]
@@ -243,8 +246,11 @@ def test_chunks_are_bounded(spark, texts, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     shown = lambda df: sorted((r["doc_id"], r["ids_crc32"]) for r in df.collect())
     want = shown(pieces.encode_pieces(docs))
+    monkeypatch.setattr(pieces, "WORDS", 50)
+    assert shown(pieces.encode_pieces(docs)) == want
     monkeypatch.setattr(pieces, "CHARACTERS", 5_000)
     monkeypatch.setattr(pieces, "UNITS", 300)
+    monkeypatch.setattr(pieces, "HELD", 0)
     assert shown(pieces.encode_pieces(docs)) == want
 
 
