@@ -21,7 +21,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -37,7 +37,7 @@ BLANK = "▁"
 #: Units whose spelling tasks hold whole, some 32 bytes each.
 HELD = 1 << 23
 #: Words that a task remembers.
-WORDS = 400_000
+WORDS = 120_000
 #: Bounds of a chunk: characters of its texts, units of its dictionary.
 CHARACTERS, UNITS = 1 << 25, 1 << 19
 #: Units longer than this go by their digest while their substrings are matched.
@@ -368,15 +368,19 @@ def units_of(docs: DataFrame, model: str) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, words = loaded(model).units.findall, set()
+        find, words, units = loaded(model).units.findall, set(), set()
         for batch in batches:
             for text in batch["text"]:
                 words.update(words_of(text or ""))
             if len(words) > WORDS:
-                yield pd.DataFrame({"unit": list(set(chain.from_iterable(find(BLANK + w) for w in words)))})
+                units.update(chain.from_iterable(find(BLANK + w) for w in words))
                 words = set()
-        if words:
-            yield pd.DataFrame({"unit": list(set(chain.from_iterable(find(BLANK + w) for w in words)))})
+            if len(units) > 2 * WORDS:
+                yield pd.DataFrame({"unit": list(units)})
+                units = set()
+        units.update(chain.from_iterable(find(BLANK + w) for w in words))
+        if units:
+            yield pd.DataFrame({"unit": list(units)})
 
     return docs.select("text").mapInPandas(rows, "unit string")
 
@@ -389,13 +393,15 @@ class Spelling:
         from pyarrow import fs
 
         filesystem, root = fs.FileSystem.from_uri(folder)
-        table = ds.dataset(root, filesystem=filesystem, format="parquet").to_table(["hash", "parts"])
-        hashes, parts = table["hash"].combine_chunks(), table["parts"].combine_chunks()
-        order = np.argsort(hashes.to_numpy(), kind="stable")
-        self.hashes = hashes.to_numpy()[order]
-        starts = parts.offsets.to_numpy().astype(np.int64)
-        self.starts, self.sizes = starts[:-1][order], np.diff(starts)[order].astype(np.int32)
-        self.parts = parts.values.to_numpy()
+        hashes, sizes, parts = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+        for batch in ds.dataset(root, filesystem=filesystem, format="parquet").to_batches(columns=["hash", "parts"], batch_size=1 << 16, batch_readahead=1, fragment_readahead=1):
+            hashes.append(batch["hash"].to_numpy())
+            sizes.append(batch["parts"].value_lengths().to_numpy())
+            parts.append(batch["parts"].flatten().to_numpy())
+        found, size = np.concatenate(hashes), np.concatenate(sizes)
+        order = np.argsort(found)
+        self.hashes, self.sizes, self.starts = found[order], size[order], (np.cumsum(size, dtype=np.int64) - size).astype(np.uint32 if sum(map(len, parts)) < 1 << 32 else np.int64)[order]
+        self.parts = np.concatenate(parts)
 
     def find(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Where each unit's parts start and how many there are; none of units without pieces."""
@@ -406,7 +412,7 @@ class Spelling:
         if not len(self.hashes):
             return np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
         at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-        return self.starts[at], np.where(self.hashes[at] == wanted, self.sizes[at], 0).astype(np.int64)
+        return self.starts[at].astype(np.int64), np.where(self.hashes[at] == wanted, self.sizes[at], 0).astype(np.int64)
 
 
 @functools.lru_cache(maxsize=1)
@@ -425,12 +431,16 @@ class Speller:
     """Spells texts, remembering words: ids and what they decode to."""
 
     def __init__(self, pieces: Pieces, spelling: Spelling):
-        self.pieces, self.spelling = pieces, spelling
-        self._forget()
+        self.pieces, self.spelling, self.known = pieces, spelling, _Numbers()
+        self.flat, self.starts, self.shown = np.empty(0, np.int32), np.zeros(1, np.int64), []
 
     def _forget(self) -> None:
-        self.known = _Numbers()
-        self.flat, self.starts, self.shown = np.empty(0, np.int32), np.zeros(1, np.int64), []
+        """The words met first, which the commonest are among, stay, unless they are long."""
+        keep = WORDS // 2 if len(self.flat) < 16 * WORDS else 0
+        known = _Numbers()
+        known.update(islice(self.known.items(), keep))
+        self.known, self.shown = known, self.shown[:keep]
+        self.flat, self.starts = self.flat[: self.starts[keep]].copy(), self.starts[: keep + 1].copy()
 
     def _learn(self, words: list[str]) -> None:
         find, odd = self.pieces.units.findall, self.pieces.uncovered.search
@@ -459,7 +469,7 @@ class Speller:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
         """All texts' ids, where each text's begin and the last ends, and whether they decode to the texts."""
-        if len(self.known) > WORDS:
+        if len(self.known) > WORDS or len(self.flat) > 16 * WORDS:
             self._forget()
         before, number = len(self.known), self.known.__getitem__
         codes = [np.fromiter(map(number, words), np.int64, len(words)) for words in map(words_of, texts)]
