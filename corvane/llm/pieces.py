@@ -34,7 +34,7 @@ from .shared import documents, materialise, scratch, small_batches
 from .words import crc32, tokenizer_path
 
 BLANK = "▁"
-#: Units whose spelling tasks hold whole, some 32 bytes each.
+#: Units whose spelling tasks hold whole, some 25 bytes each.
 HELD = 1 << 23
 #: Words that a task remembers.
 WORDS = 120_000
@@ -130,14 +130,13 @@ class Pieces:
         """A character that no piece covers: its bytes, or the unknown id."""
         return [self.bytes[b] for b in c.encode()] if self.bytes else [self.unknown]
 
-    def spelled(self, unit: str, parts: list[int]) -> list[int]:
-        """The ids of a unit from its pieces (length and id), bytes for characters that have none."""
-        out, at, left = [], 0, iter(parts)
+    def spelled(self, unit: str, ids: list[int]) -> list[int]:
+        """The ids of a unit from those of its pieces, bytes for characters that have none."""
+        out, at, left = [], 0, iter(ids)
         while at < len(unit):
             if unit[at] in self.table:
-                part = next(left)
-                out.append(part & ID)
-                at += part >> LENGTH
+                out.append(next(left))
+                at += len(self.text[out[-1]])
             else:
                 out += self.of_character(unit[at])
                 at += 1
@@ -386,25 +385,30 @@ def units_of(docs: DataFrame, model: str) -> DataFrame:
 
 
 class Spelling:
-    """The spelling of all units, from its files: hashes of keys, sorted, and their parts."""
+    """The spelling of all units, from its files: hashes of keys, sorted, and their ids."""
 
-    def __init__(self, folder: str):
-        import pyarrow.dataset as ds
+    def __init__(self, folder: str, kind: type):
+        import pyarrow.parquet as pq
         from pyarrow import fs
 
         filesystem, root = fs.FileSystem.from_uri(folder)
-        hashes, sizes, parts = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
-        for batch in ds.dataset(root, filesystem=filesystem, format="parquet").to_batches(columns=["hash", "parts"], batch_size=1 << 16, batch_readahead=1, fragment_readahead=1):
-            hashes.append(batch["hash"].to_numpy())
-            sizes.append(batch["parts"].value_lengths().to_numpy())
-            parts.append(batch["parts"].flatten().to_numpy())
-        found, size = np.concatenate(hashes), np.concatenate(sizes)
-        order = np.argsort(found)
-        self.hashes, self.sizes, self.starts = found[order], size[order], (np.cumsum(size, dtype=np.int64) - size).astype(np.uint32 if sum(map(len, parts)) < 1 << 32 else np.int64)[order]
-        self.parts = np.concatenate(parts)
+        files = sorted(f.path for f in filesystem.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
+        n = sum(pq.read_metadata(f, filesystem=filesystem).num_rows for f in files)
+        self.hashes, self.bounds = np.empty(n, np.int64), np.zeros(n + 1, np.uint32)
+        ids, at, held = [], 0, 0
+        for name in files:  # in order of hashes
+            with filesystem.open_input_file(name) as file:
+                for batch in pq.ParquetFile(file).iter_batches(1 << 15, columns=["hash", "ids"]):
+                    self.hashes[at : at + len(batch)] = batch["hash"].to_numpy()
+                    ends = held + np.cumsum(batch["ids"].value_lengths().to_numpy(), dtype=np.int64)
+                    ids.append(batch["ids"].flatten().to_numpy().astype(kind))
+                    at, held = at + len(batch), int(ends[-1])
+                    self.bounds[at - len(batch) + 1 : at + 1] = ends
+        self.ids = np.concatenate(ids) if ids else np.empty(0, kind)
+        pa.default_memory_pool().release_unused()
 
     def find(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Where each unit's parts start and how many there are; none of units without pieces."""
+        """Where each unit's ids start and how many there are; none of units without pieces."""
         import xxhash
 
         digest = xxhash.xxh64_intdigest  # with seed 42 it is Spark's
@@ -412,13 +416,14 @@ class Spelling:
         if not len(self.hashes):
             return np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
         at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-        return self.starts[at].astype(np.int64), np.where(self.hashes[at] == wanted, self.sizes[at], 0).astype(np.int64)
+        starts = self.bounds[at].astype(np.int64)
+        return starts, np.where(self.hashes[at] == wanted, self.bounds[at + 1] - starts, 0)
 
 
 @functools.lru_cache(maxsize=1)
-def read_spelling(folder: str) -> Spelling:
+def read_spelling(folder: str, kind: type) -> Spelling:
     """One per Python process."""
-    return Spelling(folder)
+    return Spelling(folder, kind)
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -446,17 +451,17 @@ class Speller:
         find, odd = self.pieces.units.findall, self.pieces.uncovered.search
         units = [find(BLANK + w) for w in words]
         starts, sizes = self.spelling.find(list(chain.from_iterable(units)))
-        parts = self.spelling.parts[ranges(starts, sizes)]
+        ids = self.spelling.ids[ranges(starts, sizes)].astype(np.int32)
         n_units = np.fromiter(map(len, units), np.int64, len(units))
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(n_units)])]
-        ids, lengths = parts & ID, np.diff(ends)
+        lengths = np.diff(ends)
         plain = [odd(w) is None for w in words]
         if not all(plain):  # characters of bytes
             lists = np.split(ids, ends[1:-1])
             spans = np.concatenate([[0], np.cumsum(sizes)])
             first = np.concatenate([[0], np.cumsum(n_units)])
             for k in np.flatnonzero(~np.array(plain)):
-                own = [self.pieces.spelled(u, parts[spans[first[k] + j] : spans[first[k] + j + 1]].tolist()) for j, u in enumerate(units[k])]
+                own = [self.pieces.spelled(u, ids[spans[first[k] + j] : spans[first[k] + j + 1]].tolist()) for j, u in enumerate(units[k])]
                 lists[k] = np.array(list(chain.from_iterable(own)), np.int32)
             ids, lengths = np.concatenate(lists), np.fromiter(map(len, lists), np.int64, len(lists))
         bounds = np.concatenate([[0], np.cumsum(lengths)])
@@ -506,13 +511,16 @@ def encode_pieces(docs: DataFrame, model: str | None = None, unigram: bool = Fal
         loaded(model).check_merges()
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     folder = scratch(docs.sparkSession, "spelling")
-    spelling(units_of(given, model), model, unigram).select(F.xxhash64("key").alias("hash"), "key", "parts").write.parquet(folder)
+    made = spelling(units_of(given, model), model, unigram)
+    ids = F.transform("parts", lambda p: p.bitwiseAND(ID))
+    made.select(F.xxhash64("key").alias("hash"), "key", ids.alias("ids")).repartitionByRange("hash").sortWithinPartitions("hash").write.parquet(folder)
     spelled = docs.sparkSession.read.parquet(folder)
     if spelled.count() > HELD or spelled.groupBy("hash").count().where("count > 1").take(1):  # too many to hold, or not told apart by hash
         return joined(given, spelled, model)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller(loaded(model), read_spelling(folder))
+        own = loaded(model)
+        speller = Speller(own, read_spelling(folder, np.uint16 if max(own.text) < 1 << 16 else np.int32))
         for batch in batches:
             yield listed(batch["doc_id"], *speller([t or "" for t in batch["text"].to_pylist()]))
 
@@ -524,14 +532,14 @@ def joined(docs: DataFrame, spelled: DataFrame, model: str) -> DataFrame:
     rows = numbered(docs, model)
     texts = rows.where("unit IS NULL").select("chunk", "doc_id", "codes", "hash")
     uses = rows.where("unit IS NOT NULL").select("chunk", "code", unit_key(F.col("unit")).alias("key"), F.when(F.col("odd"), F.col("unit")).alias("unit"))
-    words = uses.join(spelled, "key", "left").select("chunk", "code", "unit", "parts").toDF("chunk", "code", "unit", "parts")  # names of its own for the cogroup
+    words = uses.join(spelled, "key", "left").select("chunk", "code", "unit", "ids").toDF("chunk", "code", "unit", "ids")  # names of its own for the cogroup
 
     def spell(texts: pa.Table, words: pa.Table) -> pa.Table:
         import xxhash
 
         own = loaded(model)
         words = words.sort_by("code").to_pylist()
-        lists = [own.spelled(w["unit"], w["parts"] or []) if w["unit"] is not None else [x & ID for x in w["parts"]] for w in words]
+        lists = [own.spelled(w["unit"], w["ids"] or []) if w["unit"] is not None else w["ids"] for w in words]
         shown = [own.decode(x) for x in lists]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         flat, starts = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), np.cumsum(sizes) - sizes
