@@ -2,11 +2,17 @@
 
 The histogram of piece lengths, at most ``capacity`` counts, is all that
 packing needs: a configuration linear program over it (which multisets of
-lengths share a sequence, and how often) is solved by multiplicative weights,
-each step pricing configurations with a knapsack dynamic program.  The
-fractional solution is rounded down; what it leaves is placed best fit, longest
-first, on counts rather than on pieces.  Only then do pieces get their places,
-each from its rank among the pieces of its length.
+lengths share a sequence, and how often) is solved by multiplicative weights:
+a length is worth its space, times a factor that falls exponentially with how
+much of its demand is covered; each step prices configurations of some lengths
+with a knapsack dynamic program and takes the best as often as covers a share of
+one length's demand, until every length is covered.  The fractional solution is
+rounded: of configurations that fill a sequence, whole parts first, then single
+ones, largest fractions first, while their pieces last; what is left is placed
+best fit, longest first, on counts rather than on pieces.  (Where best fit alone
+takes fewer sequences, as when half of the pieces have one awkward length, its
+plan is taken.)  Only then do pieces get their places, each from its rank among
+the pieces of its length.
 """
 
 from __future__ import annotations
@@ -23,65 +29,66 @@ from .shared import documents, materialise, small_batches
 from .words import crc32, encoder, tokenizer_path
 
 CAPACITY = 4096
-#: Steps of the multiplicative-weights solver; each prices one configuration.
-STEPS = 48
-#: The size of one step in the logarithm of the weights.
-RATE = 0.5
-#: Shares of the fractional solution that rounding tries to keep; the fewest sequences win.
-SHARES = (1.0, 0.8, 0.4, 0.0)
+#: A step covers this share of some length's demand; how fast covered lengths lose worth; lengths priced together.
+SHARE, RATE, PRICED = 0.5, 0.1, 24
 
 #: How often a configuration is used, and how many pieces of which length it has.
 Bins = tuple[int, list[tuple[int, int]]]
 
 
 def best_configuration(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts by length that maximise the value in one sequence (unbounded knapsack).
-
-    ``most`` then limits each count; the space that frees stays for rounding.
+    """Counts by length, none over ``most``, that maximise the value in one sequence (bounded knapsack)."""
+    best, steps = np.zeros(capacity + 1), []
+    for i, (length, value) in enumerate(zip(lengths.tolist(), values.tolist(), strict=True)):
+        left, n = min(int(most[i]), capacity // length), 1
+        while left > 0:  # 1, 2, 4 .. and the rest: every count is a sum of some
+            n = min(n, left)
+            offer = best[: -n * length] + n * value
+            took = offer > best[n * length :]
+            best[n * length :][took] = offer[took]
+            steps.append((i, n, n * length, took))
+            left, n = left - n, 2 * n
+    counts, c = np.zeros(len(lengths), np.int64), int(best.argmax())
+    for i, n, space, took in reversed(steps):
+        if c >= space and took[c - space]:
+            counts[i] += n
+            c -= space
+    return counts
+
+
+def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, seed: int = 11) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """A covering of all of ``demand`` by configurations: (how often, lengths' positions, counts).
+
+    Lengths are priced in groups of like demand, drawn anew in each round, with
+    the ones that are least covered against theirs; a configuration of each
+    group is taken SHARE / (its greatest part of a demand) times.
     """
-    best = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if k := upto[c]:
-            worth = best[c - lengths[:k]] + values[:k]
-            j = int(worth.argmax())
-            if worth[j] > best[c]:
-                best[c], took[c] = worth[j], j
-    counts, c = np.zeros(len(lengths), np.int64), capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            counts[took[c]] += 1
-            c -= lengths[took[c]]
-    return np.minimum(counts, most)
-
-
-def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, steps: int = STEPS, rate: float = RATE) -> list[tuple[float, np.ndarray]]:
-    """A covering of ``demand`` by configurations: (how often, counts by length)."""
-    weights = lengths / capacity  # duals: the space a piece takes, to begin with
-    total = float((lengths * demand).sum()) / capacity
-    found = []
-    for _ in range(steps):
-        counts = best_configuration(lengths, weights, demand, capacity)
-        if not counts.any():
-            break
-        found.append((total / steps, counts))
-        covered = counts * total / demand  # of each length's demand, were it the only one
-        weights = weights * np.exp(-rate * covered / max(covered.max(), 1e-12))
-        weights = weights / weights.max()
+    rng = np.random.default_rng(seed)
+    covered, found = np.zeros(len(lengths)), []
+    while len(open_ := np.flatnonzero(covered < 1 - 1e-9)):
+        left = demand[open_] * (1 - covered[open_])
+        order = open_[np.argsort(np.log(left) + rng.normal(0, 0.7, len(open_)))]
+        hard = open_[np.argsort(-left * lengths[open_])[:4]]
+        for at in range(0, len(order), PRICED - 4):
+            group = np.union1d(order[at : at + PRICED - 4], hard)
+            group = group[covered[group] < 1 - 1e-9]
+            if not len(group):
+                continue
+            worth = lengths[group] / capacity * np.exp(-RATE * (covered[group] - covered[group].min()))
+            need = demand[group] * (1 - covered[group])
+            counts = best_configuration(lengths[group], worth, np.ceil(need), capacity)
+            used = counts > 0
+            often = float(max(min(SHARE * (demand[group][used] / counts[used]).min(), (need[used] / counts[used]).min()), (need[used] / counts[used]).min() * SHARE))
+            covered[group[used]] += counts[used] * often / demand[group][used]
+            found.append((often, group[used], counts[used]))
     return found
 
 
-def best_fit(lengths: np.ndarray, demand: np.ndarray, capacity: int, partly: dict[int, list[Bins]] | None = None) -> list[Bins]:
+def best_fit(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[Bins]:
     """Best fit decreasing on counts: equal bins are one entry, so the work
     follows the number of distinct lengths and not that of pieces."""
-    open_bins: dict[int, list[Bins]] = partly or {}
+    open_bins: dict[int, list[Bins]] = {}
     spaces = np.zeros(capacity + 1, bool)
-    for s in open_bins:
-        spaces[s] = True
 
     def put(space: int, bins: Bins) -> None:
         open_bins.setdefault(space, []).append(bins)
@@ -114,22 +121,33 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Bins]
     if not rest:
         return bins
     lengths, left = np.array(list(rest), np.int64), np.array(list(rest.values()), np.int64)
-    solution = fractional(lengths, left, capacity)
-    return bins + min((rounded(solution, share, lengths, left, capacity) for share in SHARES), key=lambda found: sum(n for n, _ in found))
-
-
-def rounded(solution: list[tuple[float, np.ndarray]], share: float, lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[Bins]:
-    """Whole configurations for up to ``share`` of the solution, best fit for the rest."""
-    left, partly = demand.copy(), {}
-    for often, counts in solution:
-        have = counts > 0
-        times = min(int(often * share), int((left[have] // counts[have]).min()))
-        if times > 0:
-            left[have] -= times * counts[have]
-            space = capacity - int((counts * lengths).sum())
-            partly.setdefault(space, []).append((times, [(int(n), int(k)) for n, k in zip(lengths[have], counts[have], strict=True)]))
+    plans = configured(lengths, left, capacity), best_fit(lengths, left, capacity)
+    return bins + min(plans, key=lambda plan: sum(n for n, _ in plan))  # the first of equals
+
+
+def configured(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[Bins]:
+    """The program solved and rounded, once more for what is left if that is the greater part; best fit for the rest."""
+    left, bins = demand.copy(), []
+    for _ in range(2):
+        if 2 * left.sum() > demand.sum():
+            have = np.flatnonzero(left)
+            found, left[have] = rounded(fractional(lengths[have], left[have], capacity), lengths[have], left[have], capacity)
+            bins += found
     have = left > 0
-    return best_fit(lengths[have], left[have], capacity, partly)
+    return bins + best_fit(lengths[have], left[have], capacity)
+
+
+def rounded(solution: list[tuple[float, np.ndarray, np.ndarray]], lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[Bins], np.ndarray]:
+    """Full configurations by the whole parts of how often they are used, then once each, largest
+    fractions first, as far as pieces last; and the demand that is left."""
+    left, bins = demand.copy(), []
+    full = [s for s in solution if int((s[2] * lengths[s[1]]).sum()) == capacity]
+    for n, at, counts in [*((int(n + 1e-9), at, counts) for n, at, counts in full), *((1, at, counts) for _, at, counts in sorted(full, key=lambda s: -(s[0] % 1)))]:
+        n = min(n, int((left[at] // counts).min()))
+        if n:
+            left[at] -= n * counts
+            bins.append((n, list(zip(lengths[at].tolist(), counts.tolist(), strict=True))))
+    return bins, left
 
 
 def places(bins: list[Bins]) -> pd.DataFrame:

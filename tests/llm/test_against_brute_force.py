@@ -351,6 +351,41 @@ def test_bins_use_each_piece_once():
     assert packing.plan_bins({}) == []
 
 
+def histogram(n, seed):
+    lengths, counts = np.unique(np.clip(np.random.default_rng(seed).lognormal(6.5, 1.2, n).astype(int), 1, 4095), return_counts=True)
+    return lengths, counts
+
+
+@pytest.mark.parametrize("n", [40, 1_000, 10_000])
+def test_configurations_cover_and_decide(n):
+    lengths, counts = histogram(n, n)
+    solution = packing.fractional(lengths, counts, 4096)
+    covered = np.zeros(len(lengths))
+    for often, at, k in solution:
+        assert (k * lengths[at]).sum() <= 4096 and (k <= counts[at]).all()
+        covered[at] += often * k
+    assert (covered >= counts * (1 - 1e-6)).all()
+    least = (lengths * counts).sum() / 4096
+    assert sum(often for often, _, _ in solution) <= (1.1 if n < 100 else 1.02) * least  # the gap to the bound
+    bins = packing.configured(lengths, counts, 4096)
+    assert sum(t for t, _ in bins) <= sum(t for t, _ in packing.best_fit(lengths, counts, 4096))
+    placed, left = packing.rounded(solution, lengths, counts, 4096)
+    assert all(sum(length * k for length, k in inside) == 4096 for _, inside in placed)
+    if n > 100:  # most pieces are placed by configurations, where need be with the program solved again for what is left
+        have = left > 0
+        again, rest = packing.rounded(packing.fractional(lengths[have], left[have], 4096), lengths[have], left[have], 4096)
+        assert min(left.sum(), rest.sum()) < counts.sum() / 2
+
+
+def test_knapsack_against_all_choices():
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        lengths, values, most = np.sort(rng.choice(np.arange(1, 15), 4, replace=False)), rng.random(4), rng.integers(1, 4, 4)
+        got = packing.best_configuration(lengths, values, most, 20)
+        every = [np.array(c) for c in np.ndindex(*(most + 1)) if (np.array(c) * lengths).sum() <= 20]
+        assert (got <= most).all() and (got * lengths).sum() <= 20 and (got * values).sum() == pytest.approx(max((c * values).sum() for c in every))
+
+
 def test_toxicity_held_out(spark):
     got = frame(QUERIES["op9_toxicity"](spark, "/root/testdata/sf0.1"))
     truth = pd.read_parquet("/root/testdata/sf0.1/labels.parquet").set_index("doc_id")["toxic"]
