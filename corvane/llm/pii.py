@@ -1,11 +1,14 @@
 """Personal data by weak supervision, in built-in functions alone.
 
-Fixed patterns give base spans, looser ones further candidates.  Labelers
-(regular expression, checksum, gazetteer, context, boundary) vote on every
-candidate; expectation-maximisation over the counts of vote patterns estimates
-how reliable each labeler is; the posteriors then train a span classifier,
-naive Bayes over a span's shape and surroundings, which decides about the
-candidates that no fixed pattern has.
+Fixed patterns give base spans; looser ones, and matches of the fixed ones that
+failed their checks, give further candidates.  Labelers (regular expression,
+checksum, gazetteer, context, boundary) vote for or against every candidate;
+expectation-maximisation over the counts of vote patterns estimates how reliable
+each labeler is; the posteriors then train a span classifier, naive Bayes over a
+span's shape and surroundings, which decides about the further candidates.
+
+Work follows a text's length: positions are sums of blocks of sums, and pieces of
+a text are taken from short cuts of it, never by counting from its start.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, materialise, packed
+from .shared import documents, keyed, materialise, with_keys
 
 #: Kinds in the order that ties of a start are listed in.
 KINDS = ("email", "ip", "card", "phone")
@@ -46,6 +49,9 @@ NAMES = ("Anna", "Carlos", "Claire", "David", "Emma", "Hans", "James", "Jean", "
 #: Words that announce personal data, in lower case.
 CUES = r"(?:e-?mail|phone|tel|call|mobile|fax|contact|card|visa|account|iban|konto|ssn|social|address|name|ip|host|user|twitter|from|cuenta|carte)[^a-z]{0,12}$"
 
+#: Words before numbers that are no personal data, in lower case.
+ANTICUES = r"(?:order|invoice|version|release|page|figure|fig|table|chapter|section|isbn|part|serial|batch|ticket|item|model|build|line|no|nr|art|ref|id)[^a-z]{0,12}$"
+
 LABELERS = ("regex", "check", "gazetteer", "context", "boundary")
 ROUNDS = 50
 #: The classifier's least probability for a span that no fixed pattern has.
@@ -66,27 +72,57 @@ def _gate(kind: str, text: Column) -> Column:
     return F.regexp_like(text, F.lit(r"[0-9]\.[0-9]" if kind == "ip" else r"[0-9][\x20.)-]*[0-9]"))
 
 
-def _sum(parts: Column) -> Column:
-    return F.aggregate(parts, F.lit(0), lambda a, p: a + F.length(p))
+#: Elements of an array that are summed together, characters of a text that are cut together.
+BLOCK, CUT = 128, 256
+_SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` has it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def stage(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with more columns, each evaluated once: a generator between two projections keeps
+    them apart, where the optimizer would put a column's expression into the lambdas that use it."""
+    return rows.select("*", F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))).alias("_stage")).select("*", *[F.col("_stage")[k].alias(k) for k in columns]).drop("_stage")
+
+
+def running(values: Column, add, none: int = 0) -> Column:
+    """Running totals of an array of integers, block by block: a block's totals are gathered, then the blocks' totals."""
+    step = lambda acc, x: F.array_append(acc, add(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(none)), x))
+    totals = lambda block: F.aggregate(block, F.array().cast("array<int>"), step)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda k: totals(F.slice(values, k * BLOCK + 1, F.lit(BLOCK))))
+    ends = lambda parts: totals(F.transform(parts, lambda p: F.element_at(p, -1)))
+    before = lambda parts: F.concat(F.array(F.lit(none)), F.slice(ends(parts), F.lit(1), F.size(parts) - 1))
+    return let(blocks, lambda parts: F.flatten(F.zip_with(parts, before(parts), lambda p, at: F.transform(p, lambda x: add(at, x)))))
+
+
+def cuts(text: Column) -> Column:
+    """The text in cuts of CUT characters."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / CUT).cast("int")), lambda k: F.substr(text, k * CUT + 1, F.lit(CUT)))
+
+
+def piece(cut: Column, start: Column, stop: Column) -> Column:
+    """The text from ``start`` to ``stop`` (not included), from its cuts; empty if stop isn't after start."""
+    first = F.floor(start / CUT).cast("int")
+    held = F.transform(F.sequence(first, F.floor((stop - 1) / CUT).cast("int")), lambda k: F.coalesce(F.get(cut, k), F.lit("")))
+    return F.when(stop > start, F.substr(F.array_join(held, ""), start - first * CUT + 1, stop - start)).otherwise("")
 
 
 def found(kind: str, pattern: str, text: Column) -> Column:
     """The pattern's leftmost non-overlapping matches: array of struct(start, rank, end, kind, value)."""
     rank = (*KINDS, *MORE).index(kind)
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    none = F.lit(None).cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
+    none = F.array().cast(_SPAN)
 
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.element_at(state["between"], i))
-        value = F.element_at(state["values"], i)
-        end = start + F.length(value)
-        one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value"))
-        return F.struct(end.alias("at"), state["between"].alias("between"), state["values"].alias("values"), F.concat(state["out"], F.array(one)).alias("out"))
+    def placed(m: Column) -> Column:
+        wide = F.zip_with(m["values"], F.slice(m["between"], F.lit(1), F.size(m["values"])), lambda v, b: F.length(v) + F.length(b))
+        ends = let(wide, lambda w: running(w, lambda a, x: a + x))
+        one = lambda v, e: F.struct((e - F.length(v)).alias("start"), F.lit(rank).alias("rank"), e.alias("end"), F.lit(kind).alias("kind"), v.alias("value"))
+        return F.when(F.size(m["values"]) > 0, F.zip_with(m["values"], ends, one)).otherwise(none)
 
-    first = F.struct(F.lit(0).alias("at"), between.alias("between"), values.alias("values"), F.coalesce(none, F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")).alias("out"))
-    spans = F.when(F.size(values) > 0, F.aggregate(F.sequence(F.lit(1), F.size(values)), first, step, lambda s: s["out"]))
-    return F.coalesce(F.when(_gate(kind, text), spans), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>"))
+    matches = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"), F.split(text, pattern, -1).alias("between"))
+    return F.coalesce(F.when(_gate(kind, text), let(matches, placed)), none)
 
 
 def digits_of(value: Column) -> Column:
@@ -118,54 +154,84 @@ def valid(span: Column) -> Column:
     )
 
 
-def base_spans(text: Column) -> Column:
-    """Base spans, sorted by start, then kind."""
-    return F.array_sort(F.concat(*[F.filter(found(k, p, text), valid) for k, p in PATTERNS.items()]))
+def fixed_matches(text: Column) -> Column:
+    """All matches of the fixed patterns that a check lets pass or that have about the digits of what they look for."""
+    n = lambda s: F.length(digits_of(s["value"]))
+    close = {"card": lambda s: n(s).between(12, 19), "phone": lambda s: n(s).between(7, 17)}
+    return F.array_sort(F.concat(*[F.filter(found(k, p, text), close[k]) if k in close else found(k, p, text) for k, p in PATTERNS.items()]))
 
 
 def _any_of(value: Column, words: tuple[str, ...]) -> Column:
     return F.regexp_like(value, F.lit(r"(?<![A-Za-z])(?:" + "|".join(words) + r")(?![A-Za-z])"))
 
 
-def judged(text: Column, span: Column) -> Column:
-    """A candidate with its votes (1 yes, -1 no, 0 none, in LABELERS' order) and its features."""
-    kind, value = span["kind"], span["value"]
-    before = F.lower(F.substr(text, F.greatest(span["start"] - 29, F.lit(1)), F.least(span["start"], F.lit(30))))
-    after = F.substr(text, span["end"] + 1, F.lit(1))
+def surrounded(cut: Column, span: Column) -> Column:
+    """A span with what is before and after it, and whether it passes the base checks."""
+    fields = [span[f].alias(f) for f in ("start", "rank", "end", "kind", "value")]
+    before, after = F.lower(piece(cut, F.greatest(span["start"] - 30, F.lit(0)), span["start"])), piece(cut, span["end"], span["end"] + 1)
+    return F.struct(*fields, before.alias("before"), after.alias("after"), (span["kind"].isin(*KINDS) & valid(span)).alias("passed"))
+
+
+def voted(span: Column) -> Column:
+    """The labelers' votes: 1 yes, -1 no, 0 none."""
+    kind, value, passed, before = span["kind"], span["value"], span["passed"], span["before"]
     n = F.length(digits_of(value))
-    regex = F.when(kind.isin("email", "national", "iban", "phone"), 1).when(kind == "ip", 1).otherwise(0)
-    check = F.when(kind == "card", 1).when(kind == "iban", F.when(_any_of(F.substr(value, F.lit(1), F.lit(2)), COUNTRIES), 1).otherwise(-1)).when(kind.isin("phone", "tel"), F.when(n.between(9, 15), 1).otherwise(-1)).when(kind == "national", F.when(F.regexp_like(value, F.lit("^(?:000|666|9)|-00-|-0000$")), -1).otherwise(1)).otherwise(0)
+    regex = F.when(passed | kind.isin("national", "iban"), 1).when(kind.isin(*KINDS), -1).otherwise(0)
+    check = F.when(kind == "card", F.when(passed, 1).otherwise(-1)).when(kind == "iban", F.when(_any_of(F.substr(value, F.lit(1), F.lit(2)), COUNTRIES), 1).otherwise(-1)).when(kind.isin("phone", "tel"), F.when(n.between(9, 15), 1).otherwise(-1)).when(kind == "national", F.when(F.regexp_like(value, F.lit("^(?:000|666|9)|-00-|-0000$")), -1).otherwise(1)).otherwise(0)
     gazetteer = F.when(kind == "email", F.when(_any_of(F.regexp_extract(value, r"\.([A-Za-z]+)$", 1), DOMAINS), 1).otherwise(-1)).when(kind == "card", F.when(F.regexp_like(value, F.lit("^[3-6]")), 1).otherwise(-1)).when(kind == "name", F.when(_any_of(value, NAMES), 1).otherwise(-1)).otherwise(0)
-    context = F.when(F.regexp_like(before, F.lit(CUES)), 1).otherwise(0)
-    left, right = F.regexp_extract(before, "(.)$", 1), after
-    close = F.regexp_like(left, F.lit("[a-z0-9_#=/]")) | F.regexp_like(right, F.lit("[A-Za-z0-9_=/]"))
-    boundary = F.when(close, -1).otherwise(1)
+    context = F.when(F.regexp_like(before, F.lit(CUES)), 1).when(F.regexp_like(before, F.lit(ANTICUES)), -1).otherwise(0)
+    near = F.regexp_like(before, F.lit("[a-z0-9_#=/]$")) | F.regexp_like(span["after"], F.lit("[A-Za-z0-9_=/]"))
+    boundary = F.when(near, -1).otherwise(1)
+    return F.struct(span.alias("span"), regex.alias("regex"), check.alias("check"), gazetteer.alias("gazetteer"), context.alias("context"), boundary.alias("boundary"))
+
+
+def told(votes: Column) -> Column:
+    """A candidate with its votes (in LABELERS' order) and its features."""
+    span = votes["span"]
+    n, left, right = F.length(digits_of(span["value"])), F.right(span["before"], F.lit(1)), span["after"]
     side = lambda c: F.when(c == "", "edge").when(F.regexp_like(c, F.lit(r"\s")), "blank").when(F.regexp_like(c, F.lit(r"[\p{L}\p{N}]")), "word").otherwise("mark")
-    length = F.length(value)
+    length = F.length(span["value"])
     shape = F.when(length <= 8, "short").when(length <= 16, "middle").otherwise("long")
     share = F.when(n == 0, "none").when(n * 2 < length, "some").otherwise("most")
+
+    named = (("kind", F.concat(span["kind"], F.when(span["passed"] | ~span["kind"].isin(*KINDS), "").otherwise("?"))), ("left", side(left)), ("right", side(right)), ("length", shape), ("digits", share), ("cue", votes["context"].cast("string")), ("check", votes["check"].cast("string")))
     return F.struct(
-        span["start"].alias("start"), span["rank"].alias("rank"), span["end"].alias("end"), kind.alias("kind"),
-        F.concat_ws(",", *[v.cast("string") for v in (regex, check, gazetteer, context, boundary)]).alias("votes"),
-        F.array(*[F.concat(F.lit(f"{name}="), v) for name, v in (("kind", kind), ("left", side(left)), ("right", side(right)), ("length", shape), ("digits", share), ("cue", F.when(context == 1, "yes").otherwise("no")))]).alias("features"),
+        span["start"].alias("start"), span["rank"].alias("rank"), span["end"].alias("end"), span["kind"].alias("kind"), span["passed"].alias("passed"),
+        F.concat_ws(",", *[votes[name].cast("string") for name in LABELERS]).alias("votes"),
+        F.array(*[F.concat(F.lit(f"{name}="), v) for name, v in named]).alias("features"),
     )
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """What looser patterns find outside base spans, sorted."""
-    loose = F.concat(*[found(k, p, text) for k, p in LOOSE.items()])
-    free = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    return F.array_sort(F.filter(loose, free))
+def replaced(rows: DataFrame, text: Column, cut: Column, spans: Column, by, name: str) -> DataFrame:
+    """``rows`` with ``name``: the text with each span, or run of spans that overlap, replaced by ``by`` of
+    its first span and the run's end.  ``spans`` are sorted by start."""
+    some = F.size(spans) > 0
+    reach, at = F.col("_reach"), F.col("_at")
+    rows = stage(rows, _reach=F.when(some, running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x))))
+    # A span begins a run where it starts at or after the end of all before it.
+    begins = lambda i: F.coalesce(F.get(spans, i)["start"] >= F.get(reach, i - 1), F.lit(True))
+    rows = stage(rows, _at=F.when(some, F.filter(F.sequence(F.lit(0), F.size(spans) - 1), begins)))
+    end = lambda j: F.get(reach, F.coalesce(F.get(at, j + 1), F.size(spans)) - 1)
+    run = lambda i, j: F.struct(F.get(spans, i).alias("span"), F.when(j == 0, 0).otherwise(end(j - 1)).alias("from"), end(j).alias("end"))
+    rows = stage(rows, _runs=F.when(some, F.transform(at, run)))
+    parts = F.transform("_runs", lambda r: F.concat(piece(cut, r["from"], r["span"]["start"]), by(r["span"], r["end"])))
+    whole = F.concat(F.array_join(parts, ""), piece(cut, F.element_at(reach, -1), F.length(text)))
+    return stage(rows, **{name: F.when(some, whole).otherwise(text)}).drop("_reach", "_at", "_runs")
 
 
 def spotted(docs: DataFrame) -> DataFrame:
     """``docs`` with base and more: all judged candidates of each text (a null text has none)."""
-    # The text is bound to a name once, however often expressions below use it.
-    named = docs.withColumn("_text", F.coalesce("text", F.lit("")))
-    named = named.withColumn("_base", base_spans(F.col("_text")))
-    named = named.withColumn("_more", candidates(F.col("_text"), F.col("_base")))
-    judge = lambda spans: F.transform(spans, lambda s: judged(F.col("_text"), s))
-    return named.withColumn("base", judge(F.col("_base"))).withColumn("more", judge(F.col("_more"))).drop("_text", "_base", "_more")
+    rows = stage(docs, _text=F.coalesce("text", F.lit("")))
+    rows = stage(rows, _fixed=fixed_matches(F.col("_text")))
+    rows = stage(rows, _cuts=cuts(F.col("_text")))
+    # Looser patterns look at what is outside the fixed patterns' matches.
+    rows = replaced(rows, F.col("_text"), F.col("_cuts"), F.col("_fixed"), lambda s, end: F.repeat(F.lit("\uffff"), end - s["start"]), "_rest")
+    loose = F.concat("_fixed", *[found(k, p, F.col("_rest")) for k, p in LOOSE.items()])
+    rows = stage(rows, _all=F.array_sort(loose))
+    rows = stage(rows, _around=F.transform("_all", lambda s: surrounded(F.col("_cuts"), s)))
+    rows = stage(rows, _votes=F.transform("_around", voted))
+    rows = stage(rows, _told=F.transform("_votes", told))
+    return rows.select(*docs.columns, F.filter("_told", lambda s: s["passed"]).alias("base"), F.filter("_told", lambda s: ~s["passed"]).alias("more"))
 
 
 @dataclass
@@ -246,25 +312,26 @@ def find_pii(docs: DataFrame) -> DataFrame:
     return spans.select("doc_id", *map(count, KINDS), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(all_spans(classifier)).alias("spans"))
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with each span, or run of overlapping spans, replaced by its first kind in angle brackets."""
-
-    def step(state: Column, s: Column) -> Column:
-        apart = s["start"] >= state["at"]
-        piece = F.concat(F.substr(text, state["at"] + 1, s["start"] - state["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(apart, F.concat(state["out"], piece)).otherwise(state["out"]).alias("out"))
-
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, first, step, rest)).otherwise(text)
+def masked(rows: DataFrame, text: Column, spans: Column) -> DataFrame:
+    """``rows`` with _clean: the text with each span, or run of overlapping spans, replaced by its first kind in angle brackets."""
+    rows = stage(rows, _cuts=F.when(F.size(spans) > 0, cuts(text)))
+    return replaced(rows, text, F.col("_cuts"), spans, lambda s, _: F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")), "_clean").drop("_cuts")
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """``docs``, same columns, with personal data in ``text`` masked; null texts stay null."""
-    spans = spotted(packed(docs).withColumn("text", F.col("_row")["text"]))
-    classifier = train(spans.select("base", "more"))
-    clean = masked(F.col("text"), all_spans(classifier))
-    return spans.select(*[(clean if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns])
+    """``docs``, same columns, with personal data in ``text`` masked; null texts stay null.
+
+    Rows with candidates are few: their spans are written with their keys, so
+    that the patterns run once, and joined back to the rows they belong to.
+    """
+    rows = keyed(docs)
+    judged_rows = spotted(rows.select("_key", F.col("_row")["text"].alias("text"))).select("_key", "base", "more")
+    spans = materialise(judged_rows.where("size(base) > 0 OR size(more) > 0"), "spans")
+    classifier = train(spans)
+    chosen = spans.select("_key", all_spans(classifier).alias("spans")).where("size(spans) > 0")
+    marked = with_keys(rows, materialise(chosen, "chosen"))
+    clean = masked(marked, F.col("_row")["text"], F.col("spans"))
+    return clean.select(*[(F.col("_clean") if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

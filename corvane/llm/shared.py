@@ -122,6 +122,17 @@ def without_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return kept.select(*[F.col("_row")[c].alias(c) for c in rows.schema["_row"].dataType.names])
 
 
+def with_keys(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """All ``rows`` from ``keyed`` with the other columns of ``found`` (_key and more, at most one row a
+    key), null where it has none; only rows that ``found`` may have are joined."""
+    bits = filter_bits(found.count())
+    marked = _with_flag(rows, found, "_key", bits) if bits else packed(rows).withColumn("_flag", F.lit(True))
+    more = [f for f in found.schema.fields if f.name != "_key"]
+    own = [F.col("_row")["_row"].alias("_row"), F.col("_row")["_key"].alias("_key")]
+    clear = marked.where("NOT _flag").select(*own, *[F.lit(None).cast(f.dataType).alias(f.name) for f in more])
+    return clear.unionByName(marked.where("_flag").select(*own).join(found, "_key", "left"))
+
+
 # -- membership filter -----------------------------------------------------------------------
 
 #: Bits of the filter for each key, and the bits that are still broadcast (256 MB).
