@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from .shared import documents, small_batches
 
-#: N-gram lengths; slots of the filters (a power of two); slots that an n-gram has.
-LENGTHS, SLOTS, HASHES = (3, 4), 1 << 20, 3
-#: Bounds on what is learned from: expected rows and n-grams of each language.
-SAMPLE, GRAMS = 2_000, 50_000
+#: N-gram lengths; slots that an n-gram has; slots of the filters for each n-gram of the language with most.
+LENGTHS, HASHES, ROOM = (3, 4), 3, 16
+#: Bound on what is learned from: expected rows of each language.
+SAMPLE = 2_000
 #: A language contains an n-gram seen this often in it, at this share of the rate of the language that has it most.
 SEEN, SHARE = 5, 0.3
 #: Characters of a text that are looked up at a time.
@@ -61,22 +61,23 @@ def grams(text: str | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 @dataclass
 class Filters:
     languages: list[str]
-    slots: np.ndarray  # (SLOTS, bytes for the languages)
+    slots: np.ndarray  # (slots, a power of two; bytes for the languages)
     wrong: np.ndarray  # each language's rate of false positives
 
     @classmethod
     def build(cls, members: dict[str, np.ndarray]) -> Filters:
         languages = sorted(members)
-        slots = np.zeros((SLOTS, -(-len(languages) // 8)), np.uint8)
+        size = 1 << max(16, (ROOM * max(map(len, members.values()), default=0)).bit_length())
+        slots = np.zeros((size, -(-len(languages) // 8)), np.uint8)
         for k, name in enumerate(languages):
-            for at in cls._places(members[name]):
+            for at in cls._places(members[name], size):
                 slots[at, k // 8] |= np.uint8(1 << (k % 8))
         fill = np.unpackbits(slots, axis=1, bitorder="little")[:, : len(languages)].mean(0)
         return cls(languages, slots, fill**HASHES)
 
     @staticmethod
-    def _places(h: np.ndarray) -> Iterator[np.ndarray]:
-        mask = np.uint64(SLOTS - 1)
+    def _places(h: np.ndarray, size: int) -> Iterator[np.ndarray]:
+        mask = np.uint64(size - 1)
         second = (h >> np.uint64(40)) | np.uint64(1)
         for i in range(HASHES):
             yield ((h + np.uint64(i) * second) & mask).astype(np.int64)
@@ -87,7 +88,7 @@ class Filters:
         for h, dense in grams(text):
             h = h[dense]
             total += len(h)
-            masks = functools.reduce(np.bitwise_and, (self.slots[at] for at in self._places(h)))
+            masks = functools.reduce(np.bitwise_and, (self.slots[at] for at in self._places(h, len(self.slots))))
             if masks.shape[1] == 1:
                 by_mask = np.bincount(masks[:, 0], minlength=256)
                 bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
@@ -113,7 +114,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Filters:
     """Filters from the text and lang of rows that may be learned from.
 
     Held out: crc32(doc_id as text) mod 4 = 2.  About ``sample`` rows of a
-    language at most are read, GRAMS n-grams of each kept.
+    language at most are read.  Every language of a row that may be learned from
+    is one that texts can get, be its filter empty.
     """
     may = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     may = may.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).select("doc_id", "lang", "text")
@@ -132,9 +134,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Filters:
     totals = Window.partitionBy("lang")
     rated = counted.withColumn("rate", F.col("n") / F.sum("n").over(totals)).where(F.col("n") >= SEEN)
     shared = rated.withColumn("most", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= SHARE * F.col("most"))
-    kept = shared.withColumn("rank", F.row_number().over(totals.orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= GRAMS)
-    rows = kept.select("lang", "gram").toPandas()
-    return Filters.build({lang: part["gram"].to_numpy(np.int64).view(np.uint64) for lang, part in rows.groupby("lang")})
+    rows = shared.select("lang", "gram").toPandas()  # of the sampled rows' n-grams, those seen SEEN times
+    members = {r["lang"]: np.empty(0, np.uint64) for r in sizes.collect()}
+    return Filters.build(members | {lang: part["gram"].to_numpy(np.int64).view(np.uint64) for lang, part in rows.groupby("lang")})
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:

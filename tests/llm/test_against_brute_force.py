@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from corvane.llm import bits, exact, graph, language, near, packing, pieces, pii, secrets, toxicity, winnow
 from corvane.llm.queries import QUERIES, SQL
+from corvane.llm.shared import settings
 from corvane.llm.words import WordEncoder, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -159,6 +160,8 @@ def test_automata_learn_formats():
     formats = secrets.Formats({n: secrets.Automaton(t) for n, t in seen.items()}, ordinary)
     for name, values in unseen.items():
         assert sum(formats.format_of(v) == name for v in values) >= 0.9 * len(values)
+    inside = [(f'"token": "{v}"', name) for name, values in unseen.items() for v in values]  # where a fixed pattern matches too
+    assert sum(name in {k for _, _, k in formats.spans(t)[1]} for t, name in inside) >= 0.9 * len(inside)
     assert [formats.format_of(w) for w in ("internationalization", "thehouseandthelines", "4111111111111111", "2024.01.01-00.00.00")] == [None] * 4
 
 
@@ -176,10 +179,36 @@ def test_bloom_filters_hold_what_was_put_in():
     members = {name: rng.integers(0, 2**63, 5_000, dtype=np.uint64) for name in "abcdefghijk"}  # more than a byte of languages
     filters = language.Filters.build(members)
     for k, name in enumerate(filters.languages):
-        masks = np.bitwise_and.reduce([filters.slots[at] for at in filters._places(members[name])])
+        masks = np.bitwise_and.reduce([filters.slots[at] for at in filters._places(members[name], len(filters.slots))])
         assert (masks[:, k // 8] >> (k % 8) & 1).all()
 
 
+def test_filters_count_as_sets_do(texts):
+    """Corrected counts against exact sets."""
+    grams = [np.concatenate([h[dense] for h, dense in language.grams(t)]) for t in list(texts.values())[:80]]
+    members = {name: np.unique(np.concatenate(grams[k::4])) for k, name in enumerate("abcd")}
+    filters = language.Filters.build(members)
+    for text, own in zip(list(texts.values())[:80], grams, strict=True):
+        exact = np.array([np.isin(own, members[name]).sum() for name in filters.languages])
+        counts, total = filters.counts(text)
+        assert total == len(own) and (np.abs(counts - exact) <= 3 + 0.03 * total).all()
+        if len(own) > 50:
+            assert exact[counts.argmax()] >= exact.max() * 0.97
+
+
+def test_every_learned_language_can_be_given(spark):
+    docs = spark.createDataFrame([(0, "hello there", "en"), (1, "bonjour monde", "fr"), (3, "guten tag", "de"), (4, "12 3", "en"), (5, None, "fr")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs, language.learn(docs)).collect()}
+    assert got == {0: ("de", 0.0), 1: ("de", 0.0), 3: ("de", 0.0), 4: ("und", 0.0), 5: ("und", 0.0)}  # no n-gram is seen often enough: the first by name
+
+
+def test_a_file_is_a_task(spark, texts, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    with settings(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        manifest = bits.write_packed(docs, "file://" + str(tmp_path / "packed"), tokenizer_path(), 49_408)
+    assert bits.read_packed(manifest).rdd.getNumPartitions() == manifest.count() > 1
+
+
 def test_tokens(spark, texts, tokenizer):
     got = frame(QUERIES["op5_token_output"](spark, SF))
     start = 0
