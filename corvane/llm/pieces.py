@@ -513,7 +513,9 @@ def encode_pieces(docs: DataFrame, model: str | None = None, unigram: bool = Fal
     folder = scratch(docs.sparkSession, "spelling")
     made = spelling(units_of(given, model), model, unigram)
     ids = F.transform("parts", lambda p: p.bitwiseAND(ID))
-    made.select(F.xxhash64("key").alias("hash"), "key", ids.alias("ids")).repartitionByRange("hash").sortWithinPartitions("hash").write.parquet(folder)
+    # Written before it is sorted, since dealing by range looks at its input twice.
+    made = materialise(made.select(F.xxhash64("key").alias("hash"), "key", ids.alias("ids")), "units")
+    made.repartitionByRange("hash").sortWithinPartitions("hash").write.parquet(folder)
     spelled = docs.sparkSession.read.parquet(folder)
     if spelled.count() > HELD or spelled.groupBy("hash").count().where("count > 1").take(1):  # too many to hold, or not told apart by hash
         return joined(given, spelled, model)
