@@ -60,7 +60,7 @@ class Generations:
         with self.lock:
             generation = max(self.known, default=0) + 1
             self.known[generation] = {"label": label, "state": MOUNTED, "dim": index.dim, "metric": index.metric}
-        vectors.write.parquet(self.path(generation))
+        vectors.write.mode("overwrite").parquet(self.path(generation))  # what a run left that ended before it was known
         with self.lock:
             self._save()
         return generation

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from .search import checked, exact_hits, ranked
 
 #: Bytes of graph and vectors that a search broadcasts; a larger index has to be searched in shards.
 GRAPH_BYTES = 1 << 30
+#: Nodes that a beam leaves at a time.
+FRONT = 4
 
 
 def hnsw_create(dim: int, m: int, ef_construction: int = 64, metric: str = "l2") -> Index:
@@ -97,31 +100,32 @@ class Beam:
         return ((v - q) ** 2).sum(1) if self.metric == "l2" else -(v @ q)
 
     def search(self, q: np.ndarray, k: int, ef: int) -> list[tuple[int, float]]:
-        """The first k of the ef best that the beam met, from the first node on."""
+        """The k best of what the beam met, from the smallest id on.
+
+        The FRONT nearest nodes that wait are left together, so that their
+        neighbours' distances are one product.  Everything is ordered by distance,
+        then id.
+        """
         if not len(self.ids):
             return []
         ef = min(max(k, ef), len(self.ids))
-        first = float(self.cost(q, [0])[0])
-        waiting, top, seen = [(first, 0)], [(first, 0)], {0}
+        entry = lambda cost, n: (float(cost), int(self.ids[n]), n)
+        waiting, seen = [entry(self.cost(q, [0])[0], 0)], {0}
+        best = [(-waiting[0][0], -waiting[0][1])]  # the worst of the ef best on top
         while waiting:
-            at = min(range(len(waiting)), key=lambda i: waiting[i][0])  # the lowest place of equals
-            cost, node = waiting[at]
-            waiting[at] = waiting[-1]
-            waiting.pop()
-            if len(top) >= ef and cost > top[-1][0]:
+            front: list[int] = []
+            while waiting and len(front) < FRONT and (len(best) < ef or waiting[0][:2] <= (-best[0][0], -best[0][1])):
+                front.append(heapq.heappop(waiting)[2])
+            if not front:
                 break
-            new = [n for n in self.next[node] if n not in seen]
+            new = sorted({n for f in front for n in self.next[f]} - seen)
             seen.update(new)
-            for n, c in zip(new, self.cost(q, new) if new else [], strict=True):
-                if len(top) < ef or c < top[-1][0]:
-                    waiting.append((float(c), n))
-                    i = len(top)
-                    while i and top[i - 1][0] > c:
-                        i -= 1
-                    top.insert(i, (float(c), n))
-                    del top[ef:]
+            for found in map(entry, self.cost(q, new) if new else [], new):
+                if len(best) < ef or found[:2] < (-best[0][0], -best[0][1]):
+                    (heapq.heappush if len(best) < ef else heapq.heapreplace)(best, (-found[0], -found[1]))
+                    heapq.heappush(waiting, found)
         sign = 1 if self.metric == "l2" else -1
-        return [(int(self.ids[n]), sign * c) for c, n in top[:k]]
+        return [(v, sign * c) for c, v in sorted((-c, -v) for c, v in best)[:k]]
 
 
 def hnsw_search(index: Index, queries: DataFrame, plan: SearchPlan) -> DataFrame:

@@ -166,25 +166,39 @@ def lookup(queries: np.ndarray, codebooks: np.ndarray, metric: str) -> np.ndarra
     return ((parts - codebooks[None]) ** 2).sum(3) if metric == "l2" else (parts * codebooks[None]).sum(3)
 
 
+#: Bytes of lookup tables that a task makes at once.
+TABLE_BYTES = 32 << 20
+
+
+def query_steps(n: int, codebooks: np.ndarray) -> Iterator[slice]:
+    """Queries whose lookup tables are within TABLE_BYTES."""
+    size = max(1, TABLE_BYTES // (8 * codebooks.shape[0] * codebooks.shape[1]))
+    return (slice(i, i + size) for i in range(0, n, size))
+
+
 def pq_search(index: Index, queries: DataFrame, plan: SearchPlan) -> DataFrame:
     """All codes, by table lookups for each query.  Ties go to the smaller vec_id."""
     books, spark, metric, k = index.expect("pq").params["codebooks"], queries.sparkSession, index.metric, plan.k
 
     def search(ids: np.ndarray, rows: np.ndarray) -> DataFrame:
-        shared = spark.sparkContext.broadcast((ids, rows, lookup(rows, books, metric)))
+        shared = spark.sparkContext.broadcast((ids, rows))
 
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, rows, table = shared.value
-            found = TopK(ids, rows, k, metric)
+            ids, rows = shared.value
+            found, parts = TopK(ids, rows, k, metric), list(query_steps(len(ids), books))
+            table = lookup(rows, books, metric) if len(parts) == 1 else None  # once, if all queries' tables fit
             for batch in batches:
                 for at in range(0, len(batch), 4096):
                     piece = batch[at : at + 4096]
                     codes, keys = np.stack(piece["codes"].to_numpy()).astype(np.int64), piece["vec_id"].to_numpy(np.int64)
-                    for q in range(len(ids)):
-                        d = table[q][np.arange(codes.shape[1]), codes].sum(1)
-                        take = np.argsort(found.sign * d, kind="stable")[:k] if len(d) > k else np.arange(len(d))
-                        close = np.flatnonzero(found.sign * d <= (found.sign * d[take]).max())
-                        found.take(np.full(len(close), q), keys[close], d[close])
+                    near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                    for some in parts:
+                        for q, own in enumerate(table if table is not None else lookup(rows[some], books, metric), some.start):
+                            d = own[np.arange(codes.shape[1]), codes].sum(1)
+                            take = np.argsort(found.sign * d, kind="stable")[:k] if len(d) > k else np.arange(len(d))
+                            close = np.flatnonzero(found.sign * d <= (found.sign * d[take]).max())
+                            near.append((np.full(len(close), q), keys[close], d[close]))
+                    found.take(*(np.concatenate(x) for x in zip(*near, strict=True)))
             yield found.frame()
 
         return index.tables["codes"].select("vec_id", "codes").mapInPandas(part, HITS)
@@ -242,21 +256,28 @@ def ivfpq_search(index: Index, queries: DataFrame, plan: SearchPlan, compat: boo
 
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, rows, wanted = shared.value
-            out = []
+            q_, v_, d_, r_ = (np.empty(0, kind) for kind in (np.int64, np.int64, float, np.int64))
             for batch in batches:
+                out = [(q_, v_, d_, r_)]
                 for list_id, piece in batch.groupby("list_id"):
                     codes, keys = np.stack(piece["codes"].to_numpy()).astype(np.int64), piece["vec_id"].to_numpy(np.int64)
                     which, rank = np.nonzero(wanted == list_id)
-                    if metric == "l2" or compat:
-                        tables, added = lookup(rows[which] - centroids[list_id], books, metric), np.zeros(len(which))
-                    else:
-                        tables, added = lookup(rows[which], books, metric), rows[which] @ centroids[list_id]
-                    for q, r, table, more in zip(which, rank, tables, added, strict=True):
-                        d = table[np.arange(codes.shape[1]), codes].sum(1) + more
-                        kept = best_of(d, keys, k, metric)
-                        out.append(pd.DataFrame({"qid": ids[q], "vec_id": keys[kept], "distance": d[kept], "visit": r}))
-            if out:
-                yield pd.concat(out)
+                    for some in query_steps(len(which), books):
+                        asked = rows[which[some]]
+                        if metric == "l2" or compat:
+                            tables, added = lookup(asked - centroids[list_id], books, metric), np.zeros(len(asked))
+                        else:
+                            tables, added = lookup(asked, books, metric), asked @ centroids[list_id]
+                        for q, r, table, more in zip(which[some], rank[some], tables, added, strict=True):
+                            d = table[np.arange(codes.shape[1]), codes].sum(1) + more
+                            kept = best_of(d, keys, k, metric)
+                            out.append((np.full(len(kept), q), keys[kept], d[kept], np.full(len(kept), r)))
+                # What a task holds is what it will return: each query's k best so far.
+                q_, v_, d_, r_ = (np.concatenate(x) for x in zip(*out, strict=True))
+                order = np.lexsort((v_, r_, d_ if metric == "l2" else -d_, q_))
+                order = order[np.arange(len(order)) - np.searchsorted(q_[order], q_[order], side="left") < k]
+                q_, v_, d_, r_ = q_[order], v_[order], d_[order], r_[order]
+            yield pd.DataFrame({"qid": ids[q_], "vec_id": v_, "distance": d_, "visit": r_})
 
         used = index.tables["lists"].where(F.col("list_id").isin(np.unique(wanted).tolist())) if wanted.size <= 10_000 else index.tables["lists"]
         return used.select("list_id", "vec_id", "codes").mapInPandas(part, _PROBED)

@@ -16,6 +16,8 @@ from ..plans.search import Index, InvalidArgument, SearchPlan
 HITS = "qid long, vec_id long, distance double"
 #: Bytes of queries that a job broadcasts; more go in blocks, a job each.
 BLOCK_BYTES = 64 << 20
+#: Queries times vectors that a task compares at once: a matrix of 32 MB.
+CELLS = 4 << 20
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -38,6 +40,12 @@ def best(qi: np.ndarray, distance: np.ndarray, tie: np.ndarray, k: int, sign: fl
     return order[rank < k]
 
 
+def steps(which: np.ndarray, rows: int) -> Iterator[np.ndarray]:
+    """``which`` in parts that make CELLS with so many rows."""
+    size = max(1, CELLS // max(1, rows))
+    return (which[i : i + size] for i in range(0, len(which), size))
+
+
 class TopK:
     """The k best of each query so far; its size is that of its result."""
 
@@ -59,6 +67,12 @@ class TopK:
             return
         if self.metric == "cosine":
             rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+        found = [self._near(ids, rows, part, earlier) for part in steps(which, len(ids))]
+        qi, vi = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.take(qi, ids[vi], np.concatenate([self.exact(q, rows[v]) for q, v in found]))
+
+    def _near(self, ids: np.ndarray, rows: np.ndarray, which: np.ndarray, earlier: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and positions of vectors that may be among their best."""
         product = self.queries[which] @ rows.T
         # A matrix product finds who may be among the best; who is, the direct sums say.
         rough = self.norms[which][:, None] + (rows**2).sum(1) - 2 * product if self.metric == "l2" else -product
@@ -70,7 +84,7 @@ class TopK:
         else:
             near = np.ones(rough.shape, bool)
         qi, vi = np.nonzero(near & np.isfinite(rough))
-        self.take(which[qi], ids[vi], self.exact(which[qi], rows[vi]))
+        return which[qi], vi
 
     def take(self, qi: np.ndarray, ids: np.ndarray, distance: np.ndarray) -> None:
         q, v, d = np.concatenate([self.q, qi]), np.concatenate([self.v, ids]), np.concatenate([self.d, distance])
@@ -165,12 +179,14 @@ def radius_search(vectors: DataFrame, queries: DataFrame, radius: float, metric:
                 for at in range(0, len(batch), 4096):
                     piece = batch[at : at + 4096]
                     v = matrix(piece["embedding"])
-                    product = top.queries @ v.T
-                    rough = top.norms[:, None] + (v**2).sum(1) - 2 * product if metric == "l2" else -product
-                    qi, vi = np.nonzero(rough < top.sign * radius + 1e-9)
-                    d = top.exact(qi, v[vi])
-                    in_it = top.sign * d < top.sign * radius
-                    yield pd.DataFrame({"qid": top.qids[qi[in_it]], "vec_id": piece["vec_id"].to_numpy(np.int64)[vi[in_it]], "distance": d[in_it]})
+                    for which in steps(np.arange(len(top.qids)), len(v)):
+                        product = top.queries[which] @ v.T
+                        rough = top.norms[which][:, None] + (v**2).sum(1) - 2 * product if metric == "l2" else -product
+                        qi, vi = np.nonzero(rough < top.sign * radius + 1e-9)
+                        qi = which[qi]
+                        d = top.exact(qi, v[vi])
+                        in_it = top.sign * d < top.sign * radius
+                        yield pd.DataFrame({"qid": top.qids[qi[in_it]], "vec_id": piece["vec_id"].to_numpy(np.int64)[vi[in_it]], "distance": d[in_it]})
 
         return vectors.select("vec_id", "embedding").mapInPandas(part, HITS)
 

@@ -5,28 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..generations import Generations
+from ..generations import MOUNTED, Generations
 from ..operators.ivf import assign, trained
 from ..operators.search import flat_add, flat_create
-from ..plans.search import Index
+from ..plans.search import Index, NotReady
 
 
 def publish_generations(stream: DataFrame, generations: Generations, dim: int, metric: str, checkpoint: str, label: str = "batch", **trigger) -> StreamingQuery:
     """Each micro-batch of (vec_id, embedding) makes and activates a generation of all vectors so far.
 
-    A batch that runs again after a failure finds its own label and does nothing.
+    A batch that runs again after a failure finds its own label: a generation that
+    was made but not activated is activated, else nothing is left to do.
     """
 
     def publish(batch: DataFrame, number: int) -> None:
         name = f"{label}-{number}"
-        if batch.isEmpty() or any(v["label"] == name for v in generations.known.values()):
+        if batch.isEmpty():
+            return
+        made = [g for g, v in generations.known.items() if v["label"] == name]
+        if made:
+            # Made by a run that ended before it was activated: it is the newest, and only mounted.
+            if made[-1] == max(generations.known) and generations.known[made[-1]]["state"] == MOUNTED:
+                generations.activate(made[-1])
             return
         index = flat_create(dim, metric)
         try:
-            before = batch.sparkSession.read.parquet(generations.path(generations.active()))
-            index = flat_add(index, before)
-        except RuntimeError:
-            pass  # the first one
+            active = generations.active()
+        except NotReady:  # the first one
+            pass
+        else:
+            index = flat_add(index, batch.sparkSession.read.parquet(generations.path(active)))
         generations.activate(generations.create(flat_add(index, batch), name))
 
     return stream.select("vec_id", "embedding").writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -81,7 +81,7 @@ traces:
     space_id: s.a
     steps: [a.start, a.end]
     confidence: 0.5
-    metadata: {kind: "staged:canary #1", n: 0.75}
+    metadata: {kind: "phase:two #7", n: 0.75}
 """
 
 
@@ -92,7 +92,7 @@ def test_parse_and_write():
     manifest = spec.manifest()
     assert '"metadata": {"score": 7,"flags": [true,false,"audit"],"policy": {"gates": {"alpha": true,"beta": false}}}' in manifest
     assert '"allowed": ["l2","ip"]' in manifest and '"equals": 8' in manifest and '"width": 0.750000000000' in manifest
-    assert '{"kind": "staged:canary #1","n": 0.75}' in manifest
+    assert '{"kind": "phase:two #7","n": 0.75}' in manifest
     assert json.loads(manifest)["mints"][2]["mint_id"] == "a.end"
     assert [real(x) for x in (0, 1.5, 10.25, 0.05)] == ["0.00000000000", "1.50000000000", "10.2500000000", "0.500000000000E-01"]
     dot = spec.dot()
@@ -176,8 +176,8 @@ def test_generations(spark, tmp_path):
     flat = lambda rows: search.flat_add(search.flat_create(2), table(spark, rows))
     with pytest.raises(NotReady):
         g.pin_active()
-    a = g.create(flat([(0, 0), (10, 10)]), "behavior-a")
-    b = g.create(flat([(100, 100), (2, 2)]), "behavior-b")
+    a = g.create(flat([(0, 0), (10, 10)]), "early")
+    b = g.create(flat([(100, 100), (2, 2)]), "late")
     q = queries(spark, [(1.9, 2.1)])
     g.activate(a)
     pin_a = g.pin_active()
@@ -198,7 +198,7 @@ def test_generations(spark, tmp_path):
     assert not files.exists(spark, g.path(b))
     with pytest.raises(InvalidArgument):
         g.unpin(pin_b)
-    assert Generations(spark, g.root).active() == a and g.label(a) == "behavior-a" and g.table().count() == 1
+    assert Generations(spark, g.root).active() == a and g.label(a) == "early" and g.table().count() == 1
     with pytest.raises(InvalidArgument):
         g.create(flat([(0, 0)]), "x" * 129)
 
