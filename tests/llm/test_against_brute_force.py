@@ -88,6 +88,7 @@ def test_near_duplicates_at_the_threshold(spark):
 
 def test_hubs_are_split(spark, monkeypatch):
     monkeypatch.setattr(graph, "HUB", 5)
+    monkeypatch.setattr(graph, "FEW", 0)
     edges = [(0, i) for i in range(1, 60)] + [(i, 100) for i in range(70, 99)] + [(59, 98)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == dict.fromkeys([*range(60), *range(70, 99), 100], 0)
