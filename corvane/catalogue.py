@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import vector as V
+from .generations import Generations
 from .operators import governance, hnsw, ivf, kmeans, search
 from .plans.search import SearchPlan
+from .sources import files
 
-K, LISTS, PROBES, PARTS, CODES, LINKS, DIM = 10, 8, 3, 8, 16, 8, 64
+K, LISTS, PARTS, CODES, LINKS, DIM = 10, 8, 8, 64, 8, 64
+#: Probed lists, and candidates by codes that the stored vectors put in order: recall of 0.9 or more on vectors
+#: that hardly cluster (see the README).
+PROBES, SHORTLIST = 7, 250
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -234,14 +239,6 @@ QUERIES["ivf_ip_topk"], SQL["ivf_ip_topk"] = _ivf_query("ip", PROBES), _ivf("ip"
 QUERIES["ivf_full_probe_topk"], SQL["ivf_full_probe_topk"] = _ivf_query("l2", LISTS), SQL["flat_l2_topk"]
 
 
-@query("recall_at_k", f"WITH f AS ({SQL['flat_l2_topk']}), i AS ({SQL['ivf_topk']}) SELECT f.qid, count(i.vec_id) / {K}.0::DOUBLE AS recall FROM f LEFT JOIN i ON f.qid = i.qid AND f.vec_id = i.vec_id GROUP BY f.qid")
-def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of the exact neighbours the probed lists give."""
-    exact, probed = QUERIES["flat_l2_topk"](spark, sf_dir), QUERIES["ivf_topk"](spark, sf_dir)
-    found = probed.select("qid", "vec_id", F.lit(1).alias("hit"))
-    return exact.join(found, ["qid", "vec_id"], "left").groupBy("qid").agg((F.count("hit") / F.lit(float(K))).alias("recall"))
-
-
 @query("label_majority_vote", f"WITH f AS ({SQL['flat_l2_topk']}), n AS (SELECT qid, label, count(*) AS votes FROM f JOIN embeddings USING (vec_id) GROUP BY ALL) SELECT qid, arg_min(label, {{'a': -votes, 'b': label}}) AS label FROM n GROUP BY qid")
 def label_majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The commonest label of each query's neighbours, the smaller of equals."""
@@ -285,9 +282,20 @@ def pq_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("vec_id", F.posexplode(V.double(F.col("embedding"))).alias("pos", "value")).withColumn("value", F.round("value", 5))
 
 
-@query("pq_topk", _WITH_CODES + _top(f"SELECT qid, vec_id, sum({_each('(q[d.part * ' + str(_WIDTH) + ' + i] - c[i]) * (q[d.part * ' + str(_WIDTH) + ' + i] - c[i])', 'q', 'c', _WIDTH)}) AS d FROM q, codes d JOIN {_BOOKS} k ON d.part = k.part AND d.list_id = k.list_id GROUP BY qid, vec_id", order="round(d, 9) ASC"))
+def _rescored(hits: str) -> str:
+    """SQL of the k best of a short list by the vectors themselves."""
+    return f"s AS MATERIALIZED ({hits}) " + _top(f"SELECT s.qid, s.vec_id, {_l2('q.q', 'v.e')} AS d FROM s JOIN q ON q.qid = s.qid JOIN v ON v.vec_id = s.vec_id")
+
+
+_BY_CODES = _top(f"SELECT qid, vec_id, sum({_each('(q[d.part * ' + str(_WIDTH) + ' + i] - c[i]) * (q[d.part * ' + str(_WIDTH) + ' + i] - c[i])', 'q', 'c', _WIDTH)}) AS d FROM q, codes d JOIN {_BOOKS} k ON d.part = k.part AND d.list_id = k.list_id GROUP BY qid, vec_id", k=SHORTLIST, order="round(d, 9) ASC")
+
+
+@query("pq_topk", f"{_WITH_CODES.rstrip()}, {_rescored(_BY_CODES)}")
 def pq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(ivf.pq_search(_pq(spark, sf_dir), queries_of(vectors(spark, sf_dir)), SearchPlan(K)))
+    """The nearest by codes, put in order by the stored vectors."""
+    v = vectors(spark, sf_dir)
+    q = queries_of(v)
+    return shown(search.rescored(ivf.pq_search(_pq(spark, sf_dir), q, SearchPlan(SHORTLIST)), v, q, K))
 
 
 _WITH_RESIDUALS = (
@@ -311,13 +319,29 @@ def ivfpq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PQ_L2 = _each(f"(p.q[d.part * {_WIDTH} + i] - k.c[d.part * {_WIDTH} + i] - b.c[i]) * (p.q[d.part * {_WIDTH} + i] - k.c[d.part * {_WIDTH} + i] - b.c[i])", "", "", _WIDTH)
 
 
-@query(
-    "ivfpq_topk",
-    _WITH_RESIDUALS.rstrip() + f", {_PROBED.format(cost=_l2('q', 'k.c'), last=_LAST, n=PROBES)} "
-    + _top(f"SELECT p.qid, d.vec_id, p.r, sum({_PQ_L2}) AS d FROM p JOIN {_LAST} k ON k.list_id = p.list_id JOIN a ON a.list_id = p.list_id JOIN codes d ON d.vec_id = a.vec_id JOIN {_BOOKS} b ON b.part = d.part AND b.list_id = d.list_id GROUP BY p.qid, d.vec_id, p.r", order="round(d, 9) ASC", tie="r, vec_id"),
-)
+_BY_RESIDUALS = _top(f"SELECT p.qid, d.vec_id, p.r, sum({_PQ_L2}) AS d FROM p JOIN {_LAST} k ON k.list_id = p.list_id JOIN a ON a.list_id = p.list_id JOIN codes d ON d.vec_id = a.vec_id JOIN {_BOOKS} b ON b.part = d.part AND b.list_id = d.list_id GROUP BY p.qid, d.vec_id, p.r", k=SHORTLIST, order="round(d, 9) ASC", tie="r, vec_id")
+
+
+@query("ivfpq_topk", f"{_WITH_RESIDUALS.rstrip()}, {_PROBED.format(cost=_l2('q', 'k.c'), last=_LAST, n=PROBES)}, {_rescored(_BY_RESIDUALS)}")
 def ivfpq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(ivf.ivfpq_search(_ivfpq(spark, sf_dir), queries_of(vectors(spark, sf_dir)), SearchPlan(K, PROBES)))
+    """The nearest by codes in the probed lists, put in order by the stored vectors."""
+    v = vectors(spark, sf_dir)
+    q = queries_of(v)
+    return shown(search.rescored(ivf.ivfpq_search(_ivfpq(spark, sf_dir), q, SearchPlan(SHORTLIST, PROBES)), v, q, K))
+
+
+def _recall(kind: str, exact: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """How many of the exact neighbours the index gives."""
+        found = QUERIES[kind](spark, sf_dir).select("qid", "vec_id", F.lit(1).alias("hit"))
+        return QUERIES[exact](spark, sf_dir).join(found, ["qid", "vec_id"], "left").groupBy("qid").agg((F.count("hit") / F.lit(float(K))).alias("recall"))
+
+    return run
+
+
+for _name, _kind, _exact in (("recall_at_k", "ivf_topk", "flat_l2_topk"), ("ivf_ip_recall", "ivf_ip_topk", "flat_ip_topk"), ("pq_recall", "pq_topk", "flat_l2_topk"), ("ivfpq_recall", "ivfpq_topk", "flat_l2_topk")):
+    QUERIES[_name] = _recall(_kind, _exact)
+    SQL[_name] = f"WITH f AS ({SQL[_exact]}), i AS ({SQL[_kind]}) SELECT f.qid, count(i.vec_id) / {K}.0::DOUBLE AS recall FROM f LEFT JOIN i ON f.qid = i.qid AND f.vec_id = i.vec_id GROUP BY f.qid"
 
 
 # -- neighbour graphs ---------------------------------------------------------------------------------
@@ -328,11 +352,11 @@ def hnsw_forward_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(hnsw.forward_edges(vectors(spark, sf_dir), LINKS))
 
 
-@query("knn_graph", f"WITH {_V} " + _top(f"SELECT qid, vec_id, {_l2('q', 'e')} AS d FROM q JOIN v ON qid != vec_id", k=LINKS))
+@query("knn_graph", f"WITH {_V} " + _top(f"SELECT a.vec_id AS qid, b.vec_id, {_l2('a.e', 'b.e')} AS d FROM v a JOIN v b ON a.vec_id != b.vec_id", k=LINKS))
 def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each query's nearest others."""
+    """Each vector's nearest others."""
     v = vectors(spark, sf_dir)
-    hits = search.exact_hits(v, queries_of(v), LINKS + 1, "l2").where("qid != vec_id")
+    hits = search.exact_hits(v, v.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), LINKS + 1, "l2").where("qid != vec_id")
     return shown(search.ranked(hits, LINKS, "l2"))
 
 
@@ -341,12 +365,18 @@ def _graph(spark: SparkSession, sf_dir: str):
     return hnsw.hnsw_add(hnsw.hnsw_create(DIM, LINKS, 64), v)
 
 
-@query("hnsw_graph")
+_EDGES = f"WITH {_V}, f AS MATERIALIZED (SELECT a AS node, b AS neighbor, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS slot FROM (SELECT a.vec_id AS a, b.vec_id AS b, {_l2('a.e', 'b.e')} AS d FROM v a JOIN v b ON b.vec_id < a.vec_id) QUALIFY slot <= {LINKS})"
+_OFFERS = "o AS (SELECT node, 0 AS late, slot AS turn, neighbor, d FROM f UNION ALL SELECT neighbor, 1, node, node, d FROM f), l AS (SELECT node, list([{'n': neighbor, 'd': d}] ORDER BY late, turn) AS offers FROM o GROUP BY node)"
+_WORST = "list_position(list_transform(s, lambda e: e.d), list_max(list_transform(s, lambda e: e.d)))"
+_SLOTS = f"list_reduce(offers, lambda s, x: CASE WHEN len(s) < {LINKS} THEN list_concat(s, x) WHEN list_max(list_transform(s, lambda e: e.d)) > x[1].d THEN list_concat(list_concat(s[1 : {_WORST} - 1], x), s[{_WORST} + 1 :]) ELSE s END)"
+
+
+@query("hnsw_graph", f"{_EDGES}, {_OFFERS}, g AS (SELECT node, {_SLOTS} AS s FROM l) SELECT node, CAST(i - 1 AS INT) AS slot, s[i].n AS neighbor FROM g, range(1, {LINKS + 1}) r(i) WHERE i <= len(s)")
 def hnsw_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir).tables["graph"].select("node", F.posexplode("neighbors").alias("slot", "neighbor"))
 
 
-@query("hnsw_degree")
+@query("hnsw_degree", f"{_EDGES}, {_OFFERS} SELECT node, CAST(least(len(offers), {LINKS}) AS INT) AS degree FROM l")
 def hnsw_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir).tables["graph"].select("node", F.size("neighbors").alias("degree"))
 
@@ -381,7 +411,10 @@ def bow_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.select("doc_id", F.posexplode(V.double(F.col("e"))).alias("pos", "value")).where("value != 0").withColumn("value", F.round("value", 5))
 
 
-@query("doc_topk")
+_DENSE = f"{_BOW}, v AS MATERIALIZED (SELECT d.doc_id AS vec_id, list_transform(range({DIM}), lambda i: coalesce(map_extract(m, i)[1], 0)) AS e FROM documents d LEFT JOIN (SELECT doc_id, map_from_entries(list((CAST(slot AS BIGINT), x::FLOAT::DOUBLE))) AS m FROM b GROUP BY doc_id) USING (doc_id)), q AS (SELECT vec_id AS qid, e AS q FROM v WHERE vec_id % 50 = 0)"
+
+
+@query("doc_topk", f"WITH {_DENSE} " + _top(f"SELECT qid, vec_id, {_ip('q', 'e')} AS d FROM q, v", order="d DESC"))
 def doc_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents nearest to every fiftieth one, by their embeddings."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -513,6 +546,46 @@ def neighborhood_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.neighborhood_churn(v, _version(v), queries_of(v), K)
 
 
+def _published(spark: SparkSession, sf_dir: str) -> Generations:
+    """Two generations: all vectors, then those with their later versions appended; the first one is active."""
+    v = vectors(spark, sf_dir)
+    kept = Generations(spark, files.scratch(spark, "generations"))
+    first = search.flat_add(search.flat_create(DIM), v)
+    kept.activate(kept.create(first, "first"))
+    later = _version(v).withColumn("vec_id", -1 - F.col("vec_id"))
+    kept.create(search.flat_add(first, later), "with later versions")
+    return kept
+
+
+_BOTH = f"{_V}, {_MOVED}, u AS MATERIALIZED (SELECT 1 AS gen_id, vec_id, e FROM v UNION ALL SELECT 2, vec_id, e FROM v UNION ALL SELECT 2, -1 - vec_id, list_transform(e, lambda x: x::FLOAT::DOUBLE) FROM z)"
+
+
+@query("append_generations", f"WITH {_BOTH} SELECT CAST(gen_id AS BIGINT) AS gen_id, CASE gen_id WHEN 1 THEN 'first' ELSE 'with later versions' END AS label, CASE gen_id WHEN 1 THEN 'mounted' ELSE 'active' END AS state, count(*) AS n, count(DISTINCT vec_id) AS n_ids, round(avg({_norm('e')}), 6) AS mean_norm FROM u GROUP BY ALL")
+def append_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both generations as they are stored after the second took over: the first one is unchanged."""
+    kept = _published(spark, sf_dir)
+    kept.activate(2)
+    stored = None
+    for generation in (1, 2):
+        rows = spark.read.parquet(kept.path(generation)).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("vec_id").alias("n_ids"), F.round(F.avg(V.norm(F.col("embedding"))), 6).alias("mean_norm"))
+        rows = rows.select(F.lit(generation).cast("long").alias("gen_id"), "*")
+        stored = rows if stored is None else stored.unionByName(rows)
+    return kept.table().select("gen_id", "label", "state").join(stored, "gen_id")
+
+
+_SEARCHED = _top(f"SELECT gen_id, qid, vec_id, {_l2('q', 'u.e')} AS d FROM q, u").replace("SELECT qid, ", "SELECT gen_id, qid, ", 1).replace("PARTITION BY qid", "PARTITION BY gen_id, qid", 1)
+
+
+@query("pinned_search", f"WITH {_BOTH} SELECT CAST(gen_id AS BIGINT) AS gen_id, * EXCLUDE (gen_id) FROM ({_SEARCHED})")
+def pinned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches through a pin taken before another generation became the active one, and through one taken after."""
+    kept, q = _published(spark, sf_dir), queries_of(vectors(spark, sf_dir))
+    before = kept.pin_active()
+    kept.activate(2)
+    found = [kept.search(p, q, K).select(F.lit(p.generation).cast("long").alias("gen_id"), "*") for p in (before, kept.pin_active())]
+    return shown(found[0].unionByName(found[1]))
+
+
 @query("invariant_violations", f"WITH {_V}, {_MOVED} SELECT vec_id, 'norm_bound' AS rule FROM z WHERE {_norm('e')} < 0.99 OR {_norm('e')} > 1.01")
 def invariant_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.invariant_violations(_version(vectors(spark, sf_dir)), DIM, 0.99, 1.01)

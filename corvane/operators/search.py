@@ -166,6 +166,16 @@ def flat_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l
     return ranked(native_hits(vectors, queries, metric, dim if kernel == "unrolled" else None), k, metric)
 
 
+def rescored(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """Each query's k best of its ``candidates`` (qid, vec_id) by the stored vectors' own distances.
+
+    Codes give a short list, this its order: only the candidates' vectors are
+    shuffled, and the distances are built-in functions.
+    """
+    pairs = candidates.select("qid", "vec_id").join(vectors.select("vec_id", "embedding"), "vec_id").join(queries.select("qid", "q"), "qid")
+    return ranked(pairs.select("qid", "vec_id", V.distance(metric, F.col("q"), F.col("embedding")).alias("distance")), k, metric)
+
+
 def radius_search(vectors: DataFrame, queries: DataFrame, radius: float, metric: str = "l2") -> DataFrame:
     """All vectors nearer than ``radius``: qid, vec_id, distance."""
     spark = vectors.sparkSession

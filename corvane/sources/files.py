@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -54,6 +59,27 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names; removed when the driver ends.
+
+    Only a local session may go without that setting: elsewhere a temporary
+    folder would be another one on each machine.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
+        root = "file://" + tempfile.mkdtemp(prefix="corvane-core-")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_gone, spark, path)
+    return path
+
+
+def _gone(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended first
+        remove(spark, path)
+
+
 def opened(path: str):
     """A seekable file for reading in a task; plain paths are local."""
     from pyarrow import fs

@@ -36,6 +36,13 @@ def test_query(spark, duck, name):
         assert got == rows(want.columns, want.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("name", ["recall_at_k", "ivf_ip_recall", "pq_recall", "ivfpq_recall"])
+def test_indexes_find_nine_tenths(spark, name):
+    found = [r["recall"] for r in catalogue.QUERIES[name](spark, SF).collect()]
+    assert sum(found) / len(found) >= 0.9
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["qid", "rank", "vec_id", "distance"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
