@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import documents, flagged, keyed, materialise, small_batches, without_keys
+from .shared import documents, flagged, keyed, materialise, small_batches, tidy, without_keys
 
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 ROWS = 5
@@ -174,7 +174,7 @@ def classified(rows: DataFrame, words: int = 5, num: int = 80, den: int = 100) -
             found = {"n_shingles": [len(s) for s in sets], "set_id": digests, "registers": [registers(s, factors).tobytes() if len(s) else b"" for s in sets]}
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), **found, "file": batch["file"], "at": batch["at"]})
 
-    sketched = materialise(_dealt(rows).mapInPandas(sketch, "doc_id long, n_shingles long, set_id binary, registers binary, file long, at long"), "sketches")
+    sketched = materialise(_dealt(rows).mapInPandas(tidy(sketch), "doc_id long, n_shingles long, set_id binary, registers binary, file long, at long"), "sketches")
     linked = sketched.where("n_shingles > 0")
     # A class for each set, named by its first row.  Combined before the shuffle,
     # so the copies of one set don't pile up.
@@ -269,7 +269,7 @@ def _compare(rows: DataFrame, heads: DataFrame, blocks: DataFrame, words: int, n
     wanted = heads.join(blocks.select("node").distinct(), "node").select("node", "registers", "file", "at")
     keys = materialise(wanted.select(F.struct("file", "at").alias("_key")), "wanted")
     texts = _dealt(flagged(rows, keys, "_key"))
-    sets = texts.mapInPandas(full_sets, "file long, at long, shingles binary").join(wanted, ["file", "at"])
+    sets = texts.mapInPandas(tidy(full_sets), "file long, at long, shingles binary").join(wanted, ["file", "at"])
     dealt = blocks.join(sets.select("node", "registers", "shingles"), "node")
     return dealt.groupBy("block").applyInPandas(confirm, "a long, b long")
 

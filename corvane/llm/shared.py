@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,6 +91,42 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(name, str(rows))
 
 
+#: What operators keep in a worker between its tasks.
+_KEPT: list[dict] = []
+
+
+def kept_in_worker() -> dict:
+    """A new dict that lasts from task to task, until a function that is ``tidy`` runs in the worker."""
+    _KEPT.append({})
+    return _KEPT[-1]
+
+
+def let_go() -> None:
+    """Forget what earlier operators keep in this worker and hand freed memory back to the system."""
+    import pyarrow as pa
+
+    if any(_KEPT):
+        for kept in _KEPT:
+            kept.clear()
+        gc.collect()  # encoders refer to themselves
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``function``, for mapInPandas or mapInArrow, in a worker that holds nothing of earlier
+    operators, nor of the function once it ends: workers outlive stages, and a tokenizer
+    that one of them left would stand beside all that later ones need."""
+
+    def run(batches: Iterator) -> Iterator:
+        let_go()
+        yield from function(batches)
+        let_go()
+
+    return run
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

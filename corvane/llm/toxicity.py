@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, materialise, small_batches
+from .shared import documents, materialise, small_batches, tidy
 
 #: Bounds of the labelled sample (expected rows of each label) and of the lexicon.
 SAMPLE, ENTRIES = 8_000, 4_000
@@ -155,7 +155,7 @@ def learn(sample: DataFrame) -> Lexicon:
                 yield pd.DataFrame(list(found), columns=["word", "before", "toxic"])
 
     # Counted by different words before it: copies of one text count once.
-    seen = sample.mapInPandas(words, "word string, before long, toxic int").distinct()
+    seen = sample.mapInPandas(tidy(words), "word string, before long, toxic int").distinct()
     by_word = seen.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     # A word is evidence for its beginnings, and for itself (marked by the blank after it).
     lengths = F.sequence(F.lit(SHORTEST), F.least(F.length("word"), F.lit(LONGEST)))
@@ -174,7 +174,7 @@ def learn(sample: DataFrame) -> Lexicon:
             x = [lexicon.features(t) for t in batch["text"]]
             yield pd.DataFrame({"a": [v[1] for v in x], "b": [v[2] for v in x], "y": batch["toxic"]})
 
-    points = sample.mapInPandas(measured, "a double, b double, y int").toPandas()  # SAMPLE rows of each label
+    points = sample.mapInPandas(tidy(measured), "a double, b double, y int").toPandas()  # SAMPLE rows of each label
     if points["y"].nunique() == 2:
         lexicon.model = logistic(points[["a", "b"]].to_numpy(), points["y"].to_numpy())
     return lexicon
@@ -216,7 +216,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             found = [lexicon.score(t) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": found, "predicted": [int(s >= THRESHOLD) for s in found]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(rows, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tidy(rows), "doc_id long, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -228,7 +228,7 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([lexicon.score(t) < THRESHOLD for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(tidy(clean), docs.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

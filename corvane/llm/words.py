@@ -10,6 +10,8 @@ from itertools import islice
 
 import numpy as np
 
+from .shared import kept_in_worker
+
 #: The id that ends each document.
 END_ID = 1
 
@@ -142,11 +144,11 @@ class WordEncoder(ChunkMemory):
         return self.gather((data.lower() if self.direct else data).split(), END_ID)  # bytes split at the six ASCII blanks
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = kept_in_worker()
 
 
 def encoder(path: str) -> WordEncoder:
-    """One per Python worker."""
+    """One per Python worker, until another operator's functions run there."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]

@@ -3,8 +3,9 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 
-from corvane.llm import secrets, toxicity
+from corvane.llm import secrets, toxicity, words
 from corvane.llm.queries import QUERIES
 
 
@@ -35,3 +36,23 @@ def test_credentials_inside_runs():
             texts = [(before + v + after, (len(before), len(before) + len(v), name)) for v in values]
             assert sum(span in formats.spans(text)[1] for text, span in texts) >= 0.9 * len(values), (before, name)
     assert formats.spans("the house/and=the.lines-of-ordinary/words")[1] == []
+
+
+def test_workers_let_go_of_tokenizers(spark):
+    """A stage that needs none doesn't stand beside the one that an earlier stage left in its workers."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('some words ', id) AS text").repartition(40)
+    held = lambda f: sum(r["n"] for r in docs.select("doc_id").mapInPandas(f, "n long").collect())
+
+    def fill(batches):
+        for batch in batches:
+            words.encoder(words.tokenizer_path())
+            yield batch[["doc_id"]].rename(columns={"doc_id": "n"})
+
+    def count(batches):
+        for _ in batches:
+            yield pd.DataFrame({"n": [len(words._ENCODERS)]})
+
+    held(fill)
+    assert held(count) > 0
+    toxicity.score(docs, toxicity.Lexicon({"scum": 4.0})).collect()
+    assert held(count) == 0
