@@ -16,19 +16,24 @@ import random
 import re
 import string
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, small_batches
+from .shared import documents, materialise, small_batches
 
 #: Kinds in the order that ties of a start are listed in; inferred formats follow by name.
 KINDS = ("assign", "access", "hex")
-#: Shortest candidate; labelled credentials of a format; documents read for ordinary words and labels (expected).
-SHORTEST, EXAMPLES, SAMPLE = 16, 200, 4_000
+#: Shortest candidate; described credentials of a format.
+SHORTEST, EXAMPLES = 16, 200
+#: States of the found values' prefix tree that share a depth, at most: one that fewer values reach than
+#: 1 + values // FINEST isn't tested for a state of its own. Its values count all the same.
+FINEST = 5_000
+#: Different words that a task counts before it takes them apart.
+WORDS = 100_000
 #: Confidence of the merging test, probability of what an automaton hasn't seen, least log ratio per character.
 ALPHA, UNSEEN, MARGIN = 0.05, 1e-4, 0.5
 
@@ -101,29 +106,96 @@ def symbols(text: str, literal: int = LITERAL) -> list[str]:
     return [f"={c}" for c in text[:literal]] + [_CLASS.get(c, c) for c in text[literal:]]
 
 
+#: The prefix tree's root; nodes are known by a hash of what leads to them.
+ROOT = 0
+
+
+def after(node: int, symbol: str) -> int:
+    """The node that ``symbol`` leads to."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(symbol, node) >> 1
+
+
+def steps(text: str) -> Iterator[tuple[int, str]]:
+    """The nodes of a prefix tree that a text passes and the symbol read in each, "" at its end."""
+    node = ROOT
+    for c in symbols(text, 0):
+        yield node, c
+        node = after(node, c)
+    yield node, ""
+
+
 class Automaton:
     """A probabilistic automaton over ``symbols``, by state merging from a prefix tree."""
 
     def __init__(self, examples: list[str], alpha: float = ALPHA, literal: int = LITERAL):
-        self.literal = literal
-        self.end, self.next, self.count = [0], [{}], [{}]
+        self._begin(alpha, literal)
         for text in examples:
             state = 0
             for c in symbols(text, literal):
                 to = self.next[state].get(c)
                 if to is None:
-                    to = len(self.end)
-                    self.end.append(0)
-                    self.next.append({})
-                    self.count.append({})
-                    self.next[state][c], self.count[state][c] = to, 0
+                    to = self._grow(state, c, 0)
                 self.count[state][c] += 1
                 state = to
             self.end[state] += 1
-        self.radius = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
         self._freeze()
 
+    @classmethod
+    def of_tree(cls, nodes: dict[int, dict[str, int]], alpha: float = ALPHA) -> Automaton:
+        """The merged states of a prefix tree (see ``steps``; without literal characters) that may lack
+        rare nodes, for ``walk``; ``recount`` makes it an automaton."""
+        new = cls.__new__(cls)
+        new._begin(alpha, 0)
+        todo = [(ROOT, 0)]
+        while todo:
+            node, state = todo.pop()
+            for c, n in sorted(nodes[node].items()):
+                if not c:
+                    new.end[state] = n
+                elif (to := after(node, c)) in nodes:
+                    todo.append((to, new._grow(state, c, n)))
+                else:
+                    new.count[state][c] = n
+        new._merge()
+        return new
+
+    def _begin(self, alpha: float, literal: int) -> None:
+        self.literal, self.radius = literal, math.sqrt(0.5 * math.log(2 / alpha))
+        self.end, self.next, self.count = [0], [{}], [{}]
+
+    def _grow(self, state: int, c: str, n: int) -> int:
+        self.next[state][c], self.count[state][c] = len(self.end), n
+        self.end.append(0)
+        self.next.append({})
+        self.count.append({})
+        return len(self.end) - 1
+
+    def walk(self, text: str) -> Iterator[tuple[int, str]]:
+        """The states a text passes and the symbol read in each, "" at its end.  What the tree lacks goes on
+        in the state that settled first: too few values got there to tell it from any other."""
+        state = 0
+        for c in symbols(text, self.literal):
+            yield state, c
+            state = self.next[state].get(c, self.home)
+        yield state, ""
+
+    def recount(self, counted: dict[tuple[int, str], int]) -> Automaton:
+        """The automaton with the counts of all texts' walks."""
+        size = len(self.end)
+        self.end, self.count = [0] * size, [{} for _ in range(size)]
+        for (state, c), n in counted.items():
+            if c:
+                self.count[state][c] = n
+                self.next[state].setdefault(c, self.home)
+            else:
+                self.end[state] = n
+        self.next = [{c: t for c, t in to.items() if c in seen} for to, seen in zip(self.next, self.count, strict=True)]
+        self._freeze()
+        return self
+
     def _total(self, s: int) -> int:
         return self.end[s] + sum(self.count[s].values())
 
@@ -138,7 +210,7 @@ class Automaton:
             bound = self.radius * (na**-0.5 + nb**-0.5)
             if abs(self.end[a] / na - self.end[b] / nb) > bound:
                 return False
-            for c in self.next[a].keys() | self.next[b].keys():
+            for c in self.count[a].keys() | self.count[b].keys():
                 if abs(self.count[a].get(c, 0) / na - self.count[b].get(c, 0) / nb) > bound:
                     return False
                 if c in self.next[a] and c in self.next[b]:
@@ -151,12 +223,13 @@ class Automaton:
         while pairs:
             a, b = pairs.pop()
             self.end[a] += self.end[b]
-            for c, y in self.next[b].items():
-                if c in self.next[a]:
-                    self.count[a][c] += self.count[b][c]
+            for c, n in self.count[b].items():
+                self.count[a][c] = self.count[a].get(c, 0) + n
+                y = self.next[b].get(c)
+                if y is not None and c in self.next[a]:
                     pairs.append((self.next[a][c], y))
-                else:
-                    self.next[a][c], self.count[a][c] = y, self.count[b][c]
+                elif y is not None:
+                    self.next[a][c] = y
 
     def _merge(self) -> None:
         """Settled states grow from the root; the commonest state next to them is
@@ -166,6 +239,7 @@ class Automaton:
             inside = set(settled)
             edges = [(self.count[s][c], s, c, t) for s in settled for c, t in self.next[s].items() if t not in inside]
             if not edges:
+                self.home = settled[1] if len(settled) > 1 else 0
                 return
             _, source, c, t = max(edges)
             # A literal start is never merged: it is what tells formats apart.
@@ -293,34 +367,80 @@ class Formats:
         return base, sorted([*base, *found], key=lambda s: (s[0], rank[s[2]]))
 
 
-def learn(docs: DataFrame, bound: int = SAMPLE) -> Formats:
-    """Formats from the described credentials and what fixed patterns find in about
-    ``bound`` documents, ordinary text from the same documents."""
-    n = docs.count()
-    part = F.pmod(F.xxhash64("text", F.lit("secrets")), F.lit(1 << 20)) < int((1 << 20) * bound / max(bound, n))
+def ordinary_and_found(docs: DataFrame) -> tuple[dict[str, int], DataFrame]:
+    """Of all ``docs``: how many different words of a document, outside the fixed patterns' spans, have
+    which pair of characters; and the values that the patterns find (value), each once."""
+    small_batches(docs.sparkSession)
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs, words = Counter(), Counter()
+
+        def spell() -> None:
+            for word, n in words.items():
+                for pair in map("".join, zip(" " + word, word, strict=False)):
+                    pairs[pair] += n
+            words.clear()
+
         for batch in batches:
-            pairs, values = Counter(), set()
+            values = set()
             for text in batch["text"]:
                 rest, at = [], 0
-                for s, e, k in base_spans(text or ""):
+                for s, e, k in base_spans(text):
                     values.add(ASSIGN.match(text, s, e)[2] if k == "assign" else text[s:e])
                     rest.append(text[at:s])
                     at = max(at, e)
-                rest.append((text or "")[at:])
-                for word in set(re.findall(r"[A-Za-z0-9+/_.=-]+", " ".join(rest))):
-                    pairs.update(map("".join, zip(" " + word, word, strict=False)))
-            yield pd.DataFrame({"what": [*pairs, *values], "n": [*pairs.values(), *[0] * len(values)]})
-
-    rows = docs.where(F.col("text").isNotNull() & part).select("text").mapInPandas(gather, "what string, n long")
-    counted = rows.groupBy("what").agg(F.sum("n").alias("n"))
+                rest.append(text[at:])
+                words.update(set(re.findall(r"[A-Za-z0-9+/_.=-]+", " ".join(rest))))
+            if len(words) > WORDS:
+                spell()
+            if values:
+                yield pd.DataFrame({"what": [*values], "n": 0})
+        spell()
+        if pairs:
+            yield pd.DataFrame({"what": [*pairs], "n": [*pairs.values()]})
+
+    rows = docs.where(F.col("text").isNotNull()).select("text").mapInPandas(gather, "what string, n long")
+    # No value is spelled like a pair: values have eight characters or more.
+    counted = materialise(rows.groupBy("what").agg(F.sum("n").alias("n")), "found-values")
     pairs = {r["what"]: r["n"] for r in counted.where("n > 0").collect()}  # pairs of 67 characters and a blank
-    values = [r["what"] for r in counted.where("n = 0").orderBy(F.xxhash64("what")).limit(EXAMPLES).collect()]
-    examples = credentials()
-    if values:
-        examples["found"] = values
-    automata = {name: Automaton(texts, literal=0 if name == "found" else LITERAL) for name, texts in examples.items()}
+    return pairs, counted.where("n = 0").select(F.col("what").alias("value"))
+
+
+def tally(values: DataFrame, walk: Callable[[str], Iterator[tuple[int, str]]]) -> DataFrame:
+    """at, symbol, n: how often the walks of all ``values`` are at a place and read a symbol."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen = Counter(step for value in batch["value"] for step in walk(value))
+            yield pd.DataFrame([(at, c, n) for (at, c), n in seen.items()], columns=["at", "symbol", "n"])
+
+    return values.mapInPandas(count, "at long, symbol string, n long").groupBy("at", "symbol").agg(F.sum("n").alias("n"))
+
+
+def learn_found(values: DataFrame) -> Automaton | None:
+    """The automaton of all ``values``, None if there are none.
+
+    Their prefix tree is counted where they are.  The driver merges the states of
+    its nodes, those that 1 + values // FINEST reach; then all values walk through
+    the merged states, and those counts make the automaton.
+    """
+    n = values.count()
+    if not n:
+        return None
+    by_node = tally(values, steps).groupBy("at").agg(F.sum("n").alias("total"), F.collect_list(F.struct("symbol", "n")).alias("read"))  # ten symbols at most
+    nodes = {r["at"]: dict(r["read"]) for r in by_node.where(F.col("total") >= 1 + n // FINEST).drop("total").collect()}
+    states = Automaton.of_tree(nodes)
+    return states.recount({(r["at"], r["symbol"]): r["n"] for r in tally(values, states.walk).collect()})
+
+
+def learn(docs: DataFrame) -> Formats:
+    """Formats from the described credentials and from all values that the fixed patterns find in
+    ``docs``, ordinary text from all of the documents too."""
+    pairs, values = ordinary_and_found(docs)
+    automata = {name: Automaton(texts) for name, texts in credentials().items()}
+    found = learn_found(values)
+    if found:
+        automata["found"] = found
     return Formats(automata, Ordinary(pairs))
 
 

@@ -1,6 +1,7 @@
 """Operators do the whole of their jobs: bounds, columns and candidates."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -56,3 +57,25 @@ def test_workers_let_go_of_tokenizers(spark):
     assert held(count) > 0
     toxicity.score(docs, toxicity.Lexicon({"scum": 4.0})).collect()
     assert held(count) == 0
+
+
+def test_secrets_are_learned_from_all_documents(spark, monkeypatch):
+    """Of 9,000 documents, 700 found values and words that one document has."""
+    rng = np.random.default_rng(4)
+    values = ["".join(rng.choice(list("abcXYZ019"), rng.integers(9, 15))) + rng.choice(["", "=", "-x"]) for _ in range(700)]
+    text = {i: f"plain words of line w{i}x plain" for i in range(9_000)} | {12 * i: f"see token: {v} here" for i, v in enumerate(values)} | {8_999: "qzqz", 8_998: None, 8_997: ""}
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string").repartition(5)
+    pairs = Counter(p for t in text.values() for w in {w for w in (t or "").split() if w not in values and w != "token:"} for p in map("".join, zip(" " + w, w, strict=False)))
+    distinct = sorted(set(values))
+    shares = Counter(secrets.symbols(v, 0)[0] for v in distinct)
+    brute = secrets.Automaton(distinct, literal=0)
+    for finest in (secrets.FINEST, 60):
+        monkeypatch.setattr(secrets, "FINEST", finest)
+        formats = secrets.learn(docs)
+        assert formats.ordinary.pairs == secrets.Ordinary(pairs).pairs
+        found = formats.automata["found"]
+        first = {c: np.exp(p - secrets._WITHIN.get(c, 0.0)) * len(distinct) for c, (_, p) in found.table[0].items()}
+        assert {c: round(n, 6) for c, n in first.items()} == shares  # every value counts, whatever the tree holds
+        assert all(found.likelihood(v, -1e9) > -1e9 for v in distinct)
+        if finest > len(distinct):
+            assert np.allclose([found.likelihood(v, -1e9) for v in distinct], [brute.likelihood(v, -1e9) for v in distinct], atol=2.0)
