@@ -140,8 +140,7 @@ def flat_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("distance_l2_batch", f"WITH {_V} SELECT qid, vec_id, round(greatest(0.0, {_l2('q', 'e')}), 6) AS distance FROM q, v")
 def distance_l2_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    pairs = F.broadcast(queries_of(v)).crossJoin(v)
-    return pairs.select("qid", "vec_id", F.round(V.l2_by_norms(F.col("q"), F.col("embedding")), 6).alias("distance"))
+    return search.all_distances(v, queries_of(v), "l2", DIM)
 
 
 @query("distance_ip_batch", f"WITH {_V} SELECT qid, vec_id, round({_ip('q', 'e')}, 6) AS distance FROM q, v")

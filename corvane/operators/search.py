@@ -7,7 +7,8 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
@@ -151,6 +152,101 @@ def native_hits(vectors: DataFrame, queries: DataFrame, metric: str, dim: int |
     return pairs.select("qid", "vec_id", d.alias("distance"))
 
 
+# -- all distances ------------------------------------------------------------------------------
+
+#: Rows of all distances that a task makes at once: 24 bytes each as they are sent, some 100 while they are made.
+PAIRS = 1 << 18
+#: Decimals of all distances.
+DECIMALS = 6
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt in turn to four tasks a core: where each row is compared with all queries, the work isn't in how the rows are stored."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def irregular(v: Column, dim: int) -> Column:
+    """Whether it isn't ``dim`` finite numbers."""
+    return F.coalesce(F.size(v) != dim, F.lit(True)) | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | v.isNull()
+
+
+def rounded(scaled: np.ndarray) -> np.ndarray:
+    """Numbers times 10**DECIMALS to numbers, halves away from zero, no negative zero."""
+    whole = np.rint(scaled)
+    half = np.abs(scaled - np.trunc(scaled)) == 0.5
+    if half.any():
+        whole[half] = np.trunc(scaled[half]) + np.sign(scaled[half])
+    return whole / 10**DECIMALS + 0.0
+
+
+def block_distances(queries: np.ndarray, norms: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
+    """(row, query) to distance, rounded.
+
+    A matrix product gives them within a bound; those that the bound leaves near a
+    half of the last decimal are summed directly, term by term.
+    """
+    scaled, sizes = rows @ queries.T, (rows**2).sum(1)
+    if metric == "l2":
+        scaled *= -2
+        scaled += norms
+        scaled += sizes[:, None]
+        np.maximum(scaled, 0, out=scaled)
+    scaled *= 10**DECIMALS
+    # A sum of dim products is off by dim * 2**-53 of its terms' sizes; three such sums, twice over.
+    bound = 10**DECIMALS * (rows.shape[1] + 4) * 2.0**-50 * (sizes[:, None].max(initial=0) + norms.max(initial=0))
+    away = scaled - np.floor(scaled)
+    away -= 0.5
+    vi, qi = np.nonzero(np.abs(away, out=away) <= bound)
+    for at in range(0, len(vi), STEP):
+        v, q = vi[at : at + STEP], qi[at : at + STEP]
+        terms = (queries[q] - rows[v]) ** 2 if metric == "l2" else queries[q] * rows[v]
+        scaled[v, q] = np.cumsum(terms, axis=1)[:, -1] * 10**DECIMALS
+    return rounded(scaled)
+
+
+#: Pairs that are summed directly at once.
+STEP = 1 << 14
+
+
+def all_distances(vectors: DataFrame, queries: DataFrame, metric: str, dim: int) -> DataFrame:
+    """qid, vec_id, distance (rounded) of every query and vector, ``l2`` or ``ip``.
+
+    As many rows as pairs, so its time grows by queries times vectors; what a task
+    holds doesn't: a block of queries and PAIRS rows.  Vectors that aren't ``dim``
+    finite numbers go through built-in functions, with all queries, and so do such
+    queries.
+    """
+    spark, vectors = vectors.sparkSession, vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    odd, odd_q = irregular(F.col("embedding"), dim), irregular(F.col("q"), dim)
+
+    def search(ids: np.ndarray, rows: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast((ids, rows))
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, rows = shared.value
+            wide = min(len(ids), PAIRS)
+            norms, tall = (rows**2).sum(1), max(1, PAIRS // wide)
+            for batch in batches:
+                found = batch["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), dim)
+                keys = batch["vec_id"].to_numpy(zero_copy_only=False)
+                gaps = np.asarray(batch["vec_id"].is_null()) if batch["vec_id"].null_count else None
+                for q in range(0, len(ids), wide):
+                    for v in range(0, len(batch), tall):
+                        d = block_distances(rows[q : q + wide], norms[q : q + wide], found[v : v + tall], metric)
+                        hidden = None if gaps is None else np.repeat(gaps[v : v + tall], d.shape[1])
+                        vec = np.repeat(keys[v : v + tall] if gaps is None else np.where(gaps[v : v + tall], 0, keys[v : v + tall]).astype(np.int64), d.shape[1])
+                        yield pa.record_batch([pa.array(np.tile(ids[q : q + wide], len(d))), pa.array(vec, mask=hidden), pa.array(d.ravel())], ["qid", "vec_id", "distance"])
+
+        return spread(vectors.where(~odd)).mapInArrow(part, HITS)
+
+    plain = over_blocks(queries.where(~odd_q), search)
+    by_terms = V.l2_by_norms if metric == "l2" else V.dot
+    terms = F.round(by_terms(F.col("q"), F.col("embedding")), DECIMALS).alias("distance")
+    for q, v in ((queries, vectors.where(odd)), (queries.where(odd_q), vectors.where(~odd))):
+        plain = plain.unionByName(F.broadcast(q).crossJoin(v).select("qid", "vec_id", terms))
+    return plain
+
+
 #: The ways to compute distances, in the order that ``auto`` tries them.
 KERNELS = ("numpy", "native", "unrolled")
 
