@@ -146,7 +146,7 @@ def distance_l2_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("distance_ip_batch", f"WITH {_V} SELECT qid, vec_id, round({_ip('q', 'e')}, 6) AS distance FROM q, v")
 def distance_ip_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    return shown(search.native_hits(v, queries_of(v), "ip"))
+    return search.all_distances(v, queries_of(v), "ip", DIM)
 
 
 @query("flat_filtered_topk", f"WITH {_V} " + _top(f"SELECT qid, v.vec_id, {_l2('q', 'v.e')} AS d FROM q, v JOIN embeddings USING (vec_id) WHERE label IN (1, 3, 5)"))
