@@ -57,8 +57,12 @@ def ivf_add(index: Index, vectors: DataFrame) -> Index:
 
 def probes(queries: np.ndarray, centroids: np.ndarray, nprobe: int, metric: str) -> np.ndarray:
     """Each query's lists, best first; the smaller list of equals."""
-    d = ((queries[:, None] - centroids[None]) ** 2).sum(2) if metric == "l2" else -(queries @ centroids.T)
-    return np.argsort(d, axis=1, kind="stable")[:, :nprobe]
+    size, found = max(1, TABLE_BYTES // (8 * centroids.size)), [np.empty((0, min(nprobe, len(centroids))), np.int64)]
+    for i in range(0, len(queries), size):
+        asked = queries[i : i + size]
+        d = ((asked[:, None] - centroids[None]) ** 2).sum(2) if metric == "l2" else -(asked @ centroids.T)
+        found.append(np.argsort(d, axis=1, kind="stable")[:, :nprobe])
+    return np.concatenate(found)
 
 
 def ivf_search(index: Index, queries: DataFrame, plan: SearchPlan) -> DataFrame:
@@ -166,16 +170,35 @@ def lookup(queries: np.ndarray, codebooks: np.ndarray, metric: str) -> np.ndarra
     return ((parts - codebooks[None]) ** 2).sum(3) if metric == "l2" else (parts * codebooks[None]).sum(3)
 
 
-#: Bytes of lookup tables that a task makes at once.
-TABLE_BYTES = 32 << 20
+#: Bytes of differences that a task makes at once for lookup tables.
+TABLE_BYTES = 8 << 20
+#: Coded vectors that a task holds, and compares with one part of the queries after the other.
+CODED = 1 << 19
 
 
 def query_steps(n: int, codebooks: np.ndarray) -> Iterator[slice]:
-    """Queries whose lookup tables are within TABLE_BYTES."""
-    size = max(1, TABLE_BYTES // (8 * codebooks.shape[0] * codebooks.shape[1]))
+    """Queries for whose lookup tables TABLE_BYTES are enough."""
+    size = max(1, TABLE_BYTES // (8 * codebooks.size))
     return (slice(i, i + size) for i in range(0, n, size))
 
 
+def coded_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """list_id (0 where there is none), vec_id and codes, as bytes, of up to CODED rows and a batch."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    n = 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        lists = batch["list_id"].to_numpy(np.int32) if "list_id" in batch else np.zeros(len(batch), np.int32)
+        held.append((lists, batch["vec_id"].to_numpy(np.int64), np.stack(batch["codes"].to_numpy()).astype(np.uint8)))
+        n += len(batch)
+        if n >= CODED:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
 def pq_search(index: Index, queries: DataFrame, plan: SearchPlan) -> DataFrame:
     """All codes, by table lookups for each query.  Ties go to the smaller vec_id."""
     books, spark, metric, k = index.expect("pq").params["codebooks"], queries.sparkSession, index.metric, plan.k
@@ -185,21 +208,15 @@ def pq_search(index: Index, queries: DataFrame, plan: SearchPlan) -> DataFrame:
 
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, rows = shared.value
-            found, parts = TopK(ids, rows, k, metric), list(query_steps(len(ids), books))
-            table = lookup(rows, books, metric) if len(parts) == 1 else None  # once, if all queries' tables fit
-            for batch in batches:
-                for at in range(0, len(batch), 4096):
-                    piece = batch[at : at + 4096]
-                    codes, keys = np.stack(piece["codes"].to_numpy()).astype(np.int64), piece["vec_id"].to_numpy(np.int64)
-                    near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                    for some in parts:
-                        for q, own in enumerate(table if table is not None else lookup(rows[some], books, metric), some.start):
-                            d = own[np.arange(codes.shape[1]), codes].sum(1)
-                            take = np.argsort(found.sign * d, kind="stable")[:k] if len(d) > k else np.arange(len(d))
-                            close = np.flatnonzero(found.sign * d <= (found.sign * d[take]).max())
-                            near.append((np.full(len(close), q), keys[close], d[close]))
-                    found.take(*(np.concatenate(x) for x in zip(*near, strict=True)))
-            yield found.frame()
+            for _, keys, codes in coded_chunks(batches):
+                for some in query_steps(len(ids), books):
+                    out = []
+                    for q, table in enumerate(lookup(rows[some], books, metric), some.start):
+                        d = by_table(table, codes)
+                        kept = best_of(d, keys, k, metric)
+                        out.append((np.full(len(kept), q), keys[kept], d[kept]))
+                    q_, v_, d_ = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield pd.DataFrame({"qid": ids[q_], "vec_id": v_, "distance": d_})
 
         return index.tables["codes"].select("vec_id", "codes").mapInPandas(part, HITS)
 
@@ -256,28 +273,33 @@ def ivfpq_search(index: Index, queries: DataFrame, plan: SearchPlan, compat: boo
 
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, rows, wanted = shared.value
-            q_, v_, d_, r_ = (np.empty(0, kind) for kind in (np.int64, np.int64, float, np.int64))
-            for batch in batches:
-                out = [(q_, v_, d_, r_)]
-                for list_id, piece in batch.groupby("list_id"):
-                    codes, keys = np.stack(piece["codes"].to_numpy()).astype(np.int64), piece["vec_id"].to_numpy(np.int64)
-                    which, rank = np.nonzero(wanted == list_id)
-                    for some in query_steps(len(which), books):
-                        asked = rows[which[some]]
+            for lists, every, coded in coded_chunks(batches):
+                order = np.argsort(lists, kind="stable")
+                lists, every, coded = lists[order], every[order], coded[order]
+                starts = np.flatnonzero(np.diff(lists, prepend=lists[0] - 1))
+                for some in query_steps(len(ids), books):
+                    out = []
+                    for a, b in zip(starts, [*starts[1:], len(lists)], strict=True):
+                        which, rank = np.nonzero(wanted[some] == lists[a])
+                        if not len(which):
+                            continue
+                        centroid, codes, keys, which = centroids[lists[a]], coded[a:b], every[a:b], which + some.start
+                        asked = rows[which]
                         if metric == "l2" or compat:
-                            tables, added = lookup(asked - centroids[list_id], books, metric), np.zeros(len(asked))
+                            tables, added = lookup(asked - centroid, books, metric), np.zeros(len(asked))
                         else:
-                            tables, added = lookup(asked, books, metric), asked @ centroids[list_id]
-                        for q, r, table, more in zip(which[some], rank[some], tables, added, strict=True):
-                            d = table[np.arange(codes.shape[1]), codes].sum(1) + more
+                            tables, added = lookup(asked, books, metric), asked @ centroid
+                        for q, r, table, more in zip(which, rank, tables, added, strict=True):
+                            d = by_table(table, codes) + more
                             kept = best_of(d, keys, k, metric)
                             out.append((np.full(len(kept), q), keys[kept], d[kept], np.full(len(kept), r)))
-                # What a task holds is what it will return: each query's k best so far.
-                q_, v_, d_, r_ = (np.concatenate(x) for x in zip(*out, strict=True))
-                order = np.lexsort((v_, r_, d_ if metric == "l2" else -d_, q_))
-                order = order[np.arange(len(order)) - np.searchsorted(q_[order], q_[order], side="left") < k]
-                q_, v_, d_, r_ = q_[order], v_[order], d_[order], r_[order]
-            yield pd.DataFrame({"qid": ids[q_], "vec_id": v_, "distance": d_, "visit": r_})
+                    if not out:
+                        continue
+                    # Nothing is held from step to step: each sends its queries' k best of these rows.
+                    q_, v_, d_, r_ = (np.concatenate(x) for x in zip(*out, strict=True))
+                    order = np.lexsort((v_, r_, d_ if metric == "l2" else -d_, q_))
+                    order = order[np.arange(len(order)) - np.searchsorted(q_[order], q_[order], side="left") < k]
+                    yield pd.DataFrame({"qid": ids[q_[order]], "vec_id": v_[order], "distance": d_[order], "visit": r_[order]})
 
         used = index.tables["lists"].where(F.col("list_id").isin(np.unique(wanted).tolist())) if wanted.size <= 10_000 else index.tables["lists"]
         return used.select("list_id", "vec_id", "codes").mapInPandas(part, _PROBED)
@@ -285,5 +307,16 @@ def ivfpq_search(index: Index, queries: DataFrame, plan: SearchPlan, compat: boo
     return ranked(over_blocks(queries, search, _PROBED), k, metric, ("visit", "vec_id"))
 
 
+def by_table(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Each row's sum of its codes' entries."""
+    at = np.arange(codes.shape[1])
+    return np.concatenate([table[at, codes[i : i + 4096]].sum(1) for i in range(0, len(codes), 4096)])
+
+
 def best_of(d: np.ndarray, keys: np.ndarray, k: int, metric: str) -> np.ndarray:
-    return np.lexsort((keys, d if metric == "l2" else -d))[:k]
+    """Positions of the k best, then the smaller keys."""
+    cost = d if metric == "l2" else -d
+    if len(d) > 4 * k and not np.isnan(limit := np.partition(cost, k - 1)[k - 1]):
+        near = np.flatnonzero(cost <= limit)
+        return near[np.lexsort((keys[near], cost[near]))[:k]]
+    return np.lexsort((keys, cost))[:k]
