@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.search import Index, InvalidArgument, SearchPlan
 from .kmeans import batches_of, kmeans_train, nearest, train_parts
-from .search import HITS, TopK, checked, matrix, over_blocks, ranked
+from .search import BLOCK_BYTES, HITS, TopK, checked, matrix, over_blocks, ranked
 
 _PROBED = "qid long, vec_id long, distance double, visit long"
 
@@ -94,7 +94,9 @@ def ivf_search(index: Index, queries: DataFrame, plan: SearchPlan) -> DataFrame:
         used = lists.where(F.col("list_id").isin(np.unique(wanted).tolist())) if wanted.size <= 10_000 else lists
         return used.select("list_id", "vec_id", "embedding").mapInPandas(part, _PROBED)
 
-    return ranked(over_blocks(queries, search, _PROBED), k, metric, ("visit", "vec_id"))
+    # A task holds each query, and its k best, once for each probed list.
+    held = nprobe * (8 * index.dim + 24 * k) // (8 * index.dim)
+    return ranked(over_blocks(queries, search, _PROBED, max(1, BLOCK_BYTES // max(1, held))), k, metric, ("visit", "vec_id"))
 
 
 # -- product quantization ---------------------------------------------------------------------

@@ -17,8 +17,10 @@ from ..plans.search import Index, InvalidArgument, SearchPlan
 HITS = "qid long, vec_id long, distance double"
 #: Bytes of queries that a job broadcasts; more go in blocks, a job each.
 BLOCK_BYTES = 64 << 20
-#: Queries times vectors that a task compares at once: a matrix of 32 MB.
-CELLS = 4 << 20
+#: Queries times vectors that a task compares at once: matrices of 8 MB.
+CELLS = 1 << 20
+#: Pairs that are summed directly at once.
+STEP = 1 << 14
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -57,9 +59,13 @@ class TopK:
         self.norms = (self.queries**2).sum(1)
         self.q, self.v, self.d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
 
-    def exact(self, qi: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        a = self.queries[qi]
-        return ((a - rows) ** 2).sum(1) if self.metric == "l2" else (a * rows).sum(1)
+    def exact(self, qi: np.ndarray, rows: np.ndarray, vi: np.ndarray) -> np.ndarray:
+        """Distances of pairs of queries and ``rows`` (all vectors at hand, ``vi`` of them), a bounded part at a time."""
+        out = np.empty(len(qi))
+        for at in range(0, len(qi), STEP):
+            a, b = self.queries[qi[at : at + STEP]], rows[vi[at : at + STEP]]
+            out[at : at + STEP] = ((a - b) ** 2).sum(1) if self.metric == "l2" else (a * b).sum(1)
+        return out
 
     def offer(self, ids: np.ndarray, rows: np.ndarray, which: np.ndarray | None = None, earlier: bool = False) -> None:
         """Vectors for all queries, or those at ``which``; ``earlier`` leaves ids from a query's own on out."""
@@ -68,9 +74,14 @@ class TopK:
             return
         if self.metric == "cosine":
             rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-        found = [self._near(ids, rows, part, earlier) for part in steps(which, len(ids))]
-        qi, vi = (np.concatenate(x) for x in zip(*found, strict=True))
-        self.take(qi, ids[vi], np.concatenate([self.exact(q, rows[v]) for q, v in found]))
+        found = []
+        for part in steps(which, len(ids)):
+            qi, vi = self._near(ids, rows, part, earlier)
+            d = self.exact(qi, rows, vi)
+            # Equals may be many more than k.
+            kept = best(qi, d, ids[vi], self.k, self.sign)
+            found.append((qi[kept], ids[vi[kept]], d[kept]))
+        self.take(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
     def _near(self, ids: np.ndarray, rows: np.ndarray, which: np.ndarray, earlier: bool) -> tuple[np.ndarray, np.ndarray]:
         """Queries and positions of vectors that may be among their best."""
@@ -116,10 +127,10 @@ def query_blocks(queries: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator
         yield np.array(ids, np.int64), np.array(rows)
 
 
-def over_blocks(queries: DataFrame, search, schema: str = HITS) -> DataFrame:
+def over_blocks(queries: DataFrame, search, schema: str = HITS, block_bytes: int | None = None) -> DataFrame:
     """The union of ``search(ids, rows)`` over the queries' blocks."""
     out = None
-    for ids, rows in query_blocks(queries):
+    for ids, rows in query_blocks(queries) if block_bytes is None else query_blocks(queries, block_bytes):
         found = search(ids, rows)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else queries.sparkSession.createDataFrame([], schema)
@@ -204,10 +215,6 @@ def block_distances(queries: np.ndarray, norms: np.ndarray, rows: np.ndarray, me
     return rounded(scaled)
 
 
-#: Pairs that are summed directly at once.
-STEP = 1 << 14
-
-
 def all_distances(vectors: DataFrame, queries: DataFrame, metric: str, dim: int) -> DataFrame:
     """qid, vec_id, distance (rounded) of every query and vector, ``l2`` or ``ip``.
 
@@ -290,7 +297,7 @@ def radius_search(vectors: DataFrame, queries: DataFrame, radius: float, metric:
                         rough = top.norms[which][:, None] + (v**2).sum(1) - 2 * product if metric == "l2" else -product
                         qi, vi = np.nonzero(rough < top.sign * radius + 1e-9)
                         qi = which[qi]
-                        d = top.exact(qi, v[vi])
+                        d = top.exact(qi, v, vi)
                         in_it = top.sign * d < top.sign * radius
                         yield pd.DataFrame({"qid": top.qids[qi[in_it]], "vec_id": piece["vec_id"].to_numpy(np.int64)[vi[in_it]], "distance": d[in_it]})
 

@@ -40,3 +40,10 @@ def test_coded_search_in_parts_gives_the_same(spark):
         whole = answer(search_in(add(index, v), q, SearchPlan(25, 3)))
         parts = [answer(search_in(add(index, v.repartition(5)), q.where(f"qid div 50 = {i}"), SearchPlan(25, 3))) for i in range(4)]
         assert sorted(sum(parts, [])) == whole and len(whole) == 5000
+
+
+def test_equal_vectors_are_not_all_held():
+    rows, queries = np.ones((4096, 64)), np.random.default_rng(4).normal(size=(600, 64))
+    top = search.TopK(np.arange(600), queries, 10, "ip")
+    assert peak(lambda: top.offer(np.arange(4096), rows)) < 200 << 20
+    assert top.v.tolist() == list(range(10)) * 600
