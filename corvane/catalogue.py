@@ -134,7 +134,7 @@ SQL["flat_cosine_topk"] = f"WITH {_V} " + _top(f"SELECT qid, vec_id, {_ip('q', '
 def flat_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same search in built-in functions alone."""
     v = vectors(spark, sf_dir)
-    return shown(search.flat_search(v, queries_of(v), K, "l2", "native"))
+    return shown(search.flat_search(v, queries_of(v), K, "l2", "unrolled", DIM))
 
 
 @query("distance_l2_batch", f"WITH {_V} SELECT qid, vec_id, round(greatest(0.0, {_l2('q', 'e')}), 6) AS distance FROM q, v")

@@ -266,9 +266,47 @@ def flat_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l
         return ranked(exact_hits(vectors, queries, k, metric), k, metric)
     if kernel not in KERNELS:
         raise InvalidArgument(f"no kernel {kernel!r}")
+    if kernel == "unrolled" and dim is not None and metric in ("l2", "ip"):
+        return unrolled_search(vectors, queries, k, metric, dim)
     return ranked(native_hits(vectors, queries, metric, dim if kernel == "unrolled" else None), k, metric)
 
 
+#: Vectors whose k-th best bounds each query's k best of all.
+FIRST = 4096
+
+
+def unrolled_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str, dim: int) -> DataFrame:
+    """Exact search in built-in functions: all pairs in generated code, a column for each dimension.
+
+    Every pair is computed.  Sorted are those that aren't worse than the k-th best of
+    FIRST vectors (by distance, then vec_id), which none of the k best can be.  Vectors
+    that aren't ``dim`` finite numbers go through ``native_hits``, and so do such queries.
+    """
+
+    def wide(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+        # No null is there; saying so leaves the checks out of the generated code.
+        return df.select(key, *[F.coalesce(F.get(value, F.lit(i)).cast("double"), F.lit(float("nan"))).alias(f"{name}{i}") for i in range(dim)])
+
+    distance = F.lit(0.0)
+    for i in range(dim):
+        a, b = F.col(f"q{i}"), F.col(f"e{i}")
+        distance = distance + ((a - b) * (a - b) if metric == "l2" else a * b)
+    odd, odd_q = irregular(F.col("embedding"), dim), irregular(F.col("q"), dim)
+    v, q = wide(vectors.where(~odd), "vec_id", "embedding", "e"), wide(queries.where(~odd_q), "qid", "q", "q")
+    first = spread(v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(FIRST, k)))
+    some = ranked(F.broadcast(q).crossJoin(first).select("qid", "vec_id", distance.alias("distance")), k, metric)
+    limits = some.where(F.col("rank") == k).select("qid", F.col("vec_id").alias("last"), F.col("distance").alias("most"))
+    none, last = (float("nan") if metric == "l2" else float("-inf")), (1 << 63) - 1  # NaN is Spark's greatest
+    q = q.join(F.broadcast(limits), "qid", "left").withColumn("most", F.coalesce("most", F.lit(none))).withColumn("last", F.coalesce("last", F.lit(last)))
+    pairs = F.broadcast(q).crossJoin(spread(v)).select("qid", "vec_id", "most", "last", distance.alias("distance"))
+    d, most = F.col("distance"), F.col("most")
+    tied = (d == most) & F.coalesce(F.col("vec_id") > F.col("last"), F.lit(False))
+    hits = pairs.where((d <= most if metric == "l2" else d >= most) & ~tied).select("qid", "vec_id", "distance")
+    for some_q, some_v in ((queries, vectors.where(odd)), (queries.where(odd_q), vectors.where(~odd))):
+        hits = hits.unionByName(native_hits(some_v, some_q, metric))
+    return ranked(hits, k, metric)
+
+
 def rescored(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """Each query's k best of its ``candidates`` (qid, vec_id) by the stored vectors' own distances.
 

@@ -47,3 +47,17 @@ def test_equal_vectors_are_not_all_held():
     top = search.TopK(np.arange(600), queries, 10, "ip")
     assert peak(lambda: top.offer(np.arange(4096), rows)) < 200 << 20
     assert top.v.tolist() == list(range(10)) * 600
+
+
+def test_unrolled_search_sorts_few_pairs_and_loses_none(spark, monkeypatch):
+    monkeypatch.setattr(search, "FIRST", 20)
+    rng = np.random.default_rng(7)
+    rows = np.concatenate([rng.normal(size=(200, 8)), np.ones((60, 8))]).astype(np.float32)  # with many equals
+    v = table(spark, rows, "vec_id", "embedding")
+    q = v.where("vec_id % 20 = 0").selectExpr("vec_id AS qid", "embedding AS q")
+    for metric in ("l2", "ip"):
+        for k in (5, 300):  # more than there are as well
+            hits = search.flat_search(v, q, k, metric, "unrolled", 8)
+            assert answer(hits) == answer(search.flat_search(v, q, k, metric, "native"))
+    odd = v.limit(5).unionByName(spark.createDataFrame([(900, None), (901, [1.0])], "vec_id long, embedding array<float>"))
+    assert answer(search.flat_search(odd, q, 9, "l2", "unrolled", 8)) == answer(search.flat_search(odd, q, 9, "l2", "native"))
