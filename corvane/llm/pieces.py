@@ -438,13 +438,14 @@ class Speller:
     def __init__(self, pieces: Pieces, spelling: Spelling):
         self.pieces, self.spelling, self.known = pieces, spelling, _Numbers()
         self.flat, self.starts, self.shown = np.empty(0, np.int32), np.zeros(1, np.int64), []
+        self.strange = np.empty(0, bool)  # words that don't decode to themselves, or have blanks of their own
 
     def _forget(self) -> None:
         """The words met first, which the commonest are among, stay, unless they are long."""
         keep = WORDS // 2 if len(self.flat) < 16 * WORDS else 0
         known = _Numbers()
         known.update(islice(self.known.items(), keep))
-        self.known, self.shown = known, self.shown[:keep]
+        self.known, self.shown, self.strange = known, self.shown[:keep], self.strange[:keep].copy()
         self.flat, self.starts = self.flat[: self.starts[keep]].copy(), self.starts[: keep + 1].copy()
 
     def _learn(self, words: list[str]) -> None:
@@ -457,18 +458,22 @@ class Speller:
         lengths = np.diff(ends)
         plain = [odd(w) is None for w in words]
         if not all(plain):  # characters of bytes
-            lists = np.split(ids, ends[1:-1])
-            spans = np.concatenate([[0], np.cumsum(sizes)])
-            first = np.concatenate([[0], np.cumsum(n_units)])
-            for k in np.flatnonzero(~np.array(plain)):
-                own = [self.pieces.spelled(u, ids[spans[first[k] + j] : spans[first[k] + j + 1]].tolist()) for j, u in enumerate(units[k])]
-                lists[k] = np.array(list(chain.from_iterable(own)), np.int32)
-            ids, lengths = np.concatenate(lists), np.fromiter(map(len, lists), np.int64, len(lists))
+            spans = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+            first, whole, own = np.concatenate([[0], np.cumsum(n_units)]).tolist(), np.array(plain), []
+            for k in np.flatnonzero(~whole).tolist():
+                spelled = [self.pieces.spelled(u, ids[spans[first[k] + j] : spans[first[k] + j + 1]].tolist()) for j, u in enumerate(units[k])]
+                own.append(list(chain.from_iterable(spelled)))
+            kept, theirs = ids[np.repeat(whole, lengths)], np.fromiter(chain.from_iterable(own), np.int32)
+            lengths[~whole] = np.fromiter(map(len, own), np.int64, len(own))
+            of_whole = np.repeat(whole, lengths)
+            ids = np.empty(len(of_whole), np.int32)
+            ids[of_whole], ids[~of_whole] = kept, theirs
         bounds = np.concatenate([[0], np.cumsum(lengths)])
         text, listed = self.pieces.text, ids.tolist()
         shown = list(map(text.get, listed))
-        for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-            self.shown.append("".join(shown[a:b]) if plain[k] else self.pieces.decode(listed[a:b]))
+        back = ["".join(shown[a:b]) if plain[k] else self.pieces.decode(listed[a:b]) for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))]
+        self.shown += back
+        self.strange = np.concatenate([self.strange, np.array([BLANK in w or b != BLANK + w for w, b in zip(words, back, strict=True)], bool)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + bounds[1:]])
         self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
 
@@ -485,7 +490,9 @@ class Speller:
         sizes = self.starts[every + 1] - self.starts[every]
         ids = self.flat[ranges(self.starts[every], sizes)]
         bounds = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, codes)])]
-        same = [unescaped("".join(map(self.shown.__getitem__, c.tolist()))) == t for c, t in zip(codes, texts, strict=True)]
+        # Words without blanks of their own that decode to themselves make their text; others are put together and compared.
+        strange = np.concatenate([[0], np.cumsum(self.strange[every])])[np.cumsum([0, *map(len, codes)])]
+        same = [not n or unescaped("".join(map(self.shown.__getitem__, c.tolist()))) == t for n, c, t in zip(np.diff(strange).tolist(), codes, texts, strict=True)]
         return ids, bounds, same
 
 
