@@ -460,9 +460,13 @@ class Speller:
         if not all(plain):  # characters of bytes
             spans = np.concatenate([[0], np.cumsum(sizes)]).tolist()
             first, whole, own = np.concatenate([[0], np.cumsum(n_units)]).tolist(), np.array(plain), []
+            every = ids.tolist()
             for k in np.flatnonzero(~whole).tolist():
-                spelled = [self.pieces.spelled(u, ids[spans[first[k] + j] : spans[first[k] + j + 1]].tolist()) for j, u in enumerate(units[k])]
-                own.append(list(chain.from_iterable(spelled)))
+                theirs = []
+                for at, u in enumerate(units[k], first[k]):
+                    part = every[spans[at] : spans[at + 1]]
+                    theirs += part if odd(u) is None else self.pieces.spelled(u, part)
+                own.append(theirs)
             kept, theirs = ids[np.repeat(whole, lengths)], np.fromiter(chain.from_iterable(own), np.int32)
             lengths[~whole] = np.fromiter(map(len, own), np.int64, len(own))
             of_whole = np.repeat(whole, lengths)
