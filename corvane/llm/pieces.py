@@ -20,8 +20,9 @@ import functools
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
-from itertools import chain, islice
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import chain, count, filterfalse, islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -30,14 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, materialise, scratch, small_batches
+from .shared import documents, materialise, scratch, settings, small_batches
 from .words import crc32, tokenizer_path
 
 BLANK = "▁"
 #: Units whose spelling tasks hold whole, some 25 bytes each.
 HELD = 1 << 23
-#: Words that a task remembers.
-WORDS = 120_000
+#: Words that a task remembers, some 250 bytes each.
+WORDS = 240_000
 #: Bounds of a chunk: characters of its texts, units of its dictionary.
 CHARACTERS, UNITS = 1 << 25, 1 << 19
 #: Units longer than this go by their digest while their substrings are matched.
@@ -61,6 +62,8 @@ class Pieces:
         self.text = {i: p for p, (i, _) in self.table.items()}
         self.value = {i: b for b, i in self.bytes.items()}
         self.longest = max(map(len, self.table))
+        self.sizes = np.zeros(max(self.text, default=0) + 1, np.int64)  # of pieces, in characters
+        self.sizes[list(self.text)] = [len(p) for p in self.text.values()]
         self.scores = sorted({s for _, s in self.table.values()}, reverse=True)
         rank = {s: i for i, s in enumerate(self.scores)}
         self.edges = {p: rank[s] << RANK | len(p) << LENGTH | i for p, (i, s) in self.table.items()}
@@ -126,6 +129,17 @@ class Pieces:
         """A character that is no piece."""
         return re.compile("[^" + re.escape("".join(p for p in self.table if len(p) == 1)) + "]")
 
+    @functools.cached_property
+    def letters(self) -> bool:
+        """Whether all letters of ASCII are pieces."""
+        return self.uncovered.search("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") is None
+
+    def units_of_words(self, words: Iterable[str]) -> Iterator[str]:
+        """The units of words (without the blank that begins each), in no order: letters alone are one unit."""
+        words = list(words)
+        yield from map(BLANK.__add__, filter(str.isalpha, words))
+        yield from chain.from_iterable(map(self.units.findall, map(BLANK.__add__, filterfalse(str.isalpha, words))))
+
     def of_character(self, c: str) -> list[int]:
         """A character that no piece covers: its bytes, or the unknown id."""
         return [self.bytes[b] for b in c.encode()] if self.bytes else [self.unknown]
@@ -188,7 +202,9 @@ def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     inside = F.least(F.lit(SHORT), F.length("text") - 1)
     starts = windows.select("key", "n", "w", "text", F.explode(F.sequence(F.lit(0), inside)).alias("at"))
     cut = starts.select("key", "n", "w", "text", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("text") - F.col("at")))).alias("size"))
-    parts = cut.select("key", "n", (F.col("w") + F.col("at")).alias("start"), F.substr("text", F.col("at") + 1, F.col("size")).alias("piece"))
+    # Saying that it isn't null keeps the join from cutting it a second time to see.
+    piece = F.coalesce(F.substr("text", F.col("at") + 1, F.col("size")), F.lit(""))
+    parts = cut.select("key", "n", (F.col("w") + F.col("at")).alias("start"), piece.alias("piece"))
     edges = parts.join(F.broadcast(pieces), "piece").select("key", "n", (F.col("edge") + F.col("start").cast("long") * (1 << START)).alias("edge"))
     return edges.groupBy("key", "n").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
@@ -345,7 +361,8 @@ def numbered(docs: DataFrame, model: str) -> DataFrame:
 def spelling(units: DataFrame, model: str, unigram: bool) -> DataFrame:
     """key, parts of all units (unit), each once; those that no piece is in have none."""
     pieces = loaded(model)
-    distinct = units.select(unit_key(F.col("unit")).alias("key"), "unit").groupBy("key").agg(F.first("unit").alias("unit"))
+    # Grouped by hash, then sorted: far fewer than the tasks' units, and the lattice's grouping by key finds its rows in order.
+    distinct = units.select(unit_key(F.col("unit")).alias("key"), "unit").repartition("key").distinct().sortWithinPartitions("key")
     edges = lattice(distinct, pieces.frame(units.sparkSession), pieces.longest)
     return fold_viterbi(edges, pieces.scores) if unigram else fold_merges(edges, pieces.runs)
 
@@ -366,22 +383,22 @@ def units_of(docs: DataFrame, model: str) -> DataFrame:
     """unit: the different units of each task's texts."""
     small_batches(docs.sparkSession)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, words, units = loaded(model).units.findall, set(), set()
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, words, units = loaded(model), set(), set()
         for batch in batches:
-            for text in batch["text"]:
+            for text in batch["text"].to_pylist():
                 words.update(words_of(text or ""))
-            if len(words) > WORDS:
-                units.update(chain.from_iterable(find(BLANK + w) for w in words))
+            if len(words) > 2 * WORDS:
+                units.update(own.units_of_words(words))
                 words = set()
             if len(units) > 2 * WORDS:
-                yield pd.DataFrame({"unit": list(units)})
+                yield pa.record_batch([pa.array(units, pa.string())], ["unit"])
                 units = set()
-        units.update(chain.from_iterable(find(BLANK + w) for w in words))
+        units.update(own.units_of_words(words))
         if units:
-            yield pd.DataFrame({"unit": list(units)})
+            yield pa.record_batch([pa.array(units, pa.string())], ["unit"])
 
-    return docs.select("text").mapInPandas(rows, "unit string")
+    return docs.select("text").mapInArrow(rows, "unit string")
 
 
 class Spelling:
@@ -412,7 +429,8 @@ class Spelling:
         import xxhash
 
         digest = xxhash.xxh64_intdigest  # with seed 42 it is Spark's
-        wanted = np.fromiter((digest((u if len(u) <= SHORT else "\n" + hashlib.sha256(u.encode()).hexdigest()).encode(), 42) for u in units), np.uint64, len(units)).view(np.int64)
+        keys = units if max(map(len, units), default=0) <= SHORT else [u if len(u) <= SHORT else "\n" + hashlib.sha256(u.encode()).hexdigest() for u in units]
+        wanted = np.fromiter(map(digest, keys, repeat(42)), np.uint64, len(units)).view(np.int64)
         if not len(self.hashes):
             return np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
         at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
@@ -436,51 +454,74 @@ class Speller:
     """Spells texts, remembering words: ids and what they decode to."""
 
     def __init__(self, pieces: Pieces, spelling: Spelling):
-        self.pieces, self.spelling, self.known = pieces, spelling, _Numbers()
+        self.pieces, self.spelling, self.known = pieces, spelling, defaultdict(count().__next__)
         self.flat, self.starts, self.shown = np.empty(0, np.int32), np.zeros(1, np.int64), []
         self.strange = np.empty(0, bool)  # words that don't decode to themselves, or have blanks of their own
 
     def _forget(self) -> None:
         """The words met first, which the commonest are among, stay, unless they are long."""
         keep = WORDS // 2 if len(self.flat) < 16 * WORDS else 0
-        known = _Numbers()
-        known.update(islice(self.known.items(), keep))
+        known = defaultdict(count(keep).__next__, islice(self.known.items(), keep))
         self.known, self.shown, self.strange = known, self.shown[:keep], self.strange[:keep].copy()
         self.flat, self.starts = self.flat[: self.starts[keep]].copy(), self.starts[: keep + 1].copy()
 
     def _learn(self, words: list[str]) -> None:
-        find, odd = self.pieces.units.findall, self.pieces.uncovered.search
-        units = [find(BLANK + w) for w in words]
-        starts, sizes = self.spelling.find(list(chain.from_iterable(units)))
+        find, odd, letters = self.pieces.units.findall, self.pieces.uncovered.search, self.pieces.letters
+        marked = list(map(BLANK.__add__, words))
+        alone = list(map(str.isalpha, words))  # letters are one unit
+        units, each = [], []
+        for m, one in zip(marked, alone, strict=True):
+            if one:
+                units.append(m)
+                each.append(1)
+            else:
+                units += (theirs := find(m))
+                each.append(len(theirs))
+        starts, sizes = self.spelling.find(units)
         ids = self.spelling.ids[ranges(starts, sizes)].astype(np.int32)
-        n_units = np.fromiter(map(len, units), np.int64, len(units))
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(n_units)])]
-        lengths = np.diff(ends)
-        plain = [odd(w) is None for w in words]
+        first = np.cumsum([0, *each])
+        lengths = np.diff(np.concatenate([[0], np.cumsum(sizes)])[first])
+        plain = [one and letters and w.isascii() or odd(w) is None for w, one in zip(words, alone, strict=True)]
+        back = self._back(marked, plain, ids, lengths)
         if not all(plain):  # characters of bytes
             spans = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-            first, whole, own = np.concatenate([[0], np.cumsum(n_units)]).tolist(), np.array(plain), []
+            first, whole, own = first.tolist(), np.array(plain), []
             every = ids.tolist()
             for k in np.flatnonzero(~whole).tolist():
                 theirs = []
-                for at, u in enumerate(units[k], first[k]):
+                for at, u in enumerate(units[first[k] : first[k + 1]], first[k]):
                     part = every[spans[at] : spans[at + 1]]
                     theirs += part if odd(u) is None else self.pieces.spelled(u, part)
                 own.append(theirs)
+                back[k] = self.pieces.decode(theirs)
             kept, theirs = ids[np.repeat(whole, lengths)], np.fromiter(chain.from_iterable(own), np.int32)
             lengths[~whole] = np.fromiter(map(len, own), np.int64, len(own))
             of_whole = np.repeat(whole, lengths)
             ids = np.empty(len(of_whole), np.int32)
             ids[of_whole], ids[~of_whole] = kept, theirs
         bounds = np.concatenate([[0], np.cumsum(lengths)])
-        text, listed = self.pieces.text, ids.tolist()
-        shown = list(map(text.get, listed))
-        back = ["".join(shown[a:b]) if plain[k] else self.pieces.decode(listed[a:b]) for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))]
         self.shown += back
-        self.strange = np.concatenate([self.strange, np.array([BLANK in w or b != BLANK + w for w, b in zip(words, back, strict=True)], bool)])
+        self.strange = np.concatenate([self.strange, np.array([b != m or BLANK in w for w, m, b in zip(words, marked, back, strict=True)], bool)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + bounds[1:]])
         self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
 
+    def _back(self, marked: list[str], plain: list[bool], ids: np.ndarray, lengths: np.ndarray) -> list[str]:
+        """What words decode to, those that aren't plain as they are.
+
+        If the plain words' pieces make up all plain words, one after the other, and
+        each word's pieces have its length, each decodes to itself.
+        """
+        whole = np.array(plain, bool)
+        theirs = [m for m, p in zip(marked, plain, strict=True) if p]
+        kept, n = ids[np.repeat(whole, lengths)], lengths[whole]
+        shown = list(map(self.pieces.text.get, kept.tolist()))
+        ends = np.cumsum(n)
+        made = np.diff(np.concatenate([[0], np.cumsum(self.pieces.sizes[kept])])[np.concatenate([[0], ends])])
+        if np.array_equal(made, np.fromiter(map(len, theirs), np.int64, len(theirs))) and "".join(shown) == "".join(theirs):
+            return list(marked)
+        own = iter(["".join(shown[a:b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)])
+        return [next(own) if p else m for m, p in zip(marked, plain, strict=True)]
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
         """All texts' ids, where each text's begin and the last ends, and whether they decode to the texts."""
         if len(self.known) > WORDS or len(self.flat) > 16 * WORDS:
@@ -488,8 +529,7 @@ class Speller:
         before, number = len(self.known), self.known.__getitem__
         codes = [np.fromiter(map(number, words), np.int64, len(words)) for words in map(words_of, texts)]
         if len(self.known) > before:
-            self._learn(list(self.known.new))
-            self.known.new.clear()
+            self._learn(list(islice(self.known, before, None)))
         every = np.concatenate(codes) if codes else np.empty(0, np.int64)
         sizes = self.starts[every + 1] - self.starts[every]
         ids = self.flat[ranges(self.starts[every], sizes)]
@@ -525,7 +565,9 @@ def encode_pieces(docs: DataFrame, model: str | None = None, unigram: bool = Fal
     made = spelling(units_of(given, model), model, unigram)
     ids = F.transform("parts", lambda p: p.bitwiseAND(ID))
     # Written before it is sorted, since dealing by range looks at its input twice.
-    made = materialise(made.select(F.xxhash64("key").alias("hash"), "key", ids.alias("ids")), "units")
+    # One sort serves both parts of the lattice's grouping; the hash aggregate would sort in each, past its first 128 units.
+    with settings(docs.sparkSession, {"spark.sql.execution.useObjectHashAggregateExec": "false"}):
+        made = materialise(made.select(F.xxhash64("key").alias("hash"), "key", ids.alias("ids")), "units")
     made.repartitionByRange("hash").sortWithinPartitions("hash").write.parquet(folder)
     spelled = docs.sparkSession.read.parquet(folder)
     if spelled.count() > HELD or spelled.groupBy("hash").count().where("count > 1").take(1):  # too many to hold, or not told apart by hash
